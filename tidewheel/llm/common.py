@@ -73,3 +73,8 @@ def ranges(counts: np.ndarray) -> np.ndarray:
     """0..c-1 for each c of counts, one after another."""
     ends = np.cumsum(counts)
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+
+
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value) with value evaluated once, wherever `of` reads it (inside lambdas too)."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
