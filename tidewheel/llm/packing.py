@@ -130,6 +130,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = parts.sparkSession
     n = partitions(spark)
     # a hot length is spread over partitions by the other keys of the range sort
+    # written first: the range sort samples its input, which would cut every text into ids twice
+    parts = materialize(parts, "cut")
     order = [F.desc("length"), "doc_id", "piece", "start"]
     ranked = materialize(parts.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "pieces")
     # a partition holds a run of lengths, so there are at most capacity + partitions of these
