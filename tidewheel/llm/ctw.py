@@ -1,11 +1,13 @@
 """Language-model scoring by context-tree weighting.
 
-A text is its words, each closed by a space, then one more space, the end (an empty word). Bytes are split into eight binary
-decisions. Each decision is predicted from the bytes before it in its word, at all depths from none to `DEPTH`, the nearest byte first;
-before the word stand spaces. In every node of the context tree a Krichevsky-Trofimov estimator has counted the training texts'
+A text is its class (a byte), its words, each closed by a space, then one more space, the end (an empty word). The class is a function of
+the text, its most frequent pair of neighbouring bytes, folded to 251 values; it is coded first, from the training texts' counts of
+classes, so what is scored remains one code for the whole text. Bytes are split into eight binary decisions. Each decision is
+predicted from the bytes before it in its word, at all depths from none to `DEPTH`, the nearest byte first; before a word stand a
+space and the class. In every node of the context tree a Krichevsky-Trofimov estimator has counted the training texts'
 decisions, and a node's weighted probability is half its own estimate and half the product of its children's. A text is scored by the
-trained tree: at each decision the depths are mixed by their weights after training. Since contexts end at the word, a word's
-probability is the same wherever it stands, and is worked out once.
+trained tree: at each decision the depths are mixed by their weights after training. Since contexts end at the class, a word's
+probability is the same wherever it stands in texts of a class, and is worked out once.
 
 Distribution: each task turns its documents into bags of word numbers by blocks of about `BLOCK` bytes and emits a block's words
 and contexts once. Counts are joined to (block, word) and (block, context) pairs, so a word that stands in every document is one row a
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 from tidewheel.llm.common import id_remainder, map_arrow, partitions, ranges, sliced
 from tidewheel.plans.scratch import materialize
 
-DEPTH, BLOCK = 6, 20 << 20
-SPACE, END = 32, b" "  # END stands for the empty word in tables
+DEPTH, BLOCK, CLASSES = 7, 20 << 20, 252
+SPACE = 32
 HALF = math.log(0.5)
 
 
@@ -53,15 +55,24 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma_half(zeros, 0.5) + log_gamma_half(ones, 0.5) - log_gamma_half(zeros + ones, 1.0) - math.log(math.pi)
 
 
+def class_of(words: list[bytes]) -> int:
+    """The most frequent pair of neighbouring bytes in words (of 4,096 hashes the smallest with the highest count), folded to 1..251; 0 if there is none."""
+    codes = np.frombuffer(b" ".join(words), dtype=np.uint8).astype(np.int64)
+    inside = (codes[1:] != SPACE) & (codes[:-1] != SPACE)
+    pairs = (codes[:-1] * 31 + codes[1:] & 4095)[inside]
+    return int(np.bincount(pairs).argmax()) % 251 + 1 if len(pairs) else 0
+
+
 def contexts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The key of every place of every word: the DEPTH bytes before it, nearest first, then its own byte; and how many places each word has."""
-    plain = [b"" if w == END else w for w in words]
-    codes = np.frombuffer(b" ".join(plain) + b" " if plain else b"", dtype=np.uint8).astype(np.int64)
-    n = np.fromiter(map(len, plain), dtype=np.int64, count=len(plain)) + 1
+    """words: each after its class byte. The key of every place of every word (after the class): the DEPTH bytes before it, nearest first, then its own byte; and how many places each word has. Before the class stand zeros."""
+    codes = np.frombuffer(b" ".join(w[1:] for w in words) + b" " if words else b"", dtype=np.uint8).astype(np.uint64)
+    n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    kind = np.repeat(np.fromiter((w[0] for w in words), dtype=np.uint64, count=len(words)), n)
     nth, at = ranges(n), np.arange(len(codes))
-    key = np.zeros(len(codes), dtype=np.int64)
+    key = np.zeros(len(codes), dtype=np.uint64)
     for k in range(1, DEPTH + 1):
-        key = key << 8 | np.where(nth >= k, codes[np.maximum(at - k, 0)], SPACE)
+        before = np.where(nth == k - 1, np.uint64(SPACE), np.where(nth == k - 2, kind, np.uint64(0)))
+        key = key << 8 | np.where(nth >= k, codes[np.maximum(at - k, 0)], before)
     return key << 8 | codes, n
 
 
@@ -88,7 +99,7 @@ def levels(keys: np.ndarray, n: np.ndarray, depth: int) -> list[Level]:
     """The eight levels of nodes of one depth over sorted distinct keys (context of that depth, then a byte) with counts."""
     out = []
     for k in range(8):
-        code, bit = keys >> (8 - k), keys >> (7 - k) & 1
+        code, bit = (keys >> (8 - k)).astype(np.int64), (keys >> (7 - k) & 1).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
         out.append(Level(code[first], np.add.reduceat(n * (1 - bit), first), np.add.reduceat(n * bit, first)))
     return out
@@ -113,7 +124,12 @@ def subtrees(keys: np.ndarray, n: np.ndarray) -> list[list[Level]]:
 
 
 def runs(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(key, n) of whole two-byte contexts from batches sorted by key, many small ones at a time."""
+    """(key, n) of whole two-byte contexts from batches sorted by key (as signed numbers), many small ones at a time; sorted as unsigned numbers."""
+
+    def unsigned(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(key.view(np.uint64))
+        return key.view(np.uint64)[order], n[order]
+
     held: list[tuple[np.ndarray, np.ndarray]] = []
     for b in batches:
         if b.num_rows:
@@ -121,13 +137,12 @@ def runs(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[tup
         if sum(len(x) for x, _ in held) < most:
             continue
         key, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        at = int(np.searchsorted(key, key[-1] >> 48 << 48))
-        at = int(np.searchsorted(key, key[-1] >> 40 << 40)) or at
+        at = int(np.searchsorted(key, key[-1] >> 48 << 48))  # the last context may go on
         if at:
-            yield key[:at], n[:at]
+            yield unsigned(key[:at], n[:at])
         held = [(key[at:], n[at:])]
     if held:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        yield unsigned(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
 class Top:
@@ -165,7 +180,7 @@ def log10_of(keys: np.ndarray, n: np.ndarray, top: Top) -> np.ndarray:
                 mixed, rest = mixed[place], rest[place]
             w = node.own() if d + 1 < len(tree) else 1.0
             mixed, rest = mixed + rest * w * node.one(), rest * (1 - w)
-        code = keys >> (8 - k)
+        code = (keys >> (8 - k)).astype(np.int64)
         p = mixed[np.searchsorted(tree[-1][k].codes, code)]
         out += np.log10(np.where(keys >> (7 - k) & 1 == 1, p, 1 - p))
     return out
@@ -190,10 +205,10 @@ def _batch(**cols) -> pa.RecordBatch:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows for documents (bag: their word numbers and counts), for the block's words (n: count in training texts) and for its contexts (n likewise)."""
+    """Rows for documents (bag: their word numbers and counts; n: class), for the block's words, each after its class (n: count in training texts), and for its contexts (n likewise). A class byte alone is the end of a text."""
     part = TaskContext.get().partitionId()
     state = {"seq": 0, "bytes": 0}
-    numbers, train = Numbers({END: 0}), np.zeros(1 << 16, dtype=np.int64)
+    numbers, train = Numbers(), np.zeros(1 << 16, dtype=np.int64)
 
     def closed() -> Iterator[pa.RecordBatch]:
         block, words = part << 24 | state["seq"], list(numbers)
@@ -207,14 +222,16 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.bincount(place, weights=np.repeat(count, places), minlength=len(keys)).astype(np.int64)
         for lo in range(0, len(keys), step):
             own = keys[lo : lo + step]
-            yield _batch(block=np.full(len(own), block), key=own, n=n[lo : lo + step])
+            yield _batch(block=np.full(len(own), block), key=own.view(np.int64), n=n[lo : lo + step])
 
     for piece, texts in sliced(batches, "text"):
-        bags, sizes, tokens = [], [], []
+        bags, sizes, tokens, kinds = [], [], [], []
         held = piece.column("held_out").to_pylist()
         for text, out in zip(texts, held, strict=True):
             words = text.lower().split()
-            nums, times = np.unique(np.array([0, *(numbers[w] for w in words)], dtype=np.uint32), return_counts=True)
+            kinds.append(class_of(words))
+            first = bytes(kinds[-1:])
+            nums, times = np.unique(np.array([numbers[first], *[numbers[first + w] for w in words]], dtype=np.uint32), return_counts=True)
             if len(numbers) > len(train):
                 train = np.concatenate([train, np.zeros(max(len(train), len(numbers) - len(train)), dtype=np.int64)])
             if not out:
@@ -223,12 +240,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens.append(len(words) + 1)
             sizes.append(sum(map(len, words)) + len(words) + 1)
             state["bytes"] += len(text)
-        yield _batch(block=np.full(len(bags), part << 24 | state["seq"]), doc_id=piece.column("doc_id"), held_out=held, bag=bags, size=sizes, n_tokens=tokens)
+        yield _batch(block=np.full(len(bags), part << 24 | state["seq"]), doc_id=piece.column("doc_id"), held_out=held, bag=bags, size=sizes, n_tokens=tokens, n=kinds)
         if state["bytes"] > BLOCK:
             yield from closed()
             state["seq"], state["bytes"] = state["seq"] + 1, 0
-            numbers, train = Numbers({END: 0}), np.zeros(1 << 16, dtype=np.int64)
-    if state["bytes"] or len(numbers) > 1 or train.any():
+            numbers, train = Numbers(), np.zeros(1 << 16, dtype=np.int64)
+    if numbers:
         yield from closed()
 
 
@@ -245,12 +262,18 @@ def scored(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     rows = materialize(map_arrow(own, _blocks, ROWS), "blocks")
     words, keys = rows.where("word is not null").select("block", "num", "word", "n"), rows.where("key is not null").select("block", "key", "n")
 
-    counts = materialize(words.groupBy("word").agg(F.sum("n").alias("c")), "words")
+    plain = F.expr("substring(word, 2)")
+    counts = materialize(words.groupBy(plain.alias("plain")).agg(F.sum("n").alias("c")), "words")
+    ends = words.where("octet_length(word) = 1").groupBy(F.expr("conv(hex(word), 16, 10)").cast("int").alias("kind")).agg(F.sum("n").alias("n"))
+    of_class = np.zeros(CLASSES)
+    for r in ends.collect():
+        of_class[r["kind"]] = r["n"]
+    class_chance = np.log10((of_class + 0.5) / (of_class.sum() + 0.5 * CLASSES))
     total = counts.agg(F.sum("c").alias("n"), F.sum(F.when(F.col("c") > 0, 1)).alias("v")).first()
     n_train, n_kinds = total["n"] or 0, total["v"] or 0
 
     tree = materialize(keys.groupBy("key").agg(F.sum("n").alias("n")), "contexts")
-    dealt = tree.repartition(partitions(spark), F.shiftright("key", 40)).sortWithinPartitions("key")
+    dealt = tree.repartition(partitions(spark), F.shiftright("key", 48)).sortWithinPartitions("key")
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, n in runs(batches):
@@ -264,10 +287,10 @@ def scored(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, n in runs(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(log10_of(key, n, top.value))], names=["key", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(log10_of(key, n, top.value))], names=["key", "p"])
 
     chances = map_arrow(dealt, predict, "key long, p double")
-    known = words.join(counts, "word").select("block", "num", "word", F.col("c").cast("double").alias("value"), F.lit(None).cast("long").alias("key"))
+    known = words.join(counts, plain == F.col("plain")).select("block", "num", "word", F.col("c").cast("double").alias("value"), F.lit(None).cast("long").alias("key"))
     likely = keys.join(chances, "key").select("block", F.lit(None).cast("int").alias("num"), F.lit(None).cast("binary").alias("word"), F.col("p").alias("value"), "key")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
@@ -280,17 +303,17 @@ def scored(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
         by = np.argsort(of_keys.column("key").to_numpy())
         key, p = of_keys.column("key").to_numpy()[by], of_keys.column("value").to_numpy()[by]
         place, sizes = contexts(names)
-        chance = np.add.reduceat(p[np.searchsorted(key, place)], np.cumsum(sizes) - sizes)
+        chance = np.add.reduceat(p[np.searchsorted(key, place.view(np.int64))], np.cumsum(sizes) - sizes)
         base = np.log10((count + 1) / (n_train + n_kinds + 1))
         seen = count > 0
         out = []
-        for bag in left.column("bag").to_pylist():
+        for bag, kind in zip(left.column("bag").to_pylist(), left.column("n").to_pylist(), strict=True):
             num, times = _unbagged(bag)
-            out.append((int(times[seen[num]].sum()), float(times @ base[num]), float(times @ chance[num])))
+            out.append((int(times[seen[num]].sum()), float(times @ base[num]), float(times @ chance[num] + class_chance[kind])))
         known_, base_, score_ = zip(*out, strict=True)
         bits = [-s / math.log10(2) / n for s, n in zip(score_, left.column("size").to_pylist(), strict=True)]
         cols = [left.column("doc_id"), left.column("held_out"), left.column("n_tokens"), pa.array(known_, pa.int64()), pa.array([n_train] * len(out), pa.int64()), pa.array(base_), pa.array(score_), pa.array(bits)]
         return pa.table(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
 
-    bags = rows.where("bag is not null").select(F.col("block").alias("of_block"), "doc_id", "held_out", "bag", "size", "n_tokens")
+    bags = rows.where("bag is not null").select(F.col("block").alias("of_block"), "doc_id", "held_out", "bag", "size", "n_tokens", "n")
     return bags.groupBy("of_block").cogroup(known.union(likely).groupBy("block")).applyInArrow(score, schema)
