@@ -1,6 +1,7 @@
 """Toxicity by a convolutional text classifier trained in numpy.
 
-Words are hashed; words that at least `seen` training texts use have an embedding of their own hash, all others share a zero one.
+A word's embedding is the sum of those of three hashes: the word, its first four and its first five letters, so that words unseen in
+training share what was learned of their stems. Hashes that fewer than `SEEN` training texts use share a zero embedding.
 Filters of widths 1, 2 and 3 run over the embeddings, the maximum over a text's places is taken for each filter, and a logistic unit
 reads the maxima. Training is by Adam on the driver; the epoch with the lowest loss on held-back texts is kept and its output is
 calibrated on them (Platt). Thresholds by language are chosen on the same texts; they turn scores into `toxic_by_language`, and
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,26 +28,29 @@ from xxhash import xxh32_intdigest
 
 from tidewheel.llm.common import id_remainder, map_arrow, sliced
 
-SAMPLE, SEEN, VOCABULARY, DIM, WIDTHS, FILTERS = 6000, 3, 1 << 16, 12, (1, 2, 3), 8
-EPOCHS, BATCH, RATE, CUT = 12, 64, 0.01, 0.7
+SAMPLE, SEEN, VOCABULARY, DIM, WIDTHS, FILTERS = 10_000, 3, 1 << 17, 12, (1, 2, 3), 8
+EPOCHS, BATCH, RATE, CUT = 8, 64, 0.01, 0.7
 
 
 class Hashes(dict):
-    """Hash of each word by its bytes: letters and digits only, lower case; 0 if it has none. Bounded."""
+    """The three hashes of each word by its bytes: letters and digits only, lower case; zeros if it has none. Bounded."""
 
-    most = 400_000
+    most = 300_000
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> tuple[int, int, int]:
         if len(self) > self.most:
             self.clear()
         plain = "".join(filter(str.isalnum, word.decode("utf-8", "replace").lower()))
-        self[word] = out = xxh32_intdigest(plain) | 1 if plain else 0
+        self[word] = out = (xxh32_intdigest(plain) | 1, xxh32_intdigest("4" + plain[:4]) | 1, xxh32_intdigest("5" + plain[:5]) | 1) if plain else (0, 0, 0)
         return out
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes of all texts one after another, and how many each has. Two zeros follow every text, so that no filter reaches into the next."""
-        each = [[*(self[w] for w in t.split()), 0, 0] for t in texts]
-        return np.array([h for e in each for h in e], dtype=np.uint32), np.array([len(e) for e in each], dtype=np.int64)
+        """The hashes of all texts' words one after another (words x 3), and how many each text has. Two zeros follow every text, so that no filter reaches into the next."""
+        end = [(0, 0, 0)] * 2
+        each = [[*(self[w] for w in t.split()), *end] for t in texts]
+        sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+        flat = chain.from_iterable(chain.from_iterable(each))
+        return np.fromiter(flat, dtype=np.uint32, count=3 * int(sizes.sum())).reshape(-1, 3), sizes
 
 
 @dataclass
@@ -64,7 +69,7 @@ class Net:
 
     def rows(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.keys):
-            return np.zeros(len(hashes), dtype=np.int64)
+            return np.zeros(hashes.shape, dtype=np.int64)
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
         return np.where(self.keys[at] == hashes, at + 1, 0)
 
@@ -76,9 +81,10 @@ class Net:
         """The maximum of every filter over each text, and the filters' values at each place."""
         firsts, best, every = np.cumsum(sizes) - sizes, [], []
         for w, parts in enumerate(tables or self.tabulated()):
-            z = parts[0][rows]
+            z = parts[0][rows[:, 0]] + parts[0][rows[:, 1]] + parts[0][rows[:, 2]]
             for k in range(1, len(parts)):
-                z[:-k] += parts[k][rows[k:]]
+                for j in range(3):
+                    z[:-k] += parts[k][rows[k:, j]]
             every.append(z)
             best.append(np.maximum(np.maximum.reduceat(z, firsts, axis=0) + self.bias[w], 0))
         return np.concatenate(best, axis=1), every
@@ -164,8 +170,8 @@ def trained(texts: list[bytes], y: np.ndarray, langs: list[str | None], seed: in
         for lo in range(0, len(turn), BATCH):
             which = turn[lo : lo + BATCH]
             r, n = gather(which)
-            r = np.where(rng.random(len(r)) < 0.1, 0, r)  # words left out at random
-            x = net.embed[r]
+            r = np.where(rng.random(r.shape) < 0.15, 0, r)  # hashes left out at random
+            x = net.embed[r].sum(axis=1)
             tops, at, z0 = [], [], np.cumsum(n) - n
             for w, filters in enumerate(net.conv):
                 z = x @ filters[0]
@@ -178,22 +184,25 @@ def trained(texts: list[bytes], y: np.ndarray, langs: list[str | None], seed: in
             p = 1 / (1 + np.exp(-np.clip(pooled @ net.out + bias[0], -30, 30)))
             d = ((p - y[which]) / len(which)).astype(np.float32)
             back = (d[:, None] * net.out) * (pooled > 0)
-            g_conv, g_bias, gx = [], [], {}
+            g_conv, g_bias, touched, moved = [], [], [], []
             for w, filters in enumerate(net.conv):
                 own = back[:, w * FILTERS : (w + 1) * FILTERS]
                 g = np.zeros_like(filters)
                 for k in range(len(filters)):
                     place = np.minimum(at[w] + k, len(r) - 1)
                     g[k] = np.einsum("bf,bfd->df", own, x[place])
-                    for rr, gg in zip(r[place].ravel(), (own[:, :, None] * filters[k].T[None]).reshape(-1, DIM), strict=True):
-                        if rr and gg.any():
-                            gx[rr] = gx[rr] + gg if rr in gx else gg
+                    some = own != 0
+                    touched.append(r[place[some]])
+                    moved.append((own[:, :, None] * filters[k].T[None])[some])
                 g_conv.append(g + 1e-4 * filters)
                 g_bias.append(own.sum(axis=0))
             step([*g_conv, *g_bias, pooled.T @ d + 1e-4 * net.out, np.array([d.sum()], dtype=np.float32)])
-            for rr, gg in gx.items():
-                squares[rr] += float(gg @ gg)
-                net.embed[rr] -= 0.05 * gg / np.sqrt(squares[rr] + 1e-8)
+            hit, place = np.unique(np.concatenate(touched), return_inverse=True)
+            gx = np.zeros((len(hit), DIM), dtype=np.float32)
+            np.add.at(gx, place.ravel(), np.repeat(np.concatenate(moved), 3, axis=0))
+            squares[hit] += (gx * gx).sum(axis=1)
+            net.embed[hit] -= 0.05 * gx / np.sqrt(squares[hit] + 1e-8)[:, None]
+            net.embed[0] = 0
         net.out_bias = float(bias[0])
         s = net.score(*gather(hold))
         loss = float(-np.mean(y[hold] * np.log(s + 1e-9) + (1 - y[hold]) * np.log(1 - s + 1e-9)))
