@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.llm import decontamination, packing, simhash
+from tidewheel.llm import decontamination, packing, pii, quality, simhash
 from tidewheel.llm.common import table
 from tidewheel.plans.scratch import materialize
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the adaptive thresholds reject go."""
+    return quality.good(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays."""
+    """One document of each SimHash group stays, the one with the smallest id."""
     return simhash.representatives(docs)
 
 
@@ -19,12 +24,17 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts gives way to its kind in angle brackets."""
+    return pii.redacted(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in packed sequences."""
     return packing.packed(docs)
 
 
-STAGES = [("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pack", pack)]
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("redact", redact), ("pack", pack)]
 
 #: SQL cannot say stages 2 to 5; the tests hold run() against brute force.
 ORACLE_SQL = None
