@@ -6,7 +6,7 @@ lowest cross-entropy a character; `score` is that language's share of the models
 cross-entropy is beyond what `reject` of its language's own calibration texts reach is marked rejected; its prediction stands.
 
 Bounded sample (parameter `per_language`): the models are fitted to about that many texts of each language, drawn by the hash of the
-id, a fifth of them held back for calibration. Their word counts are what comes to the driver. Scoring covers every whole text.
+id, a fifth of them held back for calibration. Their gram counts are what comes to the driver. Scoring covers every whole text.
 
 Only letters count; a text without any (null and empty ones too) is `und` with score 0, and so is every text if nothing was learned.
 Ties go to the language that sorts first. Repeated rows are rows. Only id, text and lang are read.
@@ -14,6 +14,7 @@ Ties go to the language that sorts first. Repeated rows are rows. Only id, text
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,18 +29,22 @@ EDGE = 1  # the character before the first letter of a word and after its last
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def grams(codes: np.ndarray, start: np.ndarray, order: int) -> list[np.ndarray]:
-    """For k = 1..order the hash of the last k characters at each place of `codes` (words one after another, each with an edge at both ends; start: where the place's word begins). A gram that would reach before its word is padded with edges."""
-    at = np.arange(len(codes))
-    out, h = [], np.zeros(len(codes), dtype=np.uint64)
-    for k in range(order):
-        own = np.where(at - k >= start, codes[np.maximum(at - k, 0)], EDGE).astype(np.uint64)
-        h = (h ^ (own + np.uint64(k << 32))) * _MULT
+def hashes(letters: list[np.ndarray]) -> list[np.ndarray]:
+    """letters: the last characters of grams, then the last but one, and so on. The hashes of the last 1, 2, ... characters."""
+    out, h = [], np.zeros(len(letters[0]), dtype=np.uint64)
+    for k, own in enumerate(letters):
+        h = (h ^ (own.astype(np.uint64) + np.uint64(k << 32))) * _MULT
         h ^= h >> np.uint64(31)
         out.append(h | np.uint64(1))
     return out
 
 
+def grams(codes: np.ndarray, start: np.ndarray, order: int) -> list[np.ndarray]:
+    """For k = 1..order the hash of the last k characters at each place of `codes` (words one after another, each with an edge at both ends; start: where the place's word begins). A gram that would reach before its word is padded with edges."""
+    at = np.arange(len(codes))
+    return hashes([np.where(at - k >= start, codes[np.maximum(at - k, 0)], EDGE) for k in range(order)])
+
+
 def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes, the start of each place's word, and the place counts of the words (an edge, the letters, an edge)."""
     text = "\x01" + "\x01\x01".join(words) + "\x01"
@@ -51,14 +56,13 @@ def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Model:
     """Kneser-Ney estimates of all languages in sorted hash arrays."""
 
-    def __init__(self, words: list[str], counts: np.ndarray, languages: list[str], order: int = ORDER):
-        """counts[i, l]: how often words[i] occurs in texts of language l."""
+    def __init__(self, found: list[str], counts: np.ndarray, languages: list[str], order: int = ORDER):
+        """counts[i, l]: how often the gram found[i] (of `order` characters, padded with edges in front) occurs in texts of language l."""
         self.languages, self.order = languages, order
-        codes, start, n = spelled(words)
-        inner = ranges(n) > 0  # the first edge is given, not predicted
-        at = [h[inner] for h in grams(codes, start, order)]
-        before = [h[np.flatnonzero(inner) - 1] for h in grams(codes, start, order - 1)]
-        weight = counts[np.repeat(np.arange(len(words)), n)[inner]].astype(np.float64)
+        codes = np.frombuffer("".join(found).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(-1, order)
+        at = hashes([codes[:, -1 - k] for k in range(order)])
+        before = hashes([codes[:, -2 - k] for k in range(order - 1)])
+        weight = counts.astype(np.float64)
         self.disc, self.back = [], []
         for k in range(order, 0, -1):
             keys, first, place = np.unique(at[k - 1], return_index=True, return_inverse=True)
@@ -143,6 +147,17 @@ def entropies(model: Model) -> callable:
     return run
 
 
+def counted(words: Counter, order: int = ORDER) -> pa.RecordBatch:
+    """lang, gram and n of the grams in words, counted by (language, word)."""
+    out = Counter()
+    for (lang, word), n in words.items():
+        text = chr(EDGE) * (order - 1) + word + chr(EDGE)
+        for i in range(len(word) + 1):
+            out[lang, text[i : i + order]] += n
+    cols = [pa.array([k[0] for k in out], pa.string()), pa.array([k[1] for k in out], pa.string()), pa.array(list(out.values()), pa.int64())]
+    return pa.RecordBatch.from_arrays(cols, names=["lang", "gram", "n"])
+
+
 def _drawn(docs: DataFrame, where: Column, per_language: int) -> DataFrame:
     """Labelled texts, about per_language of each language, by the hash of the id; _turn is from 0 to 9,999, alike for every row of an id."""
     own = docs.where(where & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -159,30 +174,25 @@ def fitted(docs: DataFrame, where: Column, per_language: int = PER_LANGUAGE, rej
     drawn = _drawn(docs, where, per_language)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, seen = Scored(), {}
-
-        def out() -> pa.RecordBatch:
-            cols = [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())]
-            return pa.RecordBatch.from_arrays(cols, names=["lang", "word", "n"])
-
+        letters, seen = Scored(), Counter()
         for part, texts in sliced(batches, "text"):
             for lang, t in zip(part.column("lang").to_pylist(), texts, strict=True):
-                for w in t.split():
-                    if x := letters[w]:
-                        seen[lang, x] = seen.get((lang, x), 0) + 1
+                seen.update((lang, x) for w in t.split() if (x := letters[w]))
             if len(seen) > 200_000:
-                yield out()
+                yield counted(seen)
                 seen.clear()
-        yield out()
+        if seen:
+            yield counted(seen)
 
-    counts = map_arrow(drawn.where("_turn >= 2000").select("lang", "text"), count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
+    # distinct grams of a bounded sample come to the driver, not its words
+    counts = map_arrow(drawn.where("_turn >= 2000").select("lang", "text"), count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     if counts.empty:
         return None, np.zeros(0)
     languages = sorted(set(counts["lang"]))
-    words = sorted(set(counts["word"]))
+    words = sorted(set(counts["gram"]))
     table = np.zeros((len(words), len(languages)))
     row, col = {w: i for i, w in enumerate(words)}, {x: i for i, x in enumerate(languages)}
-    table[[row[w] for w in counts["word"]], [col[x] for x in counts["lang"]]] = counts["n"]
+    table[[row[w] for w in counts["gram"]], [col[x] for x in counts["lang"]]] = counts["n"]
     model = Model(words, table, languages)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
