@@ -18,6 +18,7 @@ repeated items too; a null doc_id or item_id is carried as it is. Columns other
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,82 +46,85 @@ class Words(dict):
         self[word] = out = xxh64_intdigest(plain) | 1 if plain else 0
         return out
 
-    def of(self, text: bytes) -> np.ndarray:
-        """The hashes of a text's words in order."""
-        out = np.array([self[w] for w in text.decode("utf-8", "replace").lower().encode().split()], dtype=np.uint64)
-        return out[out != 0]
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of the texts' words, one text after another, and how many each has."""
+        each = [[h for w in t.decode("utf-8", "replace").lower().encode().split() if (h := self[w])] for t in texts]
+        sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+        return np.fromiter(chain.from_iterable(each), dtype=np.uint64, count=int(sizes.sum())), sizes
 
 
-def seeds(words: np.ndarray, mask: str) -> np.ndarray:
-    """The hash of every window of `words` under the mask."""
-    n = len(words) - len(mask) + 1
-    out = np.zeros(max(n, 0), dtype=np.uint64)
-    if n <= 0:
-        return out
-    for k, bit in enumerate(mask):
-        if bit == "1":
-            out = (out ^ words[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-    return out
+def factors(n: int) -> np.ndarray:
+    """An odd multiplier for each place of a mask."""
+    k = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (k ^ (k >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) | np.uint64(1)
+
+
+def seeds(words: np.ndarray, masks: list[str]) -> Iterator[np.ndarray]:
+    """For each mask the hash of every window of `words` under it."""
+    longest = max(map(len, masks))
+    scaled = [words * f for f in factors(longest)]
+    for mask in masks:
+        n = max(len(words) - len(mask) + 1, 0)
+        out = np.zeros(n, dtype=np.uint64)
+        for k, bit in enumerate(mask):
+            if bit == "1":
+                out += scaled[k][k : k + n]
+        yield out ^ (out >> np.uint64(32))
 
 
 class Index:
     """Seeds of one block of items, sorted by hash."""
 
     def __init__(self, items: list[tuple[int | None, bytes]], masks: tuple[str, ...] = MASKS):
-        own = Words()
         self.ids = [i for i, _ in items]
-        self.words = [own.of(t) for _, t in items]
+        flat, sizes = Words().of([t for _, t in items])
+        self.starts, self.sizes, self.words = np.cumsum(sizes) - sizes, sizes, flat
         short = min(map(len, masks))
-        lengths = {len(w) for w in self.words if 0 < len(w) < short}
-        self.masks = {m: self._sorted(m, range(len(items))) for m in masks}
-        self.masks |= {"1" * n: self._sorted("1" * n, [i for i, w in enumerate(self.words) if len(w) == n]) for n in lengths}
-        self.size = 1 << 22
-        self.bits = {}
-        for m, (h, _, _) in self.masks.items():
-            self.bits[m] = np.zeros(self.size, dtype=bool)
-            self.bits[m][(h % np.uint64(self.size)).astype(np.int64)] = True
-
-    def _sorted(self, mask: str, which) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        parts = [(seeds(self.words[i], mask), i) for i in which]
-        h = np.concatenate([p for p, _ in parts] or [np.zeros(0, dtype=np.uint64)])
-        item = np.concatenate([np.full(len(p), i) for p, i in parts] or [np.zeros(0, dtype=np.int64)]).astype(np.int64)
-        at = ranges(np.array([len(p) for p, _ in parts], dtype=np.int64))
-        order = np.argsort(h, kind="stable")
-        return h[order], item[order], at[order].astype(np.int64)
-
-    def hits(self, words: np.ndarray) -> np.ndarray:
-        """Distinct (item, diagonal) with a seed in common; the diagonal is the place in the document less that in the item."""
-        found = []
-        for m, (h, item, at) in self.masks.items():
-            own = seeds(words, m)
-            place = np.flatnonzero(self.bits[m][(own % np.uint64(self.size)).astype(np.int64)])
-            if not len(place):
-                continue
+        whole = {"1" * int(n): int(n) for n in np.unique(sizes) if 0 < n < short}
+        self.masks, self.tables = [*masks, *whole], []
+        item = np.repeat(np.arange(len(sizes)), sizes)
+        for mask, h in zip(self.masks, seeds(flat, self.masks), strict=True):
+            at = np.arange(len(h))
+            own = at + len(mask) <= (self.starts + self.sizes)[item[at]]
+            if mask in whole:
+                own &= self.sizes[item[at]] == whole[mask]
+            at, h = at[own], h[own]
+            order = np.argsort(h, kind="stable")
+            bits = np.zeros(1 << 22, dtype=bool)
+            bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+            self.tables.append((h[order], item[at[order]], at[order] - self.starts[item[at[order]]], bits))
+
+    def hits(self, words: np.ndarray, text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Distinct (text, item, diagonal) with a seed in common. words: of all texts; text: which text each stands in; the diagonal is the place in the text less that in the item."""
+        found = [np.zeros((0, 3), dtype=np.int64)]
+        for mask, own, (h, item, at, bits) in zip(self.masks, seeds(words, self.masks), self.tables, strict=True):
+            place = np.flatnonzero(bits[(own & np.uint64(len(bits) - 1)).astype(np.int64)])
+            place = place[text[place] == text[place + len(mask) - 1]]  # windows inside one text
             lo, hi = np.searchsorted(h, own[place], "left"), np.searchsorted(h, own[place], "right")
             n = hi - lo
-            row = np.repeat(lo, n) + ranges(n)
-            found.append(np.stack([item[row], np.repeat(place, n) - at[row]], axis=1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
-
-    def matches(self, words: np.ndarray, window: int, tolerance: float) -> list[tuple]:
-        """For each item the best overlap that passes: item, document start, item start, words, equal words, share of the item."""
-        best: dict[int, tuple] = {}
-        for i, d in self.hits(words).tolist():
-            item = self.words[i]
-            lo, hi = max(0, -d), min(len(item), len(words) - d)
-            need = min(window, len(item))
+            row, place = np.repeat(lo, n) + ranges(n), np.repeat(place, n)
+            found.append(np.stack([text[place], item[row], place - starts[text[place]] - at[row]], axis=1))
+        return np.unique(np.concatenate(found), axis=0)
+
+    def matches(self, words: np.ndarray, sizes: np.ndarray, window: int, tolerance: float) -> list[tuple]:
+        """For each text and item the best overlap that passes: text, item, text start, item start, words, equal words, share of the item."""
+        best: dict[tuple[int, int], tuple] = {}
+        starts = np.cumsum(sizes) - sizes
+        for t, i, d in self.hits(words, np.repeat(np.arange(len(sizes)), sizes), starts).tolist():
+            size, of_text, of_item = int(self.sizes[i]), int(starts[t]), int(self.starts[i])
+            lo, hi = max(0, -d), min(size, int(sizes[t]) - d)
+            need = min(window, size)
             if hi - lo < need:
                 continue
-            equal = np.concatenate([[0], np.cumsum(item[lo:hi] == words[lo + d : hi + d])])
+            equal = np.concatenate([[0], np.cumsum(self.words[of_item + lo : of_item + hi] == words[of_text + d + lo : of_text + d + hi])])
             good = np.flatnonzero(equal[need:] - equal[:-need] >= need - int(tolerance * need))
             if not len(good):
                 continue
             a, b = int(good[0]), int(good[-1]) + need
             n = int(equal[b] - equal[a])
-            if i not in best or n > best[i][3]:
-                best[i] = (lo + a + d, lo + a, b - a, n, n / len(item))
-        return [(self.ids[i], *v) for i, v in sorted(best.items())]
+            if (t, i) not in best or n > best[t, i][3]:
+                best[t, i] = (lo + a + d, lo + a, b - a, n, n / size)
+        return [(t, self.ids[i], *v) for (t, i), v in sorted(best.items())]
 
 
 def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int | None, bytes]]]:
@@ -145,7 +149,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index, own = sent.value, Words()
             for part, texts in sliced(batches, "text"):
-                rows = [(d, *m) for d, t in zip(part.column("doc_id").to_pylist(), texts, strict=True) for m in index.matches(own.of(t), window, tolerance)]
+                ids = part.column("doc_id").to_pylist()
+                rows = [(ids[t], *m) for t, *m in index.matches(*own.of(texts), window, tolerance)]
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
                 cols = zip(*rows, strict=True) if rows else [[]] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
