@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions import scalars as S
 
-BY_DAY = W.partitionBy("city").orderBy(S.day_number(F.col("day")))
+def by_day():
+    """Rows of an entity along the day number."""
+    return W.partitionBy("city").orderBy(S.day_number(F.col("day")))
 
 
 def at(x: Column, days: int) -> Column:
     """x of the same entity exactly `days` days later (earlier if negative); null if that day is missing."""
-    return F.max(x).over(BY_DAY.rangeBetween(days, days))
+    return F.max(x).over(by_day().rangeBetween(days, days))
 
 
 def gated(value: Column, of: Column, min_hours: int) -> Column:
@@ -60,7 +62,7 @@ def with_lags(panel: DataFrame, columns: Sequence[str], lags: Sequence[int] = (1
     out = {f"{c}_lag{k}": at(F.col(c), -k) for c in columns for k in lags}
     for c in columns:
         for w in means:
-            frame = BY_DAY.rangeBetween(1 - w, 0)
+            frame = by_day().rangeBetween(1 - w, 0)
             total = F.col(c)
             for k in range(1, w):
                 total = total + at(F.col(c), -k)
