@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
+_paths: dict[int, str] = {}
 
 
 def root(spark: SparkSession) -> str:
@@ -26,12 +28,25 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     """Write df as Parquet under root() and read it back. The copy survives lost executors; nothing upstream runs again."""
     spark = df.sparkSession
     path = f"{root(spark)}/tidewheel/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that materialize() returned and that nothing will read again."""
+    for df in tables:
+        if path := _paths.get(id(df)):
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def purge(spark: SparkSession) -> None:
     """Delete every table materialize() has written under root(). Only when no result that reads them is needed any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{root(spark)}/tidewheel")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{root(spark)}/tidewheel")
