@@ -9,11 +9,12 @@ decisions, and a node's weighted probability is half its own estimate and half t
 trained tree: at each decision the depths are mixed by their weights after training. Since contexts end at the class, a word's
 probability is the same wherever it stands in texts of a class, and is worked out once.
 
-Distribution: each task turns its documents into bags of word numbers by blocks of about `BLOCK` bytes and emits a block's words
-and contexts once. Counts are joined to (block, word) and (block, context) pairs, so a word that stands in every document is one row a
-block and no hot key. Subtrees below a two-byte context are weighted where their contexts are; the two levels above have 65,280 nodes
-at most and are the only thing the driver sees. Blocks, their words and their contexts then meet to give scores. All counts cover
-all training texts.
+Distribution: each task turns its documents into bags of word numbers by blocks of about `BLOCK` bytes, and emits each block's words
+once; a word that stands in every document is one row a block and no hot key. Counts of words make a table of distinct words, sorted
+and cut into ranges, whose tasks emit the contexts of their words once (words of a range share their beginnings). Subtrees below a
+two-byte context are weighted where their contexts are; the two levels above have 65,280 nodes at most and are the only thing the
+driver sees. Contexts return to their ranges, which work out words, and words to their blocks, which score documents. All counts
+cover all training texts.
 
 Defined results: null text is empty text, of one token (the end). Rows with a null id are training rows. Repeated rows are rows and count as
 often as they stand. An empty table gives no rows; with nothing to train on every decision has probability one half.
@@ -27,15 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.common import id_remainder, map_arrow, partitions, ranges, sliced
-from tidewheel.plans.scratch import materialize
+from tidewheel.plans.scratch import materialize, release
 
-DEPTH, BLOCK, CLASSES = 7, 20 << 20, 252
+DEPTH, BLOCK, CLASSES, STEPS = 7, 48 << 20, 252, 10**8
 SPACE = 32
 HALF = math.log(0.5)
 
@@ -194,9 +194,9 @@ class Numbers(dict):
         return out
 
 
-ROWS = "block long, doc_id long, held_out boolean, bag binary, size long, n_tokens long, num int, word binary, key long, n long"
+ROWS = "block long, doc_id long, held_out boolean, bag binary, size long, n_tokens long, num int, word binary, n long"
 NAMES = [x.split()[0] for x in ROWS.split(", ")]
-KINDS = dict(zip(NAMES, [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()], strict=True))
+KINDS = dict(zip(NAMES, [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()], strict=True))
 
 
 def _batch(**cols) -> pa.RecordBatch:
@@ -205,7 +205,7 @@ def _batch(**cols) -> pa.RecordBatch:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows for documents (bag: their word numbers and counts; n: class), for the block's words, each after its class (n: count in training texts), and for its contexts (n likewise). A class byte alone is the end of a text."""
+    """Rows for documents (bag: their word numbers and counts; n: class) and for the block's words, each after its class (n: count in training texts). A class byte alone is the end of a text."""
     part = TaskContext.get().partitionId()
     state = {"seq": 0, "bytes": 0}
     numbers, train = Numbers(), np.zeros(1 << 16, dtype=np.int64)
@@ -217,12 +217,6 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo in range(0, len(words), step):
             own = words[lo : lo + step]
             yield _batch(block=np.full(len(own), block), num=np.arange(lo, lo + len(own), dtype=np.int32), word=own, n=count[lo : lo + step])
-        keys, places = contexts(words)
-        keys, place = np.unique(keys, return_inverse=True)
-        n = np.bincount(place, weights=np.repeat(count, places), minlength=len(keys)).astype(np.int64)
-        for lo in range(0, len(keys), step):
-            own = keys[lo : lo + step]
-            yield _batch(block=np.full(len(own), block), key=own.view(np.int64), n=n[lo : lo + step])
 
     for piece, texts in sliced(batches, "text"):
         bags, sizes, tokens, kinds = [], [], [], []
@@ -260,20 +254,33 @@ def scored(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (id_remainder(F.col("doc_id"), folds) == held).alias("held_out"))
     rows = materialize(map_arrow(own, _blocks, ROWS), "blocks")
-    words, keys = rows.where("word is not null").select("block", "num", "word", "n"), rows.where("key is not null").select("block", "key", "n")
+    words = rows.where("word is not null").select("block", "num", "word", "n")
 
-    plain = F.expr("substring(word, 2)")
-    counts = materialize(words.groupBy(plain.alias("plain")).agg(F.sum("n").alias("c")), "words")
-    ends = words.where("octet_length(word) = 1").groupBy(F.expr("conv(hex(word), 16, 10)").cast("int").alias("kind")).agg(F.sum("n").alias("n"))
-    of_class = np.zeros(CLASSES)
-    for r in ends.collect():
-        of_class[r["kind"]] = r["n"]
-    class_chance = np.log10((of_class + 0.5) / (of_class.sum() + 0.5 * CLASSES))
+    n = partitions(spark)
+    distinct = words.groupBy("word").agg(F.sum("n").alias("n"))
+    ranged = materialize(distinct.repartitionByRange(n, "word").sortWithinPartitions("word").withColumn("part", F.spark_partition_id()), "ranged")
+    counts = materialize(ranged.groupBy(F.expr("substring(word, 2)").alias("plain")).agg(F.sum("n").alias("c")), "words")
     total = counts.agg(F.sum("c").alias("n"), F.sum(F.when(F.col("c") > 0, 1)).alias("v")).first()
     n_train, n_kinds = total["n"] or 0, total["v"] or 0
+    of_class = np.zeros(CLASSES)
+    for r in ranged.where("octet_length(word) = 1").select("word", "n").collect():  # one row a class
+        of_class[r["word"][0]] = r["n"]
+    class_chance = np.log10((of_class + 0.5) / (of_class.sum() + 0.5 * CLASSES))
 
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, part, times = b.column("word").to_pylist(), b.column("part").to_numpy(), b.column("n").to_numpy()
+            for p in np.unique(part):  # a batch holds few ranges
+                own = np.flatnonzero(part == p)
+                keys, places = contexts([names[i] for i in own])
+                keys, place = np.unique(keys, return_inverse=True)
+                n = np.bincount(place, weights=np.repeat(times[own], places), minlength=len(keys)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), p, dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], names=["part", "key", "n"])
+
+    # a key may stand once for each batch of its range: counts add up, and its chance is the same
+    keys = materialize(map_arrow(ranged.select("part", "word", "n"), spell, "part int, key long, n long"), "spelled")
     tree = materialize(keys.groupBy("key").agg(F.sum("n").alias("n")), "contexts")
-    dealt = tree.repartition(partitions(spark), F.shiftright("key", 48)).sortWithinPartitions("key")
+    dealt = tree.repartition(n, F.shiftright("key", 48)).sortWithinPartitions("key")
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, n in runs(batches):
@@ -290,20 +297,26 @@ def scored(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(log10_of(key, n, top.value))], names=["key", "p"])
 
     chances = map_arrow(dealt, predict, "key long, p double")
-    known = words.join(counts, plain == F.col("plain")).select("block", "num", "word", F.col("c").cast("double").alias("value"), F.lit(None).cast("long").alias("key"))
-    likely = keys.join(chances, "key").select("block", F.lit(None).cast("int").alias("num"), F.lit(None).cast("binary").alias("word"), F.col("p").alias("value"), "key")
+
+    def word_chances(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = left.column("word").to_pylist()
+        key = right.column("key").to_numpy()
+        order = np.argsort(key)
+        place, sizes = contexts(names)
+        p = right.column("p").to_numpy()[order][np.searchsorted(key[order], place.view(np.int64))]
+        return pa.table([left.column("word"), pa.array(np.add.reduceat(p, np.cumsum(sizes) - sizes))], names=["word", "p"])
+
+    by_part = keys.select("part", "key").join(chances, "key").select(F.col("part").alias("of_part"), "key", "p")
+    likely = ranged.select("part", "word").groupBy("part").cogroup(by_part.groupBy("of_part")).applyInArrow(word_chances, "word binary, p double")
+    # chances travel in steps of 1 / STEPS of a decade: half the bytes of a double
+    known = materialize(likely.withColumn("plain", F.expr("substring(word, 2)")).join(counts, "plain").select("word", "c", F.round(F.col("p") * STEPS).cast("long").alias("p")), "known")
+    release(ranged, counts, keys, tree)
+    told = words.select("block", "num", "word").join(known, "word").select("block", "num", "c", "p")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        is_word = pc.is_valid(right.column("num"))
-        of_words, of_keys = right.filter(is_word), right.filter(pc.invert(is_word))
-        order = np.argsort(of_words.column("num").to_numpy())
-        names = of_words.column("word").take(pa.array(order)).to_pylist()
-        count = of_words.column("value").to_numpy()[order]
-        by = np.argsort(of_keys.column("key").to_numpy())
-        key, p = of_keys.column("key").to_numpy()[by], of_keys.column("value").to_numpy()[by]
-        place, sizes = contexts(names)
-        chance = np.add.reduceat(p[np.searchsorted(key, place.view(np.int64))], np.cumsum(sizes) - sizes)
+        order = np.argsort(right.column("num").to_numpy())
+        count, chance = right.column("c").to_numpy()[order], right.column("p").to_numpy()[order] / STEPS
         base = np.log10((count + 1) / (n_train + n_kinds + 1))
         seen = count > 0
         out = []
@@ -316,4 +329,4 @@ def scored(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
         return pa.table(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
 
     bags = rows.where("bag is not null").select(F.col("block").alias("of_block"), "doc_id", "held_out", "bag", "size", "n_tokens", "n")
-    return bags.groupBy("of_block").cogroup(known.union(likely).groupBy("block")).applyInArrow(score, schema)
+    return bags.groupBy("of_block").cogroup(told.groupBy("block")).applyInArrow(score, schema)
