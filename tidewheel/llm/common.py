@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewheel.plans.scratch import materialize
+
 #: Whitespace of all word contracts, as a Java character class.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -78,3 +80,9 @@ def ranges(counts: np.ndarray) -> np.ndarray:
 def let(value: Column, of: Callable[[Column], Column]) -> Column:
     """of(value) with value evaluated once, wherever `of` reads it (inside lambdas too)."""
     return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def counted_side(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df written and counted: to be broadcast in a join if it has `most` narrow rows at most, else joined by shuffling. Spares the other side, which carries texts, the shuffle."""
+    own = materialize(df, "side")
+    return F.broadcast(own) if own.count() <= most else own

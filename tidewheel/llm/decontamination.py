@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidewheel.llm.common import map_arrow, ranges, sliced
+from tidewheel.llm.common import counted_side, map_arrow, ranges, sliced
 
 #: Ones are compared, zeros are ignored.
 MASKS = ("11101101", "110110011", "1010111001", "111111")
@@ -162,5 +162,5 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of docs, with all columns, that no item contaminates. Decided by id: rows that repeat a contaminated id go with it; rows without an id stay."""
-    bad = contaminations(docs, benchmark, **how).select("doc_id").distinct()
+    bad = counted_side(contaminations(docs, benchmark, **how).select("doc_id").distinct())
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)

@@ -8,8 +8,8 @@ and a smallest spread; mean word length has a lower limit, too. The limits are j
 document beyond any limit is rejected, as is one that fails the fixed base rules.
 
 Scale: a sketch has at most about 1,400 bins for each group and measure, whatever the number of documents; counting is combined
-before the shuffle, so a hot source costs no more than any other. The join leaves the strategy, and the splitting of a hot source,
-to the adaptive planner.
+before the shuffle, so a hot source costs no more than any other. The limits (a row for each language and source) are counted: up to
+100,000 are broadcast, more are joined by shuffling, where the adaptive planner splits a hot source.
 
 Defined results: null text has no words and fails the base rules. A null language or source is a group like any other. Repeated rows
 are rows. An empty table gives no rows. Measures are held under names starting with _q_, so other columns may have any name.
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import SPACE, let
+from tidewheel.llm.common import SPACE, counted_side, let
 from tidewheel.plans.scratch import materialize
 
 WINDOW = 8
@@ -105,7 +105,7 @@ def judged(docs: DataFrame, carry: list[str], spread: float = SPREAD, least: int
     """The columns `carry` (with lang and source) of docs, the measures, and _q_base_failed and _q_kept of every row. The texts are measured once, and the measures kept with the rows in the shared folder."""
     keep = list(dict.fromkeys([*carry, "lang", "source"]))
     rows = materialize(measured(docs, keep), "measured")
-    bounds = limits(sketches(rows), spread, least).select(F.col("lang").alias("_q_lang"), F.col("source").alias("_q_source"), F.struct(*(f"hi_{n}" for n in SPREADS), "lo_word_length").alias("_q_limits"))
+    bounds = counted_side(limits(sketches(rows), spread, least), 100_000).select(F.col("lang").alias("_q_lang"), F.col("source").alias("_q_source"), F.struct(*(f"hi_{n}" for n in SPREADS), "lo_word_length").alias("_q_limits"))
     words, repeats = F.col("_q_n_words"), F.col("_q_n_repeat_words")
     failed = (words < 20) | (100 * repeats > 30 * words)
     of = measures()

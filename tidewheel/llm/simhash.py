@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from tidewheel.llm.common import map_arrow, partitions, ranges, sliced
+from tidewheel.llm.common import counted_side, map_arrow, partitions, ranges, sliced
 from tidewheel.plans.scratch import materialize
 
 SHINGLE, SEED, BITS = 3, 42, 3
@@ -211,5 +211,5 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, bits: int = BITS, max_buc
 
 def representatives(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs (with all their columns) that stay when one document of each group does: the smallest doc_id. Rows that repeat a doc_id are one document and stay if it does; rows without a doc_id always stay."""
-    gone = near_duplicates(docs, **how).where("doc_id > component_id").select("doc_id").distinct()
+    gone = counted_side(near_duplicates(docs, **how).where("doc_id > component_id").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
