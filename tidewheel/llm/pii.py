@@ -145,12 +145,13 @@ def decoded(code: int) -> tuple[int, tuple[int, int, int], int]:
 
 
 def reliabilities(counts: dict[int, int], rounds: int = 50) -> dict[int, float]:
-    """Expectation-maximisation: for each code the probability that its candidates are real. The labelers of a kind are independent given the truth; a vote against the truth starts out four times as unlikely as one for it, and that belief weighs as much as ten candidates."""
+    """Expectation-maximisation: for each code the probability that its candidates are real. The labelers of a kind are independent given the truth; a vote against the truth starts out four times as unlikely as one for it, and that belief weighs as much as ten candidates. A real span breaks its own kind's rules at most once in fifty times: numbers that fail a checksum are look-alikes."""
     belief = {1: {1: 6.0, 0: 2.5, -1: 1.5}, 0: {1: 1.5, 0: 2.5, -1: 6.0}}
     out = {}
     for k in range(len(KINDS)):
         own = {c: n for c, n in counts.items() if c // 108 == k}
         prior, table = 0.5, {y: [{v: b / 10 for v, b in belief[y].items()} for _ in range(3)] for y in (0, 1)}
+        table[1][0][-1] = 0.02
         real = {}
         for _ in range(rounds):
             for c in own:
@@ -164,6 +165,7 @@ def reliabilities(counts: dict[int, int], rounds: int = 50) -> dict[int, float]:
                 mass = 10 + sum(weight.values())
                 for j in range(3):
                     table[y][j] = {v: (b + sum(w for c, w in weight.items() if decoded(c)[1][j] == v)) / mass for v, b in belief[y].items()}
+            table[1][0][-1] = min(table[1][0][-1], 0.02)
         out |= real
     return out
 
