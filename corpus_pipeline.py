@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.llm import decontamination, packing, pii, quality, simhash
+from tidewheel.llm import decontamination, near_copies, packing, pii, quality
 from tidewheel.llm.common import table
 from tidewheel.plans.scratch import materialize
 
@@ -15,8 +15,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, the one with the smallest id."""
-    return simhash.representatives(docs)
+    """One document of each group stays, the one with the smallest id: of texts whose fingerprints link, and of those whose 5-word shingles have a similarity of 0.8 or more."""
+    return near_copies.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

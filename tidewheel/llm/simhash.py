@@ -134,37 +134,43 @@ def _stars(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Whole buckets of a partition sorted by bucket, several small ones at a time."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    for b in batches:
-        held.append((b.column("bucket").to_numpy(), b.column("fp").to_numpy()))
-        if sum(len(x) for x, _ in held) < most:
+def whole_buckets(batches: Iterator[pa.RecordBatch], *columns: str, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, ...]]:
+    """The column `bucket` and others of whole buckets of a partition sorted by bucket, several small ones at a time."""
+    names = ("bucket", *columns)
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        held.append(tuple(batch.column(c).to_numpy() for c in names))
+        if sum(len(x[0]) for x in held) < most:
             continue
-        bucket, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-        at = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
+        own = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        at = int(np.searchsorted(own[0], own[0][-1]))  # the last bucket may go on
         if at:
-            yield bucket[:at], fp[:at]
-        held = [(bucket[at:], fp[at:])]
+            yield tuple(x[:at] for x in own)
+        held = [tuple(x[at:] for x in own)]
     if held:
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
+def dealt(rows: DataFrame, max_bucket: int = 1 << 20) -> DataFrame:
+    """rows (t, fp distinct within t, and others) in the buckets of their table t: four times, by the masked patterns (block, value) of their fingerprint. A bucket with over `max_bucket` rows is dealt anew by four 12-bit blocks of the other 48 bits."""
+    block = lambda at: F.expr(f"shiftrightunsigned(fp, {at}) & 65535")
+    four = rows.select("*", F.posexplode(F.array(*(block(s) for s in (0, 16, 32, 48)))).alias("_m", "_v"))
+    four = four.withColumn("bucket", F.col("t") * F.lit(262_144).cast("long") + F.col("_m") * 65536 + F.col("_v"))
+    # 262,144 patterns a table at most
+    large = four.groupBy("bucket").count().where(F.col("count") > max_bucket).select("bucket", F.lit(True).alias("_large"))
+    both = four.join(F.broadcast(large), "bucket", "left")
+    rest = F.expr("CASE _m WHEN 0 THEN shiftrightunsigned(fp, 16) WHEN 1 THEN (shiftrightunsigned(fp, 32) << 16) | (fp & 65535) WHEN 2 THEN (shiftrightunsigned(fp, 48) << 32) | (fp & 4294967295) ELSE fp & 281474976710655 END")
+    deeper = F.transform(F.array(*map(F.lit, range(4))), lambda s: F.lit(1 << 40) + F.col("bucket") * 16384 + s * 4096 + F.call_function("shiftright", rest, s * 12).bitwiseAND(F.lit(4095)))
+    return both.withColumn("bucket", F.explode(F.when(F.col("_large"), deeper).otherwise(F.array(F.col("bucket"))))).drop("_m", "_v", "_large")
+
+
 def links(fps: DataFrame, bits: int = BITS, max_bucket: int = 1 << 20) -> DataFrame:
     """Star edges (a, b), a < b as signed longs, of the components within each bucket; fps: distinct fp. Together they connect just what the links connect (bits: at most 3)."""
     if bits > 3:
         raise ValueError("four blocks find differences of at most 3 bits")
-    block = lambda at: F.expr(f"shiftrightunsigned(fp, {at}) & 65535")
-    dealt = fps.select("fp", F.posexplode(F.array(*(block(s) for s in (0, 16, 32, 48)))).alias("m", "v")).select("fp", (F.col("m") * 65536 + F.col("v")).cast("long").alias("bucket"))
-    # four times 65,536 patterns at most
-    large = dealt.groupBy("bucket").count().where(F.col("count") > max_bucket).select("bucket", F.lit(True).alias("large"))
-    dealt = dealt.join(F.broadcast(large), "bucket", "left")
-    rest = F.expr("CASE WHEN bucket < 65536 THEN shiftrightunsigned(fp, 16) WHEN bucket < 131072 THEN (shiftrightunsigned(fp, 32) << 16) | (fp & 65535) WHEN bucket < 196608 THEN (shiftrightunsigned(fp, 48) << 32) | (fp & 4294967295) ELSE fp & 281474976710655 END")
-    deeper = F.transform(F.array(*(F.lit(s) for s in (0, 1, 2, 3))), lambda s: F.lit(1 << 20) + F.col("bucket") * 16384 + s * 4096 + F.call_function("shiftright", rest, s * 12).bitwiseAND(F.lit(4095)))
-    dealt = dealt.select("fp", F.explode(F.when(F.col("large"), deeper).otherwise(F.array(F.col("bucket")))).alias("bucket"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, fp in _buckets(batches):
+        for bucket, fp in whole_buckets(batches, "fp"):
             own = fp.view(np.uint64)
             order = np.lexsort((gray_rank(own), bucket))
             bucket, own, fp = bucket[order], own[order], fp[order]
@@ -173,8 +179,8 @@ def links(fps: DataFrame, bits: int = BITS, max_bucket: int = 1 << 20) -> DataFr
             a, b = fp[at], fp[root[at]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    n = partitions(fps.sparkSession)
-    return map_arrow(dealt.repartition(n, "bucket").sortWithinPartitions("bucket"), run, "a long, b long").distinct()
+    spread = dealt(fps.select(F.lit(0).alias("t"), "fp"), max_bucket).select("bucket", "fp").repartition(partitions(fps.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return map_arrow(spread, run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -211,5 +217,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, bits: int = BITS, max_buc
 
 def representatives(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs (with all their columns) that stay when one document of each group does: the smallest doc_id. Rows that repeat a doc_id are one document and stay if it does; rows without a doc_id always stay."""
-    gone = counted_side(near_duplicates(docs, **how).where("doc_id > component_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, near_duplicates(docs, **how).where("doc_id > component_id").select("doc_id"))
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not among ids."""
+    return docs.join(counted_side(ids.distinct()), "doc_id", "left_anti").select(*docs.columns)
