@@ -1,6 +1,6 @@
 """Quality rules with adaptive thresholds, in DataFrame expressions only.
 
-Each text is measured (words, symbols, punctuation, repeated lines and windows). For every language and source a quantile sketch of
+Each text is measured (words, symbols, punctuation, repeated lines, windows and neighbours). For every language and source a quantile sketch of
 each measure is kept: counts by logarithmic bin, so a quantile is right within 1 % of its value, sketches merge by adding counts,
 and a merge in any order gives the same result. A source with fewer than `least` documents takes its language's merged sketch, a
 language with fewer that of all documents. A measure's upper limit is its median plus the larger of `spread` interquartile ranges
@@ -29,7 +29,7 @@ from tidewheel.plans.scratch import materialize
 WINDOW = 8
 GAMMA = 1.01 / 0.99
 #: Measure -> smallest spread above the median.
-SPREADS = {"symbols": 0.05, "punct": 0.10, "dup_lines": 0.30, "repeats": 0.25, "word_length": 6.0}
+SPREADS = {"symbols": 0.05, "punct": 0.10, "dup_lines": 0.50, "repeats": 0.25, "echoes": 0.20, "word_length": 6.0}
 SPREAD, LEAST = 6.0, 50
 
 
@@ -53,20 +53,21 @@ def _repeated(words: Column) -> Column:
 
 
 def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs and the measures of its text as _q_n_words, _q_word_chars, _q_n_symbols, _q_n_dup_lines, _q_n_repeat_words, _q_n_lines and _q_n_punct."""
+    """The columns `keep` of docs and the measures of its text as _q_n_words, _q_word_chars, _q_n_symbols, _q_n_dup_lines, _q_n_repeat_words, _q_n_lines, _q_n_punct and _q_n_echoes (words equal to the one before)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    by_words = let(_words(text), lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("c"), _repeated(w).alias("r")))
+    echoes = lambda w: F.size(F.filter(w, lambda x, i: F.coalesce(x == F.get(w, i - 1), F.lit(False))))
+    by_words = let(_words(text), lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("c"), _repeated(w).alias("r"), echoes(w).alias("e")))
     lines = let(F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")), lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d")))
     # the two structs are read several times each, so the planner keeps this projection apart and evaluates them once
     own = docs.select(*keep, by_words.alias("_q_w"), lines.alias("_q_l"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).alias("_q_s"), F.regexp_count(text, F.lit(r"[!-/:-@\[-`{-~]")).alias("_q_p"))
-    names = {"n_words": "_q_w.n", "word_chars": "_q_w.c", "n_symbols": "_q_s", "n_dup_lines": "_q_l.d", "n_repeat_words": "_q_w.r", "n_lines": "_q_l.n", "n_punct": "_q_p"}
+    names = {"n_words": "_q_w.n", "word_chars": "_q_w.c", "n_symbols": "_q_s", "n_dup_lines": "_q_l.d", "n_repeat_words": "_q_w.r", "n_lines": "_q_l.n", "n_punct": "_q_p", "n_echoes": "_q_w.e"}
     return own.select(*keep, *(F.col(c).cast("long").alias(f"_q_{n}") for n, c in names.items()))
 
 
 def measures() -> dict[str, Column]:
     """The adaptive measures of a measured row; null for a text without words."""
     words, chars = F.col("_q_n_words"), F.col("_q_word_chars")
-    own = {"symbols": F.col("_q_n_symbols") / chars, "punct": F.col("_q_n_punct") / chars, "dup_lines": F.col("_q_n_dup_lines") / F.col("_q_n_lines"), "repeats": F.col("_q_n_repeat_words") / words, "word_length": chars / words}
+    own = {"symbols": F.col("_q_n_symbols") / chars, "punct": F.col("_q_n_punct") / chars, "dup_lines": F.col("_q_n_dup_lines") / F.col("_q_n_lines"), "repeats": F.col("_q_n_repeat_words") / words, "echoes": F.col("_q_n_echoes") / words, "word_length": chars / words}
     return {n: F.when(words > 0, c) for n, c in own.items()}
 
 
@@ -132,9 +133,10 @@ hit AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, s) AS c FR
 rep AS (SELECT k, count(DISTINCT j) AS r FROM (SELECT k, unnest(range(i, i + 8)) AS j FROM hit) GROUP BY k),
 f AS (SELECT doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
   length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
-  coalesce(r, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines, length(regexp_replace(t, '[^!-/:-@\[-`{-~]', '', 'g')) AS n_punct FROM k LEFT JOIN rep USING (k)),
+  coalesce(r, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines, length(regexp_replace(t, '[^!-/:-@\[-`{-~]', '', 'g')) AS n_punct,
+  len(list_filter(list_zip(ws[1:len(ws) - 1], ws[2:len(ws)]), lambda z: z[1] = z[2])) AS n_echoes FROM k LEFT JOIN rep USING (k)),
 m AS (SELECT * FROM (SELECT lang, source, unnest([{'measure': 'symbols', 'v': n_symbols / word_chars}, {'measure': 'punct', 'v': n_punct / word_chars},
-  {'measure': 'dup_lines', 'v': n_dup_lines / n_lines}, {'measure': 'repeats', 'v': n_repeat_words / n_words}, {'measure': 'word_length', 'v': word_chars / n_words}], recursive := true)
+  {'measure': 'dup_lines', 'v': n_dup_lines / n_lines}, {'measure': 'repeats', 'v': n_repeat_words / n_words}, {'measure': 'echoes', 'v': n_echoes / n_words}, {'measure': 'word_length', 'v': word_chars / n_words}], recursive := true)
   FROM f WHERE n_words > 0)),
 s AS (SELECT lang, source, measure, CASE WHEN v > 1e-8 THEN ceil(ln(v) / ln(1.01 / 0.99))::INT ELSE -1000 END AS bin, count(*) AS n FROM m GROUP BY ALL),
 g AS (SELECT 0 AS lvl, lang, source, measure, bin, sum(n) AS n FROM s GROUP BY ALL UNION ALL SELECT 1, lang, NULL, measure, bin, sum(n) FROM s GROUP BY ALL
@@ -144,14 +146,14 @@ q AS (SELECT lvl, lang, source, measure, max(total) AS total, min(bin) FILTER (u
   min(bin) FILTER (upto >= 0.75 * total) AS b3 FROM u GROUP BY ALL),
 v AS (SELECT *, CASE WHEN b1 = -1000 THEN 0 ELSE 2 * pow(1.01 / 0.99, b1) / (1 + 1.01 / 0.99) END AS q1, CASE WHEN b2 = -1000 THEN 0 ELSE 2 * pow(1.01 / 0.99, b2) / (1 + 1.01 / 0.99) END AS q2,
   CASE WHEN b3 = -1000 THEN 0 ELSE 2 * pow(1.01 / 0.99, b3) / (1 + 1.01 / 0.99) END AS q3 FROM q),
-h AS (SELECT *, q2 + greatest(6 * (q3 - q1), CASE measure WHEN 'symbols' THEN 0.05 WHEN 'punct' THEN 0.1 WHEN 'dup_lines' THEN 0.3 WHEN 'repeats' THEN 0.25 ELSE 6 END) AS hi FROM v),
+h AS (SELECT *, q2 + greatest(6 * (q3 - q1), CASE measure WHEN 'symbols' THEN 0.05 WHEN 'punct' THEN 0.1 WHEN 'dup_lines' THEN 0.5 WHEN 'repeats' THEN 0.25 WHEN 'echoes' THEN 0.2 ELSE 6 END) AS hi FROM v),
 c AS (SELECT o.lang, o.source, o.measure, CASE WHEN o.total >= 50 THEN o.hi WHEN l.total >= 50 THEN l.hi ELSE a.hi END AS hi,
   CASE WHEN o.total >= 50 THEN o.q2 WHEN l.total >= 50 THEN l.q2 ELSE a.q2 END / 3 AS lo
   FROM h o JOIN h l ON l.lvl = 1 AND o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN h a ON a.lvl = 2 AND o.measure = a.measure WHERE o.lvl = 0),
 b AS (SELECT lang, source, max(hi) FILTER (measure = 'symbols') AS sy, max(hi) FILTER (measure = 'punct') AS pu, max(hi) FILTER (measure = 'dup_lines') AS du,
-  max(hi) FILTER (measure = 'repeats') AS re, max(hi) FILTER (measure = 'word_length') AS wl, max(lo) FILTER (measure = 'word_length') AS wlo FROM c GROUP BY ALL)
+  max(hi) FILTER (measure = 'repeats') AS re, max(hi) FILTER (measure = 'echoes') AS ec, max(hi) FILTER (measure = 'word_length') AS wl, max(lo) FILTER (measure = 'word_length') AS wlo FROM c GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
   (NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND coalesce(n_symbols / word_chars <= sy AND n_punct / word_chars <= pu AND n_dup_lines / n_lines <= du
-  AND n_repeat_words / n_words <= re AND word_chars / n_words <= wl AND word_chars / n_words >= wlo, false)) AS kept
+  AND n_repeat_words / n_words <= re AND n_echoes / n_words <= ec AND word_chars / n_words <= wl AND word_chars / n_words >= wlo, false)) AS kept
 FROM f LEFT JOIN b ON f.lang IS NOT DISTINCT FROM b.lang AND f.source IS NOT DISTINCT FROM b.source
 """
