@@ -17,7 +17,8 @@ def test_tables_come_back_and_go(spark):
     assert files(spark) == before
 
 
-def test_the_session_names_the_folder(spark, tmp_path):
+def test_the_session_names_the_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "KEY", "tidewheel.folder")  # the real setting cannot change in a running session
     spark.conf.set(scratch.KEY, f"file://{tmp_path}")
     try:
         assert scratch.root(spark) == f"file://{tmp_path}"
