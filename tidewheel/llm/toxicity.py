@@ -69,28 +69,37 @@ class Net:
 
     def rows(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.keys):
-            return np.zeros(hashes.shape, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, at + 1, 0)
+            return np.zeros(hashes.shape, dtype=np.int32)
+        out = np.empty(hashes.shape, dtype=np.int32)
+        for lo in range(0, len(hashes), 1 << 18):
+            own = hashes[lo : lo + (1 << 18)]
+            at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+            out[lo : lo + len(own)] = np.where(self.keys[at] == own, at + 1, 0)
+        return out
 
     def tabulated(self) -> list[list[np.ndarray]]:
         """For each width and offset: every embedding times that part of the filters."""
         return [[self.embed @ part for part in w] for w in self.conv]
 
-    def maxima(self, rows: np.ndarray, sizes: np.ndarray, tables: list[list[np.ndarray]] | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The maximum of every filter over each text, and the filters' values at each place."""
-        firsts, best, every = np.cumsum(sizes) - sizes, [], []
-        for w, parts in enumerate(tables or self.tabulated()):
+    def maxima(self, rows: np.ndarray, sizes: np.ndarray, tables: list[list[np.ndarray]]) -> np.ndarray:
+        """The maximum of every filter over each text."""
+        firsts, best = np.cumsum(sizes) - sizes, []
+        for w, parts in enumerate(tables):
             z = parts[0][rows[:, 0]] + parts[0][rows[:, 1]] + parts[0][rows[:, 2]]
             for k in range(1, len(parts)):
                 for j in range(3):
                     z[:-k] += parts[k][rows[k:, j]]
-            every.append(z)
             best.append(np.maximum(np.maximum.reduceat(z, firsts, axis=0) + self.bias[w], 0))
-        return np.concatenate(best, axis=1), every
+        return np.concatenate(best, axis=1)
 
-    def logit(self, rows: np.ndarray, sizes: np.ndarray, tables=None) -> np.ndarray:
-        return (self.maxima(rows, sizes, tables)[0] @ self.out + self.out_bias) * self.scale[0] + self.scale[1]
+    def logit(self, rows: np.ndarray, sizes: np.ndarray, tables=None, step: int = 128) -> np.ndarray:
+        """Before the logistic function, some texts at a time."""
+        tables, ends, out = tables or self.tabulated(), np.concatenate([[0], np.cumsum(sizes)]), []
+        for lo in range(0, len(sizes), step):
+            own = sizes[lo : lo + step]
+            part = self.maxima(rows[ends[lo] : ends[lo + len(own)]], own, tables)
+            out.append((part @ self.out + self.out_bias) * self.scale[0] + self.scale[1])
+        return np.concatenate(out) if out else np.zeros(0)
 
     def score(self, rows: np.ndarray, sizes: np.ndarray, tables=None) -> np.ndarray:
         if self.base is not None:
@@ -144,7 +153,13 @@ def trained(texts: list[bytes], y: np.ndarray, langs: list[str | None], seed: in
     empty = Net(np.zeros(0, dtype=np.uint32), np.zeros((1, DIM), dtype=np.float32), [], [], np.zeros(0), 0.0, base=float(y.mean()) if len(y) else 0.0)
     if min(y.sum(), len(y) - y.sum()) < 2:
         return empty
-    hashes, sizes = Hashes().of(texts)
+    parts = []
+    hashing = Hashes()
+    for lo in range(0, len(texts), 256):  # word lists of a few texts at a time
+        parts.append(hashing.of(texts[lo : lo + 256]))
+    hashing.clear()
+    hashes, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
     firsts = np.cumsum(sizes) - sizes
     used = [np.unique(hashes[a : a + n]) for a, n in zip(firsts, sizes, strict=True)]
     kinds, seen = np.unique(np.concatenate(used), return_counts=True)
@@ -155,6 +170,7 @@ def trained(texts: list[bytes], y: np.ndarray, langs: list[str | None], seed: in
     net = Net(keys, normal(len(keys) + 1, DIM, by=0.1), [normal(w, DIM, FILTERS, by=0.3) for w in WIDTHS], [np.zeros(FILTERS, dtype=np.float32) for _ in WIDTHS], normal(FILTERS * len(WIDTHS), by=0.3), float(np.log(y.mean() / (1 - y.mean()))))
     net.embed[0] = 0
     rows = net.rows(hashes)
+    del hashes, used
     # one in five is held back; copies of a text fall on the same side
     side = np.array([xxh32_intdigest(t) % 5 == 0 for t in texts])
     train, hold = np.flatnonzero(~side), np.flatnonzero(side)
