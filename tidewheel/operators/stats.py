@@ -42,21 +42,39 @@ def describe(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
     return panel.agg(*(p.alias(f"c{i}") for i, p in enumerate(parts))).select(F.inline(F.array(*(F.col(f"c{i}") for i in range(len(parts))))))
 
 
+def moments_of(panel: DataFrame, sets: Sequence[Sequence[str]], at_once: int = 8) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """For each list of columns: rows that have them all, their means, and their cross-product matrix about the means. One aggregate gives rough centres, one more the sums of up to `at_once` lists about them."""
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+    rough = panel.agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(columns))).first()
+    centre = {c: float(rough[f"m{i}"] or 0.0) for i, c in enumerate(columns)}
+    out = []
+    for lo in range(0, len(sets), at_once):
+        cells = []
+        for k, own in enumerate(sets[lo : lo + at_once]):
+            whole = F.lit(True)
+            for c in own:
+                whole = whole & F.col(c).isNotNull()
+            x = [F.when(whole, F.col(c) - centre[c]) for c in own]
+            cells += [F.count(F.when(whole, 1)).alias(f"n{k}"), *(F.sum(v).alias(f"s{k}_{i}") for i, v in enumerate(x))]
+            cells += [F.sum(x[i] * x[j]).alias(f"p{k}_{i}_{j}") for i in range(len(own)) for j in range(i, len(own))]
+        got = panel.agg(*cells).first()
+        for k, own in enumerate(sets[lo : lo + at_once]):
+            n, size = got[f"n{k}"], len(own)
+            if not n:
+                out.append((0, np.zeros(size), np.zeros((size, size))))
+                continue
+            shift = np.array([got[f"s{k}_{i}"] for i in range(size)]) / n
+            cross = np.zeros((size, size))
+            for i in range(size):
+                for j in range(i, size):
+                    cross[i, j] = cross[j, i] = got[f"p{k}_{i}_{j}"] - n * shift[i] * shift[j]
+            out.append((n, shift + np.array([centre[c] for c in own]), cross))
+    return out
+
+
 def moments(panel: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, means and cross-product matrix about the means of complete rows: one aggregate for all pairs."""
-    own = panel.dropna(subset=list(columns))
-    means = own.agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(columns))).first()
-    n = means["n"]
-    if not n:
-        return 0, np.zeros(len(columns)), np.zeros((len(columns),) * 2)
-    m = np.array([means[f"m{i}"] for i in range(len(columns))])
-    centred = [F.col(c) - float(m[i]) for i, c in enumerate(columns)]
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    got = own.agg(*(F.sum(centred[i] * centred[j]).alias(f"p{k}") for k, (i, j) in enumerate(pairs))).first()
-    out = np.zeros((len(columns),) * 2)
-    for k, (i, j) in enumerate(pairs):
-        out[i, j] = out[j, i] = got[f"p{k}"]
-    return n, m, out
+    """moments_of() a single list."""
+    return moments_of(panel, [columns])[0]
 
 
 def partial_correlation(panel: DataFrame, x: str, y: str, controls: Sequence[str]) -> float | None:
@@ -72,8 +90,7 @@ def partial_correlation(panel: DataFrame, x: str, y: str, controls: Sequence[str
 def screening(panel: DataFrame, features: Sequence[str], target: str, controls: Sequence[str], useful: float = 0.05, least: int = 50) -> list[tuple]:
     """(feature, rows, correlation, partial correlation, useful) of each feature, the strongest first."""
     out = []
-    for f in features:
-        n, _, c = moments(panel, [f, target, *controls])
+    for f, (n, _, c) in zip(features, moments_of(panel, [[f, target, *controls] for f in features]), strict=True):
         if n < least or c[0, 0] == 0:
             continue
         scale = np.sqrt(np.diag(c))
@@ -87,8 +104,8 @@ def screening(panel: DataFrame, features: Sequence[str], target: str, controls:
 def pacf(lagged: DataFrame, value: str, lags: Sequence[str]) -> list[float]:
     """Partial autocorrelations by least squares: for p = 1, 2, ... the last coefficient of value on its first p lags."""
     out = []
-    for p in range(1, len(lags) + 1):
-        n, _, c = moments(lagged, [*lags[:p], value])
+    orders = range(1, len(lags) + 1)
+    for p, (n, _, c) in zip(orders, moments_of(lagged, [[*lags[:p], value] for p in orders]), strict=True):
         if n <= p + 30:
             break
         out.append(float(np.linalg.solve(c[:p, :p], c[:p, p])[-1]))
