@@ -81,3 +81,28 @@ def test_the_stage_keeps_one_of_each_group(spark, sf):
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(spark, rows), sf).collect()}
     want = set(roots(rows).values())
     assert want <= kept | {0} and len(kept) <= len(want) + 2
+
+
+def test_look_alikes_hide_no_pair(spark):
+    rng = random.Random(3)
+    base = [f"t{i}" for i in range(225)]
+    rows = []
+    for k in range(400):  # variants of a template, any two at about 0.78
+        own = list(base)
+        for j, at in enumerate(rng.sample(range(5, 220, 10), 3)):
+            own[at] = f"v{k}x{j}"
+        rows.append((len(rows), " ".join(own)))
+    for d in range(60):  # partners: one block of theirs differs
+        words = rows[d][1].split()
+        rows.append((len(rows), " ".join(words[:-18] + [f"p{d}x{i}" for i in range(18)])))
+    got = {r.doc_id: r.root for r in near_copies.near_copies(docs(spark, rows)).collect()}
+    want = roots(rows)
+    assert got == {d: r for d, r in want.items() if sum(x == r for x in want.values()) > 1} and len(got) >= 120
+
+
+def test_lists_and_stars_by_hand():
+    n = np.array([10, 9, 4, 10, 7])
+    row, key = near_copies.lists(np.array([1, 1, 1, 2, 2]), n, np.arange(5))
+    assert sorted(row.tolist()) == [0, 1] and len(set(key.tolist())) == 1  # 4 is too short for 9, 7 for 10
+    sets = [np.arange(k, k + 20, dtype=np.uint64) for k in (0, 50, 1, 2, 51, 100, 3, 7)]
+    assert near_copies.stars(sets).tolist() == [0, 1, 0, 0, 1, 5, 0, 7]

@@ -1,13 +1,15 @@
-"""Near copies by similarity, from several SimHash tables over the same Gray-order index.
+"""Near copies by similarity, from a search that is complete: a prefix-filtered join on 5-word shingles.
 
-A fingerprint of 64 bits at 3 bits reaches few texts below a similarity of 0.95. Here each text has `TABLES` independent fingerprints
-of its 2-word shingles, which small edits change least; two texts are candidates if any table brings them within 3 bits. Candidates
-are then compared exactly: texts are near copies if their sets of 5-word shingles have a similarity (shared by all) of 0.8 or more.
-Groups are the connected components of near copies.
+Texts are near copies if their sets of 5-word shingles have a similarity (shared by all) of 0.8 or more. Groups are the connected
+components of near copies.
 
-Within a bucket of the index each fingerprint names the nearest one before it in the Gray order, so a group of n copies costs n
-candidates a bucket and not all its pairs; 64 buckets a text, each in an order of its own, make up for the pairs left out. Measured on
-the 10,000-document table: 98 % of the pairs at 0.8 or more meet in a table.
+Equal sets are one from the start. For the others shingles have an order, those that are common in a sample of texts last; which
+sample is drawn alters the work, never the result. Two sets of n shingles or less that are near share one of the first
+n - ceil(0.8 n) + 1 of each, so all near copies meet at a shingle of both their prefixes. The texts at a shingle are a list, cut
+where sizes are too far apart; equal lists are one. All pairs of a list are compared exactly in its task, but for those that earlier
+pairs of it have linked; a list returns stars and not pairs, so a group of n copies costs n rows a list.
+
+A list is read by one task; its pairs that are not near take time with the square of the list's length.
 
 Defined results: texts of fewer than five words have one shingle; texts without words are alike; rows without an id take no part;
 rows that repeat an id are one document, near a copy if any of its texts is.
@@ -22,13 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import counted_side, map_arrow, partitions, sliced
-from tidewheel.llm.simhash import BITS, components, dealt, digests, gray_rank, near_pairs, representatives, whole_buckets, without
+from xxhash import xxh3_64_intdigest
+
+from tidewheel.llm.common import counted_side, map_arrow, partitions, ranges, sliced
+from tidewheel.llm.simhash import BITS, components, digests, near_pairs, representatives, whole_buckets, without
 from tidewheel.plans.scratch import materialize
 
 FINE, TABLES, WIDE, SIMILARITY = 2, 16, 5, 0.8
+SAMPLE, COMMON = 20_000, 500_000  # texts that tell which shingles are common, and how many of those are sent to the executors
 
 
+# fingerprints() and nearest_before() are not part of the search any more; only their tests use them
 def fingerprints(text: bytes, tables: int = TABLES, k: int = FINE) -> np.ndarray:
     """A fingerprint for each table, as signed longs: each table mixes the shingles' hashes in its own way."""
     own = np.frombuffer(b"".join(digests(text, k)), dtype=">u8").astype(np.uint64)
@@ -67,52 +73,140 @@ def nearest_before(bucket: np.ndarray, fps: np.ndarray, bits: int = BITS) -> tup
     return best[row] % n, row
 
 
-def candidates(docs: DataFrame, tables: int = TABLES, bits: int = BITS, max_bucket: int = 1 << 20) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of ids that some table brings near; docs: doc_id (not null) and text."""
+def common(docs: DataFrame, texts: int = SAMPLE, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of about `texts` texts have, sorted, and the place of each by how many have it (from 1, the commonest last)."""
+    rate = min(1.0, texts / max(1, docs.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in sliced(batches, "text", 1 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t) for t in texts]).view(np.int64))], names=["h"])
+
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate * 1_000_000)
+    found = map_arrow(drawn.select("text"), run, "h long").groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(most).toPandas()
+    keys = found["h"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], (len(keys) - np.arange(len(keys)))[order]
+
+
+def prefix(own: np.ndarray, order: tuple[np.ndarray, np.ndarray], least: float = SIMILARITY) -> np.ndarray:
+    """The first shingles of a sorted set: any other set that is near shares one of its own first ones with them."""
+    keys, place = order
+    rank = np.zeros(len(own), dtype=np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        rank = np.where(keys[at] == own, place[at], 0)
+    return own[np.argsort(rank, kind="stable")[: len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1]]
+
+
+def lists(bucket: np.ndarray, n: np.ndarray, own: np.ndarray, least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in lists of two or more, and each one's list by a hash of its members: rows of one bucket whose sizes n lead from one to the next within `least`. own: the set's number. Of equal lists the first is returned."""
+    order = np.lexsort((own, n, bucket))
+    bucket, n, own = bucket[order], n[order], own[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (bucket[1:] != bucket[:-1]) | (n[:-1] < least * n[1:] - 1e-9)
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(order)))
+    h = own.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    key = np.add.reduceat(h ^ (h >> np.uint64(29)), first) if len(first) else h
+    some = np.flatnonzero(size > 1)
+    some = some[np.unique(key[some], return_index=True)[1]]
+    rows = np.repeat(first[some], size[some]) + ranges(size[some])
+    return order[rows], np.repeat(key[some], size[some]).view(np.int64)
+
+
+def stars(sets: list[np.ndarray], least: float = SIMILARITY) -> np.ndarray:
+    """The first of each set's component: all pairs that are not yet in one component are compared."""
+    m, root = len(sets), np.arange(len(sets))
+    if m == 2:
+        return np.array([0, int(similarity(*sets) < least)])
+    n = np.array([len(s) for s in sets])
+    kinds, local = np.unique(np.concatenate(sets), return_inverse=True)
+    count = np.bincount(local, minlength=len(kinds))
+    rows, ends = np.repeat(np.arange(m), n)[np.argsort(local, kind="stable")], np.cumsum(count)
+    at = np.cumsum(n) - n
+    for i in range(m - 1):
+        later = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+        if not len(later):
+            continue
+        if len(later) <= 4:
+            near = np.array([j for j in later if similarity(sets[i], sets[j]) >= least], dtype=np.int64)
+        else:
+            own = local[at[i] : at[i] + n[i]]
+            both = np.bincount(rows[np.repeat(ends[own] - count[own], count[own]) + ranges(count[own])], minlength=m)[later]
+            near = later[both / (n[i] + n[later] - both) >= least]
+        if len(near):
+            joined = np.append(root[near], root[i])
+            root[np.isin(root, joined)] = joined.min()
+    return root
+
+
+def whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Ids and sets of each list, of a partition sorted by list."""
+    at, ids, sets = None, [], []
+    for batch in batches:
+        for key, doc, s in zip(*(batch.column(c).to_pylist() for c in ("list", "id", "s")), strict=True):
+            if key != at and ids:
+                yield ids, sets
+                ids, sets = [], []
+            at = key
+            ids.append(doc)
+            sets.append(s)
+    if ids:
+        yield ids, sets
+
+
+def near_edges(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Edges (a, b) of ids that connect just what near copies connect; docs: doc_id (not null) and text."""
+    sent = docs.sparkSession.sparkContext.broadcast(common(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in sliced(batches, "text", 1 << 20):
-            fps = np.concatenate([fingerprints(t, tables) for t in texts])
-            ids = np.repeat(part.column("doc_id").to_numpy(), tables)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(texts))), pa.array(fps)], names=["doc_id", "t", "fp"])
+            sets = [shingles(t) for t in texts]
+            own = np.array([xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
+            first = [prefix(s, sent.value, least).view(np.int64) if len(s) else s.view(np.int64) for s in sets]
+            ends = np.append(0, np.cumsum([len(x) for x in first])).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(ends, np.concatenate(first))], names=["doc_id", "own", "n", "first"])
+
+    own = materialize(map_arrow(docs.select("doc_id", "text"), run, "doc_id long, own long, n int, first array<long>"), "prefixes")
+    # equal sets meet here: each names the smallest id that has it
+    least_id = materialize(own.groupBy("own").agg(F.min("doc_id").alias("id")), "sets")
+    named = own.select("doc_id", "own").join(least_id, "own")
+    equal = named.where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    each = own.join(least_id.select("own", F.col("id").alias("doc_id")), ["own", "doc_id"]).dropDuplicates(["own"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, own, doc, n in whole_buckets(batches, "own", "id", "n"):
+            row, key = lists(bucket, n, own, least)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own[row]), pa.array(doc[row])], names=["list", "own", "id"])
+
+    spread = each.select(F.explode("first").alias("bucket"), "own", F.col("doc_id").alias("id"), "n").repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
+    members = materialize(map_arrow(spread, meet, "list long, own long, id long").distinct(), "lists")
 
-    own = materialize(map_arrow(docs, run, "doc_id long, t int, fp long"), "tables")
-    # equal fingerprints meet here: each names the smallest id that has it
-    first = materialize(own.groupBy("t", "fp").agg(F.min("doc_id").alias("id")), "firsts")
-    equal = own.join(first, ["t", "fp"]).where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in sliced(batches, "text", 1 << 20):
+            own = [shingles(t).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([xxh3_64_intdigest(s) for s in own], dtype=np.uint64).view(np.int64)), pa.array(own, pa.binary())], names=["own", "s"])
+
+    wanted = counted_side(members.select(F.col("id").alias("doc_id")).distinct())
+    of = map_arrow(docs.join(wanted, "doc_id", "left_semi").select("text"), sets, "own long, s binary").groupBy("own").agg(F.first("s").alias("s"))
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, fp, ids in whole_buckets(batches, "fp", "id"):
-            own = fp.view(np.uint64)
-            order = np.lexsort((gray_rank(own), bucket))
-            ids = ids[order]
-            a, b = nearest_before(bucket[order], own[order], bits)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], names=["a", "b"])
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, found in whole_lists(batches):
+            ids = np.array(ids, dtype=np.int64)
+            root = stars([np.frombuffer(s, dtype=np.uint64) for s in found], least)
+            at = np.flatnonzero(root != np.arange(len(root)))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[root[at]]), pa.array(ids[at])], names=["a", "b"])
 
-    spread = dealt(first, max_bucket).repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return map_arrow(spread, near, "a long, b long").union(equal).where("a <> b").distinct()
+    dealt = members.join(of, "own").select("list", "id", "s").repartition(partitions(docs.sparkSession), "list").sortWithinPartitions("list")
+    return map_arrow(dealt, compare, "a long, b long").union(equal).where("a <> b").distinct()
 
 
-def near_copies(docs: DataFrame, least: float = SIMILARITY, tables: int = TABLES, max_bucket: int = 1 << 20) -> DataFrame:
+def near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id and root (the smallest id of its group) of every document that has a near copy."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    pairs = materialize(candidates(docs, tables, max_bucket=max_bucket), "candidates")
-    named = counted_side(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in sliced(batches, "text", 1 << 20):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([shingles(t).tobytes() for t in texts], pa.binary())], names=["doc_id", "s"])
-
-    of = materialize(map_arrow(docs.join(named, "doc_id", "left_semi"), sets, "doc_id long, s binary"), "shingles")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = ([np.frombuffer(x, dtype=np.uint64) for x in batch.column(c).to_pylist()] for c in ("sa", "sb"))
-            keep = pa.array([similarity(x, y) >= least for x, y in zip(a, b, strict=True)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(keep)
-
-    both = pairs.join(of.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    return components(map_arrow(both.select("a", "b", "sa", "sb"), compare, "a long, b long")).select(F.col("node").alias("doc_id"), "root")
+    return components(near_edges(docs, least)).select(F.col("node").alias("doc_id"), "root")
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
