@@ -106,3 +106,22 @@ def test_lists_and_stars_by_hand():
     assert sorted(row.tolist()) == [0, 1] and len(set(key.tolist())) == 1  # 4 is too short for 9, 7 for 10
     sets = [np.arange(k, k + 20, dtype=np.uint64) for k in (0, 50, 1, 2, 51, 100, 3, 7)]
     assert near_copies.stars(sets).tolist() == [0, 1, 0, 0, 1, 5, 0, 7]
+
+
+def edited(seed=11, least=0.8, most=0.9):
+    """Pairs that differ by one block, put in or cut out, with similarities between the two."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(2000)]
+    rows = []
+    while len(rows) < 200:
+        base = rng.choices(words, k=rng.randint(60, 400))
+        size, at = rng.randint(4, 80), rng.choice([0, len(base), rng.randrange(len(base))])
+        other = base[:at] + rng.choices(words, k=size) + base[at:] if rng.random() < 0.5 else base[:at] + base[at + size :]
+        if least <= alike(" ".join(base), " ".join(other)) < most:
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    return rows
+
+
+def test_blocks_put_in_or_cut_out(spark):
+    rows = edited()
+    assert {r.doc_id: r.root for r in near_copies.near_copies(docs(spark, rows)).collect()} == roots(rows)
