@@ -4,7 +4,7 @@ import numpy as np
 from helpers import ODD, docs
 
 import corpus_pipeline
-from tidewheel.llm import near_copies
+from tidewheel.llm import near_copies, simhash
 
 
 def sets(text):
@@ -125,3 +125,33 @@ def edited(seed=11, least=0.8, most=0.9):
 def test_blocks_put_in_or_cut_out(spark):
     rows = edited()
     assert {r.doc_id: r.root for r in near_copies.near_copies(docs(spark, rows)).collect()} == roots(rows)
+
+
+def test_a_document_that_goes_still_links(spark):
+    # 0 and 1 link by fingerprint, 1 and 2 are at 0.8 or more, 0 and 2 are not
+    rng = random.Random(2)
+    while True:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        first, last = list(base), list(base)
+        first[-1] = "other"
+        last[:6] = [f"u{rng.randrange(10**6)}" for _ in range(6)]
+        first, base, last = (" ".join(x) for x in (first, base, last))
+        a, b, c = (simhash.fingerprint(x.encode()) for x in (first, base, last))
+        if (a ^ b).bit_count() <= 3 and min((a ^ c).bit_count(), (b ^ c).bit_count()) > 3 and alike(base, last) >= 0.8 > alike(first, last):
+            break
+    kept = near_copies.one_of_each(docs(spark, [(0, first), (1, base), (2, last)])).collect()
+    assert [r.doc_id for r in kept] == [0]
+
+
+def test_bitmaps_part_no_near_sets():
+    rng = np.random.default_rng(1)
+    for size in (5, 40, 900, 20_000):
+        a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        b = np.unique(np.append(a[size // 9 :], rng.integers(0, 1 << 63, size // 9, dtype=np.uint64)))
+        bits = np.stack([near_copies.bitmap(x) for x in (a, b)])
+        assert (near_copies.bitmap(a) == near_copies.bitmap(a.copy())).all()
+        assert near_copies.similarity(a, b) >= 0.8 or size == 5
+        if near_copies.similarity(a, b) >= 0.8:
+            assert near_copies.possible(np.array([len(a), len(b)]), bits).tolist() == [0, 0]
+    far = [np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64)) for _ in range(2)]
+    assert near_copies.possible(np.array([300, 300]), np.stack([near_copies.bitmap(x) for x in far])).tolist() == [0, 1]

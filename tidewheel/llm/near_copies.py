@@ -6,7 +6,8 @@ components of near copies.
 Equal sets are one from the start. For the others shingles have an order, those that are common in a sample of texts last; which
 sample is drawn alters the work, never the result. Two sets of n shingles or less that are near share one of the first
 n - ceil(0.8 n) + 1 of each, so all near copies meet at a shingle of both their prefixes. The texts at a shingle are a list, cut
-where sizes are too far apart; equal lists are one. All pairs of a list are compared exactly in its task, but for those that earlier
+where sizes are too far apart and where parity bitmaps of the sets (`WORDS` longs) differ in more bits than near sets differ in
+shingles; equal lists are one, and so are all lists that members in common lead to, up to `WHOLE` members. All pairs of a list are compared exactly in its task, but for those that earlier
 pairs of it have linked; a list returns stars and not pairs, so a group of n copies costs n rows a list.
 
 A list is read by one task; its pairs that are not near take time with the square of the list's length.
@@ -17,7 +18,7 @@ rows that repeat an id are one document, near a copy if any of its texts is.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,12 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from tidewheel.llm.common import counted_side, map_arrow, partitions, ranges, sliced
-from tidewheel.llm.simhash import BITS, components, digests, near_pairs, representatives, whole_buckets, without
+from tidewheel.llm.simhash import BITS, components, digests, near_duplicates, near_pairs, whole_buckets, without
 from tidewheel.plans.scratch import materialize
 
 FINE, TABLES, WIDE, SIMILARITY = 2, 16, 5, 0.8
+WORDS = 32  # of a bitmap
+WHOLE = 4096
 SAMPLE, COMMON = 20_000, 500_000  # texts that tell which shingles are common, and how many of those are sent to the executors
 
 
@@ -98,6 +101,18 @@ def prefix(own: np.ndarray, order: tuple[np.ndarray, np.ndarray], least: float =
     return own[np.argsort(rank, kind="stable")[: len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1]]
 
 
+def mixed(own: np.ndarray) -> np.ndarray:
+    """Hashes of longs, to be added up over a list."""
+    h = own.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def bitmap(own: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """For each bit whether an odd number of the set's shingles fall on it. Bitmaps of two sets differ in no more bits than the sets in shingles."""
+    return np.packbits(np.bincount((own >> np.uint64(7)).astype(np.int64) % (64 * words), minlength=64 * words) & 1).view(np.uint64)
+
+
 def lists(bucket: np.ndarray, n: np.ndarray, own: np.ndarray, least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
     """Rows in lists of two or more, and each one's list by a hash of its members: rows of one bucket whose sizes n lead from one to the next within `least`. own: the set's number. Of equal lists the first is returned."""
     order = np.lexsort((own, n, bucket))
@@ -106,18 +121,33 @@ def lists(bucket: np.ndarray, n: np.ndarray, own: np.ndarray, least: float = SIM
     new[1:] = (bucket[1:] != bucket[:-1]) | (n[:-1] < least * n[1:] - 1e-9)
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(order)))
-    h = own.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    key = np.add.reduceat(h ^ (h >> np.uint64(29)), first) if len(first) else h
+    h = mixed(own)
+    key = np.add.reduceat(h, first) if len(first) else h
     some = np.flatnonzero(size > 1)
     some = some[np.unique(key[some], return_index=True)[1]]
     rows = np.repeat(first[some], size[some]) + ranges(size[some])
     return order[rows], np.repeat(key[some], size[some]).view(np.int64)
 
 
+def grouped(m: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The first of each one's component; near(i, later): which of `later` are near i. All pairs that are not yet in one component are compared."""
+    root = np.arange(m)
+    for i in range(m - 1):
+        later = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+        if len(later) and len(found := later[near(i, later)]):
+            joined = np.append(root[found], root[i])
+            root[np.isin(root, joined)] = joined.min()
+    return root
+
+
+def possible(n: np.ndarray, bits: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """Components of the sets of n shingles that their bitmaps (a row each) do not show to be too far apart."""
+    return grouped(len(n), lambda i, j: np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64) <= (n[j] + n[i]) * (1 - least) / (1 + least) + 1e-6)
+
+
 def stars(sets: list[np.ndarray], least: float = SIMILARITY) -> np.ndarray:
-    """The first of each set's component: all pairs that are not yet in one component are compared."""
-    m, root = len(sets), np.arange(len(sets))
+    """Components of near sets."""
+    m = len(sets)
     if m == 2:
         return np.array([0, int(similarity(*sets) < least)])
     n = np.array([len(s) for s in sets])
@@ -125,35 +155,29 @@ def stars(sets: list[np.ndarray], least: float = SIMILARITY) -> np.ndarray:
     count = np.bincount(local, minlength=len(kinds))
     rows, ends = np.repeat(np.arange(m), n)[np.argsort(local, kind="stable")], np.cumsum(count)
     at = np.cumsum(n) - n
-    for i in range(m - 1):
-        later = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
-        if not len(later):
-            continue
+
+    def near(i: int, later: np.ndarray) -> np.ndarray:
         if len(later) <= 4:
-            near = np.array([j for j in later if similarity(sets[i], sets[j]) >= least], dtype=np.int64)
-        else:
-            own = local[at[i] : at[i] + n[i]]
-            both = np.bincount(rows[np.repeat(ends[own] - count[own], count[own]) + ranges(count[own])], minlength=m)[later]
-            near = later[both / (n[i] + n[later] - both) >= least]
-        if len(near):
-            joined = np.append(root[near], root[i])
-            root[np.isin(root, joined)] = joined.min()
-    return root
+            return np.array([similarity(sets[i], sets[j]) >= least for j in later])
+        own = local[at[i] : at[i] + n[i]]
+        both = np.bincount(rows[np.repeat(ends[own] - count[own], count[own]) + ranges(count[own])], minlength=m)[later]
+        return both / (n[i] + n[later] - both) >= least
 
+    return grouped(m, near)
 
-def whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Ids and sets of each list, of a partition sorted by list."""
-    at, ids, sets = None, [], []
+
+def whole_lists(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[list[tuple]]:
+    """The rows of each list, of a partition sorted by list."""
+    at, rows = None, []
     for batch in batches:
-        for key, doc, s in zip(*(batch.column(c).to_pylist() for c in ("list", "id", "s")), strict=True):
-            if key != at and ids:
-                yield ids, sets
-                ids, sets = [], []
+        for key, *row in zip(*(batch.column(c).to_pylist() for c in ("list", *columns)), strict=True):
+            if key != at and rows:
+                yield rows
+                rows = []
             at = key
-            ids.append(doc)
-            sets.append(s)
-    if ids:
-        yield ids, sets
+            rows.append(row)
+    if rows:
+        yield rows
 
 
 def near_edges(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -166,9 +190,9 @@ def near_edges(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
             own = np.array([xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
             first = [prefix(s, sent.value, least).view(np.int64) if len(s) else s.view(np.int64) for s in sets]
             ends = np.append(0, np.cumsum([len(x) for x in first])).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(ends, np.concatenate(first))], names=["doc_id", "own", "n", "first"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(ends, np.concatenate(first)), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "own", "n", "first", "bits"])
 
-    own = materialize(map_arrow(docs.select("doc_id", "text"), run, "doc_id long, own long, n int, first array<long>"), "prefixes")
+    own = materialize(map_arrow(docs.select("doc_id", "text"), run, "doc_id long, own long, n int, first array<long>, bits binary"), "prefixes")
     # equal sets meet here: each names the smallest id that has it
     least_id = materialize(own.groupBy("own").agg(F.min("doc_id").alias("id")), "sets")
     named = own.select("doc_id", "own").join(least_id, "own")
@@ -181,7 +205,25 @@ def near_edges(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own[row]), pa.array(doc[row])], names=["list", "own", "id"])
 
     spread = each.select(F.explode("first").alias("bucket"), "own", F.col("doc_id").alias("id"), "n").repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
-    members = materialize(map_arrow(spread, meet, "list long, own long, id long").distinct(), "lists")
+    met = map_arrow(spread, meet, "list long, own long, id long").distinct()
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_lists(batches, "own", "id", "n", "bits"):
+            own, doc, n = (np.array(x, dtype=np.int64) for x in list(zip(*rows, strict=True))[:3])
+            root = possible(n, np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint64).reshape(len(rows), -1), least)
+            size = np.bincount(root, minlength=len(root))
+            key = np.zeros(len(root), dtype=np.uint64)
+            np.add.at(key, root, mixed(own))
+            at = np.flatnonzero(size[root] > 1)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(key[root[at]].view(np.int64)), pa.array(own[at]), pa.array(doc[at])], names=["list", "own", "id"])
+
+    drawn = met.join(each.select("own", "n", "bits"), "own").repartition(partitions(docs.sparkSession), "list").sortWithinPartitions("list")
+    parts = materialize(map_arrow(drawn.select("list", "own", "id", "n", "bits"), part, "list long, own long, id long").distinct(), "lists")
+    # a set in many lists would be sent to each
+    root = materialize(components(parts.join(parts.groupBy("list").agg(F.min("own").alias("a")), "list").select("a", F.col("own").alias("b"))), "whole")
+    whole = root.join(root.groupBy("root").count().where(F.col("count") <= WHOLE), "root").select(F.col("node").alias("own"), "root")
+    members = materialize(parts.join(whole, "own", "left").select(F.coalesce("root", "list").alias("list"), "own", "id").distinct(), "members")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in sliced(batches, "text", 1 << 20):
@@ -192,9 +234,9 @@ def near_edges(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     of = map_arrow(docs.join(wanted, "doc_id", "left_semi").select("text"), sets, "own long, s binary").groupBy("own").agg(F.first("s").alias("s"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, found in whole_lists(batches):
-            ids = np.array(ids, dtype=np.int64)
-            root = stars([np.frombuffer(s, dtype=np.uint64) for s in found], least)
+        for rows in whole_lists(batches, "id", "s"):
+            ids = np.array([r[0] for r in rows], dtype=np.int64)
+            root = stars([np.frombuffer(r[1], dtype=np.uint64) for r in rows], least)
             at = np.flatnonzero(root != np.arange(len(root)))
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[root[at]]), pa.array(ids[at])], names=["a", "b"])
@@ -209,7 +251,8 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     return components(near_edges(docs, least)).select(F.col("node").alias("doc_id"), "root")
 
 
-def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that stay when one document of each group does, the one with the smallest id: first of the groups that fingerprints of op10's contract link (equal texts among them), then of the near copies left."""
-    first = representatives(docs)
-    return without(first, near_copies(first, **how).where("doc_id > root").select("doc_id"))
+def one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The rows of docs that stay when one document of each group does, the one with the smallest id. Groups are the components of both relations together, so that a document links others even if it goes: fingerprints of op10's contract (equal texts among them), and near copies."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    linked = near_duplicates(own).where("doc_id > component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+    return without(docs, components(linked.union(near_edges(own, least))).where("node > root").select(F.col("node").alias("doc_id")))
