@@ -85,3 +85,17 @@ def test_foreign_text_is_rejected(spark):
     df = docs(spark, [*rows, (1000, "щука ёрш плотва окунь"), (1002, "the fox runs over the dog")])
     got = {r.doc_id: r for r in langid.identified(df).collect()}
     assert got[1000].rejected and not got[1002].rejected
+
+
+def test_a_long_run_is_read_to_its_end():
+    found = ["\x01\x01\x01a", "\x01\x01ab", "\x01aba", "abab", "baba", "\x01\x01\x01c", "\x01\x01cd", "\x01cdc", "cdcd", "dcdc"]
+    model = langid.Model(found, np.array([[9, 0]] * 5 + [[0, 9]] * 5), ["ab", "cd"])
+    run = langid.entropies(model)
+    text = "ab" * 40 + "cd" * 30_000
+    h = run([text.encode(), ("ab" * 40).encode(), b"ab " + text.encode()])
+    assert h.argmin(axis=1).tolist() == [1, 0, 1]
+    whole, n = model.score([text])
+    assert np.allclose(h[0], -whole[0] / n[0], rtol=1e-4)
+    for step in (1, 7, 64):
+        assert np.allclose(model.score_long(text[:300], step)[0], model.score([text[:300]])[0][0], rtol=1e-4)
+    assert langid.Scored()[text.encode()] == text

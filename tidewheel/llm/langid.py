@@ -96,26 +96,40 @@ class Model:
     def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each word its log probability in each language, and the number of predicted characters."""
         codes, start, n = spelled(words)
-        inner = np.flatnonzero(ranges(n) > 0)
+        firsts = np.cumsum(n - 1) - (n - 1)
+        return np.add.reduceat(self._logs(codes, start, np.flatnonzero(ranges(n) > 0)), firsts, axis=0), n - 1
+
+    def score_long(self, word: str, step: int = 1 << 14) -> tuple[np.ndarray, int]:
+        """score() of one word, however long, in slices that overlap by order - 1 characters."""
+        codes, _, _ = spelled([word])
+        total = np.zeros(len(self.languages))
+        for lo in range(1, len(codes), step):
+            own = codes[max(0, lo - self.order + 1) : lo + step]
+            total += self._logs(own, np.zeros(len(own), dtype=np.int64), np.arange(min(lo, self.order - 1), len(own))).sum(axis=0, dtype=np.float64)
+        return total, len(codes) - 1
+
+    def _logs(self, codes: np.ndarray, start: np.ndarray, inner: np.ndarray) -> np.ndarray:
+        """The log probability in each language of the characters at the places `inner`."""
         at = [h[inner] for h in grams(codes, start, self.order)]
         before = [h[inner - 1] for h in grams(codes, start, self.order - 1)]
         # a language that has seen nothing at all backs off to the alphabet
         p = self._look(self.disc[0], at[0], 0.0) + self.back[0][1][0] / ALPHABET
         for k in range(1, self.order):
             p = self._look(self.disc[k], at[k], 0.0) + self._look(self.back[k], before[k - 1], 1.0) * p
-        firsts = np.cumsum(n - 1) - (n - 1)
-        return np.add.reduceat(np.log(np.maximum(p, 1e-12)), firsts, axis=0), n - 1
+        return np.log(np.maximum(p, 1e-12))
 
 
 class Scored(dict):
-    """Letters of each word by its bytes ('' if it has none)."""
+    """Letters of each word by its bytes ('' if it has none). Long words are not remembered."""
 
-    most = 300_000
+    most, long = 300_000, 64
 
     def __missing__(self, word: bytes) -> str:
-        if len(self) > self.most:
-            self.clear()
-        self[word] = out = "".join(filter(str.isalpha, word.decode("utf-8", "replace").lower()))[:64]
+        out = "".join(filter(str.isalpha, word.decode("utf-8", "replace").lower()))
+        if len(word) <= 4 * self.long:
+            if len(self) > self.most:
+                self.clear()
+            self[word] = out
         return out
 
 
@@ -128,6 +142,13 @@ def entropies(model: Model) -> callable:
             known.clear()
             tables.clear()
         each = [[x for w in t.split() if (x := letters[w])] for t in texts]
+        total = np.zeros((len(texts), len(model.languages) + 1))
+        for i, ws in enumerate(each):
+            if ws and max(map(len, ws)) > Scored.long:
+                for x in ws:
+                    if len(x) > Scored.long:
+                        total[i] += np.append(*model.score_long(x))
+                each[i] = [x for x in ws if len(x) <= Scored.long]
         new = list({x for ws in each for x in ws if x not in known})
         if new:
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
@@ -140,8 +161,9 @@ def entropies(model: Model) -> callable:
         if len(at):
             some = np.flatnonzero(sizes)
             firsts = (np.cumsum(sizes) - sizes)[some]
-            total = np.add.reduceat(tables[0][at].astype(np.float64), firsts, axis=0)
-            out[some] = -total[:, :-1] / total[:, -1:]
+            total[some] += np.add.reduceat(tables[0][at].astype(np.float64), firsts, axis=0)
+        read = total[:, -1] > 0
+        out[read] = -total[read, :-1] / total[read, -1:]
         return out
 
     return run
@@ -174,13 +196,16 @@ def fitted(docs: DataFrame, where: Column, per_language: int = PER_LANGUAGE, rej
     drawn = _drawn(docs, where, per_language)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, seen = Scored(), Counter()
+        letters, seen, held = Scored(), Counter(), 0
         for part, texts in sliced(batches, "text"):
             for lang, t in zip(part.column("lang").to_pylist(), texts, strict=True):
-                seen.update((lang, x) for w in t.split() if (x := letters[w]))
-            if len(seen) > 200_000:
+                own = [x for w in t.split() if (x := letters[w])]
+                held += sum(n for n in map(len, own) if n > Scored.long)
+                seen.update((lang, x) for x in own)
+            if len(seen) > 200_000 or held > 1 << 20:
                 yield counted(seen)
                 seen.clear()
+                held = 0
         if seen:
             yield counted(seen)
 
