@@ -34,7 +34,7 @@ from tidewheel.plans.scratch import materialize
 FINE, TABLES, WIDE, SIMILARITY = 2, 16, 5, 0.8
 WORDS = 32  # of a bitmap
 WHOLE = 4096
-SAMPLE, COMMON = 20_000, 500_000  # texts that tell which shingles are common, and how many of those are sent to the executors
+SAMPLE, COMMON = 20_000, 65_536  # texts that tell which shingles are common, and how many of those are sent to the executors
 
 
 # fingerprints() and nearest_before() are not part of the search any more; only their tests use them
