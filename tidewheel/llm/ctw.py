@@ -1,29 +1,27 @@
 """Language-model scoring by context-tree weighting.
 
-A text is its class (a byte), its words, each closed by a space, then one more space, the end (an empty word). The class is a function of
-the text, its most frequent pair of neighbouring bytes, folded to 251 values; it is coded first, from the training texts' counts of
-classes, so what is scored remains one code for the whole text. Bytes are split into eight binary decisions. Each decision is
-predicted from the bytes before it in its word, at all depths from none to `DEPTH`, the nearest byte first; before a word stand a
-space and the class. In every node of the context tree a Krichevsky-Trofimov estimator has counted the training texts'
-decisions, and a node's weighted probability is half its own estimate and half the product of its children's. A text is scored by the
-trained tree: at each decision the depths are mixed by their weights after training. Since contexts end at the class, a word's
-probability is the same wherever it stands in texts of a class, and is worked out once.
-
-Distribution: each task turns its documents into bags of word numbers by blocks of about `BLOCK` bytes, and emits each block's words
-once; a word that stands in every document is one row a block and no hot key. Counts of words make a table of distinct words, sorted
-and cut into ranges, whose tasks emit the contexts of their words once (words of a range share their beginnings). Subtrees below a
-two-byte context are weighted where their contexts are; the two levels above have 65,280 nodes at most and are the only thing the
-driver sees. Contexts return to their ranges, which work out words, and words to their blocks, which score documents. All counts
-cover all training texts.
+A text is its words, each closed by a space, then one more space, the end (an empty word). Bytes are split into eight binary
+decisions. Each decision is predicted from the `DEPTH` bytes before it, whatever words they belong to, at all depths from none to
+`DEPTH`, the nearest byte first; before a text stand zeros. In every node of the context tree a Krichevsky-Trofimov estimator has
+counted the training texts' decisions, and a node's weighted probability is half its own estimate and half the product of its
+children's. A text is scored by the trained tree: at each decision the depths are mixed by their weights after training.
+
+Distribution: a context and the byte after it are a key of seven bytes. Each task turns its documents into blocks of about `BLOCK`
+bytes and counts a block's distinct keys; a key that stands in every document is one entry a block. Keys travel packed, some
+thousands a row, dealt by their hash to parts whose number follows the bytes of the texts, so that no key is hot. Distinct keys are
+then dealt by their nearest `TOP` bytes: subtrees below these are weighted where their keys are, and only the nodes of the levels above
+come to the driver (they depend on the alphabet: 255 a pair of bytes that occurs at most). Chances go back to the parts, from
+there to the blocks, which score their documents place by place. All counts cover all training texts.
 
 Defined results: null text is empty text, of one token (the end). Rows with a null id are training rows. Repeated rows are rows and count as
-often as they stand. An empty table gives no rows; with nothing to train on every decision has probability one half.
+often as they stand. Texts of any length are read in slices. An empty table gives no rows; with nothing to train on every decision
+has probability one half. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +33,10 @@ from pyspark.sql import functions as F
 from tidewheel.llm.common import id_remainder, map_arrow, partitions, ranges, sliced
 from tidewheel.plans.scratch import materialize, release
 
-DEPTH, BLOCK, CLASSES, STEPS = 7, 48 << 20, 252, 10**8
-SPACE = 32
+DEPTH, TOP = 6, 3
+BLOCK, PART = 48 << 20, 64 << 20
 HALF = math.log(0.5)
+_MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def log_gamma_half(n: np.ndarray, half: float) -> np.ndarray:
@@ -50,30 +49,103 @@ def log_gamma_half(n: np.ndarray, half: float) -> np.ndarray:
     return out
 
 
+_SMALL = {half: log_gamma_half(np.arange(4096.0), half) for half in (0.5, 1.0)}
+
+
+def _log_gamma(n: np.ndarray, half: float) -> np.ndarray:
+    table = _SMALL[half]
+    out = table[np.minimum(n, len(table) - 1).astype(np.int64)]
+    if len(large := np.flatnonzero(n >= len(table))):
+        out[large] = log_gamma_half(n[large], half)
+    return out
+
+
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log probability that the Krichevsky-Trofimov estimator gives to any sequence with these counts."""
-    return log_gamma_half(zeros, 0.5) + log_gamma_half(ones, 0.5) - log_gamma_half(zeros + ones, 1.0) - math.log(math.pi)
+    return _log_gamma(zeros, 0.5) + _log_gamma(ones, 0.5) - _log_gamma(zeros + ones, 1.0) - math.log(math.pi)
+
+
+def stream(body: bytes) -> bytes:
+    """The bytes to predict of words joined by spaces."""
+    return body + b"  " if body else b" "
+
+
+def places(streams: list[bytes], step: int = 1 << 21, most: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
+    """The key of every place (the DEPTH bytes before it, nearest first, then its own byte), some `step` places at a time; for each key a number under `most`, and the stream of each number."""
+    held: list[bytes] = []
+    sizes: list[int] = []
+    which: list[int] = []
+
+    def close() -> tuple[np.ndarray, np.ndarray, list[int]]:
+        flat, n = b"".join(held) + b"\0" * 8, np.array(sizes)
+        windows = np.ndarray(len(flat) - 7, dtype="<u8", buffer=flat, strides=(1,))
+        ends = np.cumsum(n + DEPTH)
+        w = windows[np.repeat(ends - n - DEPTH, n) + ranges(n)]
+        return (w & np.uint64((1 << 8 * DEPTH) - 1)) << 8 | w >> 8 * DEPTH & 255, np.repeat(np.arange(len(n)), n), list(which)
+
+    total = 0
+    for i, s in enumerate(streams):
+        for lo in range(0, len(s), step):
+            own = s[lo : lo + step]
+            held += [s[max(0, lo - DEPTH) : lo].rjust(DEPTH, b"\0"), own]
+            sizes.append(len(own))
+            which.append(i)
+            total += len(own)
+            if total >= step or len(which) == most:
+                yield close()
+                held, sizes, which, total = [], [], [], 0
+    if which:
+        yield close()
+
+
+def merged(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of several sorted arrays, and the sums of their counts."""
+    key, n = np.concatenate(keys), np.concatenate(n)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(n[order], first)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """First bytes of all numbers, then all second bytes, and so on: what compresses well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
 
-def class_of(words: list[bytes]) -> int:
-    """The most frequent pair of neighbouring bytes in words (of 4,096 hashes the smallest with the highest count), folded to 1..251; 0 if there is none."""
-    codes = np.frombuffer(b" ".join(words), dtype=np.uint8).astype(np.int64)
-    inside = (codes[1:] != SPACE) & (codes[:-1] != SPACE)
-    pairs = (codes[:-1] * 31 + codes[1:] & 4095)[inside]
-    return int(np.bincount(pairs).argmax()) % 251 + 1 if len(pairs) else 0
+def from_planes(data: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def contexts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """words: each after its class byte. The key of every place of every word (after the class): the DEPTH bytes before it, nearest first, then its own byte; and how many places each word has. Before the class stand zeros."""
-    codes = np.frombuffer(b" ".join(w[1:] for w in words) + b" " if words else b"", dtype=np.uint8).astype(np.uint64)
-    n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    kind = np.repeat(np.fromiter((w[0] for w in words), dtype=np.uint64, count=len(words)), n)
-    nth, at = ranges(n), np.arange(len(codes))
-    key = np.zeros(len(codes), dtype=np.uint64)
-    for k in range(1, DEPTH + 1):
-        before = np.where(nth == k - 1, np.uint64(SPACE), np.where(nth == k - 2, kind, np.uint64(0)))
-        key = key << 8 | np.where(nth >= k, codes[np.maximum(at - k, 0)], before)
-    return key << 8 | codes, n
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data, np.uint64), dtype=np.uint64)
+
+
+def dealt(of: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part that the hashes of `of` lead to, and the places in `of` that fall to it, in order."""
+    part = ((of * _MULT) >> 40) % parts
+    order = np.argsort(part.astype(np.int32), kind="stable")
+    ends = np.cumsum(np.bincount(part.astype(np.int64), minlength=parts))
+    for p in np.unique(part).astype(np.int64).tolist():
+        yield p, order[(ends[p - 1] if p else 0) : ends[p]]
+
+
+def by_group(batches: Iterator[pa.RecordBatch], group: str, *columns: str) -> Iterator[tuple[int, list[list]]]:
+    """Values and columns of each group of a partition sorted by group."""
+    at, rows = None, []
+    for batch in batches:
+        for key, *row in zip(*(batch.column(c).to_pylist() for c in (group, *columns)), strict=True):
+            if key != at and rows:
+                yield at, [list(x) for x in zip(*rows, strict=True)]
+                rows = []
+            at = key
+            rows.append(row)
+    if rows:
+        yield at, [list(x) for x in zip(*rows, strict=True)]
 
 
 class Level:
@@ -95,7 +167,7 @@ class Level:
         return (self.ones + 0.5) / (self.zeros + self.ones + 1)
 
 
-def levels(keys: np.ndarray, n: np.ndarray, depth: int) -> list[Level]:
+def levels(keys: np.ndarray, n: np.ndarray) -> list[Level]:
     """The eight levels of nodes of one depth over sorted distinct keys (context of that depth, then a byte) with counts."""
     out = []
     for k in range(8):
@@ -111,60 +183,68 @@ def parent(codes: np.ndarray, k: int) -> np.ndarray:
 
 
 def subtrees(keys: np.ndarray, n: np.ndarray) -> list[list[Level]]:
-    """Levels of depths 2 to DEPTH over sorted distinct whole keys, weighted from the deepest up."""
+    """Levels of depths TOP to DEPTH over sorted distinct whole keys, weighted from the deepest up."""
     n = n.astype(np.float64)
-    tree = {DEPTH: levels(keys, n, DEPTH)}
-    for d in range(DEPTH - 1, 1, -1):
-        keys, place = np.unique(keys >> 16 << 8 | keys & 255, return_inverse=True)
-        n = np.bincount(place, weights=n, minlength=len(keys))
-        tree[d] = levels(keys, n, d)
+    tree = {DEPTH: levels(keys, n)}
+    for d in range(DEPTH - 1, TOP - 1, -1):
+        keys = keys >> 16 << 8 | keys & 255
+        order = np.argsort(keys, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) > 0]))
+        keys, n = keys[order][first], np.add.reduceat(n[order], first)
+        tree[d] = levels(keys, n)
         for k, (up, down) in enumerate(zip(tree[d], tree[d + 1], strict=True)):
             up.under(np.bincount(np.searchsorted(up.codes, parent(down.codes, k)), weights=down.weighted, minlength=len(up.codes)))
-    return [tree[d] for d in range(2, DEPTH + 1)]
-
+    return [tree[d] for d in range(TOP, DEPTH + 1)]
 
-def runs(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(key, n) of whole two-byte contexts from batches sorted by key (as signed numbers), many small ones at a time; sorted as unsigned numbers."""
 
-    def unsigned(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(key.view(np.uint64))
-        return key.view(np.uint64)[order], n[order]
-
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    for b in batches:
-        if b.num_rows:
-            held.append((b.column("key").to_numpy(), b.column("n").to_numpy()))
-        if sum(len(x) for x, _ in held) < most:
-            continue
-        key, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        at = int(np.searchsorted(key, key[-1] >> 48 << 48))  # the last context may go on
-        if at:
-            yield unsigned(key[:at], n[:at])
-        held = [(key[at:], n[at:])]
-    if held:
-        yield unsigned(*(np.concatenate(x) for x in zip(*held, strict=True)))
+def runs(key: np.ndarray, n: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted keys and counts in runs of about `most` that hold whole contexts of TOP bytes."""
+    head = key >> 8 * (DEPTH + 1 - TOP)
+    first = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
+    at = 0
+    while at < len(key):
+        k = int(np.searchsorted(first, at + most, "right")) - 1
+        to = int(first[k]) if first[k] > at else int(first[k + 1]) if k + 1 < len(first) else len(key)
+        if at + most >= len(key):
+            to = len(key)
+        yield key[at:to], n[at:to]
+        at = to
 
 
 class Top:
-    """Depths 0 and 1: for each bit, the codes at depth 1 with the mixture so far (`sum`) and the weight left for deeper nodes (`rest`)."""
+    """Depths under TOP: for each bit, the codes at the deepest of them with the mixture so far (`sum`) and the weight left for deeper nodes (`rest`)."""
 
-    def __init__(self, rows: list[tuple[int, float, float, float]]):
-        """rows: code (bit << 16 | node), zeros, ones and the children's summed log probability of each node at depth 1."""
-        table = np.array(sorted(rows), dtype=np.float64).reshape(-1, 4)
-        code = table[:, 0].astype(np.int64)
+    def __init__(self, code: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray):
+        """code (bit << 32 | node), counts and the children's summed log probability of each node at depth TOP - 1."""
+        order = np.argsort(code)
+        code, zeros, ones, below = code[order], zeros[order], ones[order], below[order]
         self.codes, self.sum, self.rest = [], [], []
         for k in range(8):
-            own = table[code >> 16 == k]
-            one = Level(own[:, 0].astype(np.int64) & 65535, own[:, 1], own[:, 2])
-            one.under(own[:, 3])
-            root_codes, place = np.unique(parent(one.codes, k), return_inverse=True)
-            add = lambda x, place=place, size=len(root_codes): np.bincount(place, weights=x, minlength=size)
-            root = Level(root_codes, add(one.zeros), add(one.ones))
-            root.under(add(one.weighted))
-            w0, w1 = root.own()[place], one.own()
-            self.codes.append(one.codes)
-            self.sum.append(w0 * root.one()[place] + (1 - w0) * w1 * one.one())
-            self.rest.append((1 - w0) * (1 - w1))
+            own = code >> 32 == k
+            chain, up = [Level(code[own] & 0xFFFFFFFF, zeros[own], ones[own])], []
+            chain[0].under(below[own])
+            for _ in range(TOP - 1):
+                low = chain[-1]
+                codes, place = np.unique(parent(low.codes, k), return_inverse=True)
+                add = lambda x, place=place, size=len(codes): np.bincount(place, weights=x, minlength=size)
+                chain.append(Level(codes, add(low.zeros), add(low.ones)))
+                chain[-1].under(add(low.weighted))
+                up.append(place)
+            w = chain[-1].own()
+            mixed, rest = w * chain[-1].one(), 1 - w
+            for node, place in zip(chain[-2::-1], up[::-1], strict=True):
+                w = node.own()
+                mixed, rest = mixed[place] + rest[place] * w * node.one(), rest[place] * (1 - w)
+            self.codes.append(chain[0].codes)
+            self.sum.append(mixed)
+            self.rest.append(rest)
+
+
+def top_rows(key: np.ndarray, n: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """code, zeros, ones and below of Top from the subtrees of sorted distinct keys."""
+    for k, node in enumerate(subtrees(key, n)[0]):
+        code, place = np.unique(parent(node.codes, k), return_inverse=True)
+        yield [k << 32 | code, *(np.bincount(place, weights=x, minlength=len(code)) for x in (node.zeros, node.ones, node.weighted))]
 
 
 def log10_of(keys: np.ndarray, n: np.ndarray, top: Top) -> np.ndarray:
@@ -186,147 +266,188 @@ def log10_of(keys: np.ndarray, n: np.ndarray, top: Top) -> np.ndarray:
     return out
 
 
-class Numbers(dict):
-    """Numbers of words in the order they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = out = len(self)
-        return out
-
-
-ROWS = "block long, doc_id long, held_out boolean, bag binary, size long, n_tokens long, num int, word binary, n long"
+ROWS = "kind int, block long, part int, keys binary, n binary, p binary, word binary, c long, doc_id long, held_out boolean, body binary"
 NAMES = [x.split()[0] for x in ROWS.split(", ")]
-KINDS = dict(zip(NAMES, [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()], strict=True))
+KINDS = dict(zip(NAMES, [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.int64(), pa.bool_(), pa.binary()], strict=True))
+KEYS, WORDS, DOCS = 0, 1, 2
 
 
-def _batch(**cols) -> pa.RecordBatch:
+def _batch(kind: int, names: list[str] | None = None, **cols) -> pa.RecordBatch:
     size = len(next(iter(cols.values())))
-    return pa.RecordBatch.from_arrays([pa.array(cols[c], t) if c in cols else pa.nulls(size, t) for c, t in KINDS.items()], names=NAMES)
+    cols["kind"] = np.full(size, kind, dtype=np.int32)
+    names = names or NAMES
+    return pa.RecordBatch.from_arrays([pa.array(cols[c], KINDS[c]) if c in cols else pa.nulls(size, KINDS[c]) for c in names], names=names)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows for documents (bag: their word numbers and counts; n: class) and for the block's words, each after its class (n: count in training texts). A class byte alone is the end of a text."""
-    part = TaskContext.get().partitionId()
-    state = {"seq": 0, "bytes": 0}
-    numbers, train = Numbers(), np.zeros(1 << 16, dtype=np.int64)
+def _blocks(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows for documents, and for each block's distinct keys by part (n: counts in training texts) and its distinct words (c: likewise)."""
+    task = TaskContext.get().partitionId()
+    seq = size = 0
+    keys: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+    words: Counter = Counter()
 
     def closed() -> Iterator[pa.RecordBatch]:
-        block, words = part << 24 | state["seq"], list(numbers)
-        count = train[: len(words)]
-        step = 50_000
-        for lo in range(0, len(words), step):
-            own = words[lo : lo + step]
-            yield _batch(block=np.full(len(own), block), num=np.arange(lo, lo + len(own), dtype=np.int32), word=own, n=count[lo : lo + step])
+        block = task << 24 | seq
+        key, n = merged(keys, counts)
+        rows = [(p, packed(key[at]), planes(n[at].astype(np.uint32))) for p, at in dealt(key, parts)]
+        for lo in range(0, len(rows), 1000):
+            part, own, n = zip(*rows[lo : lo + 1000], strict=True)
+            yield _batch(KEYS, block=np.full(len(part), block), part=part, keys=own, n=n)
+        names, times = list(words), list(words.values())
+        for lo in range(0, len(names), 50_000):
+            own = names[lo : lo + 50_000]
+            yield _batch(WORDS, block=np.full(len(own), block), word=own, c=times[lo : lo + 50_000])
 
     for piece, texts in sliced(batches, "text"):
-        bags, sizes, tokens, kinds = [], [], [], []
         held = piece.column("held_out").to_pylist()
+        bodies = []
         for text, out in zip(texts, held, strict=True):
-            words = text.lower().split()
-            kinds.append(class_of(words))
-            first = bytes(kinds[-1:])
-            nums, times = np.unique(np.array([numbers[first], *[numbers[first + w] for w in words]], dtype=np.uint32), return_counts=True)
-            if len(numbers) > len(train):
-                train = np.concatenate([train, np.zeros(max(len(train), len(numbers) - len(train)), dtype=np.int64)])
-            if not out:
-                train[nums] += times
-            bags.append(zlib.compress(np.diff(nums, prepend=np.uint32(0)).astype("<u4").tobytes() + times.astype("<u4").tobytes(), 1))
-            tokens.append(len(words) + 1)
-            sizes.append(sum(map(len, words)) + len(words) + 1)
-            state["bytes"] += len(text)
-        yield _batch(block=np.full(len(bags), part << 24 | state["seq"]), doc_id=piece.column("doc_id"), held_out=held, bag=bags, size=sizes, n_tokens=tokens, n=kinds)
-        if state["bytes"] > BLOCK:
+            own = text.lower().split()
+            bodies.append(b" ".join(own))
+            own.append(b"")
+            if out:
+                words.update(dict.fromkeys(own, 0))
+            else:
+                words.update(own)
+        train = np.array([not x for x in held], dtype=np.uint64)
+        for key, slot, which in places([stream(b) for b in bodies]):
+            both = key << 1 | train[which][slot]
+            both.sort()
+            key = both >> 1
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            keys.append(key[first])
+            counts.append(np.add.reduceat((both & 1).astype(np.int64), first))
+            if len(keys) > 16:
+                keys, counts = ([x] for x in merged(keys, counts))
+        yield _batch(DOCS, block=np.full(len(bodies), task << 24 | seq), doc_id=piece.column("doc_id"), held_out=held, body=bodies)
+        size += sum(map(len, texts))
+        if size > BLOCK:
             yield from closed()
-            state["seq"], state["bytes"] = state["seq"] + 1, 0
-            numbers, train = Numbers(), np.zeros(1 << 16, dtype=np.int64)
-    if numbers:
+            seq, size = seq + 1, 0
+            keys, counts = [], []
+            words.clear()
+    if keys:
         yield from closed()
 
 
-def _unbagged(bag: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(zlib.decompress(bag), dtype="<u4")
-    half = len(both) // 2
-    return np.cumsum(both[:half]), both[half:]
+def _merge(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """The distinct keys of each part, dealt by their nearest bytes (`part` is now that of the nearest bytes)."""
+    for _, (keys, n) in by_group(batches, "part", "keys", "n"):
+        key, n = merged([unpacked(x) for x in keys], [from_planes(x, np.uint32).astype(np.int64) for x in n])
+        rows = [(p, packed(key[at]), planes(n[at])) for p, at in dealt(key >> 8 * (DEPTH + 1 - TOP), parts)]
+        part, own, n = zip(*rows, strict=True)
+        yield _batch(KEYS, ["part", "keys", "n"], part=part, keys=own, n=n)
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for _, (keys, n) in by_group(batches, "part", "keys", "n"):
+        yield from runs(*merged([unpacked(x) for x in keys], [from_planes(x, np.int64) for x in n]))
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block's keys with their chances; of a part, rows with chances come first."""
+    at, table = None, None
+    for batch in batches:
+        for part, block, keys, p in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "keys", "p")), strict=True):
+            if part != at:
+                at, table, held = part, None, []
+            if p is not None:
+                held.append((unpacked(keys), from_planes(p, np.float32)))
+                continue
+            if table is None:
+                own, chance = (np.concatenate(x) for x in zip(*held, strict=True))
+                order = np.argsort(own)
+                table, held = (own[order], chance[order]), []
+            chance = table[1][np.searchsorted(table[0], unpacked(keys))]
+            yield _batch(KEYS, SENT, block=[block], keys=[keys], p=[planes(chance)])
+
+
+SENT = ["block", "kind", "keys", "p", "word", "c", "doc_id", "held_out", "body"]
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+
+
+def _score(batches: Iterator[pa.RecordBatch], n_train: int, n_kinds: int) -> Iterator[pa.RecordBatch]:
+    """Documents of each block, after its chances and its words."""
+    at = table = None
+    held: list = []
+    counts: dict[bytes, int] = {}
+    for batch in batches:
+        block, kind = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+        edge = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (kind[1:] != kind[:-1]), [True]])) if len(block) else []
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            if block[lo] != at:
+                at, table, held, counts = block[lo], None, [], {}
+            own = batch.slice(lo, hi - lo)
+            if kind[lo] == KEYS:
+                held += [(unpacked(k), from_planes(p, np.float32)) for k, p in zip(own.column("keys").to_pylist(), own.column("p").to_pylist(), strict=True)]
+                continue
+            if kind[lo] == WORDS:
+                counts.update(zip(own.column("word").to_pylist(), own.column("c").to_pylist(), strict=True))
+                continue
+            if table is None:
+                key, chance = (np.concatenate(x) for x in zip(*held, strict=True))
+                order = np.argsort(key)
+                table, held = (key[order], chance[order].astype(np.float64)), []
+            for piece, bodies in sliced([own], "body"):
+                score, base, tokens, known = np.zeros(len(bodies)), [], [], []
+                streams = [stream(b) for b in bodies]
+                for key, slot, which in places(streams):
+                    both = key << 8 | slot.astype(np.uint64)
+                    both.sort()
+                    first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+                    times, both = np.diff(np.append(first, len(both))), both[first]
+                    chance = table[1][np.searchsorted(table[0], both >> 8)]
+                    np.add.at(score, which, np.bincount((both & 255).astype(np.int64), weights=times * chance, minlength=len(which)))
+                for b in bodies:
+                    words = b.split(b" ") if b else []
+                    words.append(b"")
+                    c = np.fromiter(map(counts.__getitem__, words), dtype=np.int64, count=len(words))
+                    base.append(float(np.log10((c + 1) / (n_train + n_kinds + 1)).sum()))
+                    tokens.append(len(c))
+                    known.append(int((c > 0).sum()))
+                bits = -score / math.log10(2) / np.array([len(s) for s in streams])
+                cols = [piece.column("doc_id"), piece.column("held_out"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array([n_train] * len(base), pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(bits)]
+                yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SCORED.split(", ")])
 
 
 def scored(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     """For every row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigrams), score (log10 probability of the text under the tree) and bits_per_byte."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (id_remainder(F.col("doc_id"), folds) == held).alias("held_out"))
-    rows = materialize(map_arrow(own, _blocks, ROWS), "blocks")
-    words = rows.where("word is not null").select("block", "num", "word", "n")
-
-    n = partitions(spark)
-    distinct = words.groupBy("word").agg(F.sum("n").alias("n"))
-    ranged = materialize(distinct.repartitionByRange(n, "word").sortWithinPartitions("word").withColumn("part", F.spark_partition_id()), "ranged")
-    counts = materialize(ranged.groupBy(F.expr("substring(word, 2)").alias("plain")).agg(F.sum("n").alias("c")), "words")
-    total = counts.agg(F.sum("c").alias("n"), F.sum(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    parts = max(partitions(spark), (own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // PART)
+    rows = materialize(map_arrow(own, lambda batches: _blocks(batches, parts), ROWS), "blocks")
+
+    words = rows.where(F.col("kind") == WORDS).select("block", "word", "c")
+    counts = materialize(words.groupBy("word").agg(F.sum("c").alias("c")), "words")
+    total = counts.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n_train, n_kinds = total["n"] or 0, total["v"] or 0
-    of_class = np.zeros(CLASSES)
-    for r in ranged.where("octet_length(word) = 1").select("word", "n").collect():  # one row a class
-        of_class[r["word"][0]] = r["n"]
-    class_chance = np.log10((of_class + 0.5) / (of_class.sum() + 0.5 * CLASSES))
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names, part, times = b.column("word").to_pylist(), b.column("part").to_numpy(), b.column("n").to_numpy()
-            for p in np.unique(part):  # a batch holds few ranges
-                own = np.flatnonzero(part == p)
-                keys, places = contexts([names[i] for i in own])
-                keys, place = np.unique(keys, return_inverse=True)
-                n = np.bincount(place, weights=np.repeat(times[own], places), minlength=len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), p, dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], names=["part", "key", "n"])
-
-    # a key may stand once for each batch of its range: counts add up, and its chance is the same
-    keys = materialize(map_arrow(ranged.select("part", "word", "n"), spell, "part int, key long, n long"), "spelled")
-    tree = materialize(keys.groupBy("key").agg(F.sum("n").alias("n")), "contexts")
-    dealt = tree.repartition(n, F.shiftright("key", 48)).sortWithinPartitions("key")
+
+    keys = rows.where(F.col("kind") == KEYS)
+    together = lambda df, *by: df.repartition(parts, by[0]).sortWithinPartitions(*by)
+    tree = materialize(map_arrow(together(keys.select("part", "keys", "n"), "part"), lambda batches: _merge(batches, parts), "part int, keys binary, n binary"), "contexts")
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, n in runs(batches):
-            for k, node in enumerate(subtrees(key, n)[0]):
-                code, place = np.unique(parent(node.codes, k), return_inverse=True)
-                cols = [np.bincount(place, weights=x, minlength=len(code)) for x in (node.zeros, node.ones, node.weighted)]
-                yield pa.RecordBatch.from_arrays([pa.array(k << 16 | code), *map(pa.array, cols)], names=["code", "zeros", "ones", "below"])
+        for key, n in _trees(batches):
+            for cols in top_rows(key, n):
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["code", "zeros", "ones", "below"])
 
-    weighed = map_arrow(dealt, weigh, "code long, zeros double, ones double, below double").groupBy("code").agg(F.sum("zeros"), F.sum("ones"), F.sum("below"))
-    top = spark.sparkContext.broadcast(Top([tuple(r) for r in weighed.collect()]))
+    weighed = map_arrow(together(tree, "part"), weigh, "code long, zeros double, ones double, below double").groupBy("code").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below")).toArrow()
+    top = spark.sparkContext.broadcast(Top(*(weighed.column(c).to_numpy() for c in ("code", "zeros", "ones", "below"))))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, n in runs(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(log10_of(key, n, top.value))], names=["key", "p"])
-
-    chances = map_arrow(dealt, predict, "key long, p double")
-
-    def word_chances(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = left.column("word").to_pylist()
-        key = right.column("key").to_numpy()
-        order = np.argsort(key)
-        place, sizes = contexts(names)
-        p = right.column("p").to_numpy()[order][np.searchsorted(key[order], place.view(np.int64))]
-        return pa.table([left.column("word"), pa.array(np.add.reduceat(p, np.cumsum(sizes) - sizes))], names=["word", "p"])
-
-    by_part = keys.select("part", "key").join(chances, "key").select(F.col("part").alias("of_part"), "key", "p")
-    likely = ranged.select("part", "word").groupBy("part").cogroup(by_part.groupBy("of_part")).applyInArrow(word_chances, "word binary, p double")
-    # chances travel in steps of 1 / STEPS of a decade: half the bytes of a double
-    known = materialize(likely.withColumn("plain", F.expr("substring(word, 2)")).join(counts, "plain").select("word", "c", F.round(F.col("p") * STEPS).cast("long").alias("p")), "known")
-    release(ranged, counts, keys, tree)
-    told = words.select("block", "num", "word").join(known, "word").select("block", "num", "c", "p")
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right.column("num").to_numpy())
-        count, chance = right.column("c").to_numpy()[order], right.column("p").to_numpy()[order] / STEPS
-        base = np.log10((count + 1) / (n_train + n_kinds + 1))
-        seen = count > 0
-        out = []
-        for bag, kind in zip(left.column("bag").to_pylist(), left.column("n").to_pylist(), strict=True):
-            num, times = _unbagged(bag)
-            out.append((int(times[seen[num]].sum()), float(times @ base[num]), float(times @ chance[num] + class_chance[kind])))
-        known_, base_, score_ = zip(*out, strict=True)
-        bits = [-s / math.log10(2) / n for s, n in zip(score_, left.column("size").to_pylist(), strict=True)]
-        cols = [left.column("doc_id"), left.column("held_out"), left.column("n_tokens"), pa.array(known_, pa.int64()), pa.array([n_train] * len(out), pa.int64()), pa.array(base_), pa.array(score_), pa.array(bits)]
-        return pa.table(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
-
-    bags = rows.where("bag is not null").select(F.col("block").alias("of_block"), "doc_id", "held_out", "bag", "size", "n_tokens", "n")
-    return bags.groupBy("of_block").cogroup(told.groupBy("block")).applyInArrow(score, schema)
+        for key, n in _trees(batches):
+            p = log10_of(key, n, top.value).astype(np.float32)
+            part, own, chance = zip(*((i, packed(key[at]), planes(p[at])) for i, at in dealt(key, parts)), strict=True)
+            yield _batch(KEYS, ["part", "kind", "block", "keys", "p"], part=part, keys=own, p=chance)
+
+    chances = map_arrow(together(tree, "part"), predict, "part int, kind int, block long, keys binary, p binary")
+    both = chances.union(keys.select("part", F.lit(1).alias("kind"), "block", "keys", F.lit(None).cast("binary").alias("p")))
+    told = map_arrow(together(both, "part", "kind"), _told, ", ".join(next(x for x in ROWS.split(", ") if x.split()[0] == c) for c in SENT))
+    named = words.select("block", "word").join(counts, "word")
+    fill = lambda df: df.select(*(c if c in df.columns else F.lit(None).cast(told.schema[c].dataType).alias(c) for c in SENT))
+    every = told.union(fill(named.withColumn("kind", F.lit(WORDS)))).union(fill(rows.where(F.col("kind") == DOCS).select("block", "kind", "doc_id", "held_out", "body")))
+    out = materialize(map_arrow(together(every, "block", "kind"), lambda batches: _score(batches, n_train, n_kinds), SCORED), "scores")
+    release(rows, counts, tree)
+    top.destroy()
+    return out
