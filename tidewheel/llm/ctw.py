@@ -7,11 +7,12 @@ counted the training texts' decisions, and a node's weighted probability is half
 children's. A text is scored by the trained tree: at each decision the depths are mixed by their weights after training.
 
 Distribution: a context and the byte after it are a key of seven bytes. Each task turns its documents into blocks of about `BLOCK`
-bytes and counts a block's distinct keys; a key that stands in every document is one entry a block. Keys travel packed, some
-thousands a row, dealt by their hash to parts whose number follows the bytes of the texts, so that no key is hot. Distinct keys are
-then dealt by their nearest `TOP` bytes: subtrees below these are weighted where their keys are, and only the nodes of the levels above
-come to the driver (they depend on the alphabet: 255 a pair of bytes that occurs at most). Chances go back to the parts, from
-there to the blocks, which score their documents place by place. All counts cover all training texts.
+bytes and counts a block's distinct keys and words; what stands in every document is one entry a block. Keys, and hashes of words,
+travel packed, some thousands a row, dealt by their hash to parts whose number follows the bytes of the texts, so that none is hot.
+Distinct keys are then dealt by their nearest `TOP` bytes: subtrees below these are weighted where their keys are, and only the nodes
+of the levels above come to the driver (they depend on the alphabet: 255 a pair of bytes that occurs at most). Chances go back to the
+parts, from there to the blocks, which score their documents place by place. All counts cover all training texts. Words are told
+apart by 64 bits: among a billion words two share a count with a chance of 3 %.
 
 Defined results: null text is empty text, of one token (the end). Rows with a null id are training rows. Repeated rows are rows and count as
 often as they stand. Texts of any length are read in slices. An empty table gives no rows; with nothing to train on every decision
@@ -21,7 +22,6 @@ has probability one half. Columns other than id and text are not read.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from tidewheel.llm.common import id_remainder, map_arrow, partitions, ranges, sliced
 from tidewheel.plans.scratch import materialize, release
@@ -134,16 +135,16 @@ def dealt(of: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
         yield p, order[(ends[p - 1] if p else 0) : ends[p]]
 
 
-def by_group(batches: Iterator[pa.RecordBatch], group: str, *columns: str) -> Iterator[tuple[int, list[list]]]:
-    """Values and columns of each group of a partition sorted by group."""
+def by_group(batches: Iterator[pa.RecordBatch], groups: tuple[str, ...], *columns: str) -> Iterator[tuple[tuple, list[list]]]:
+    """Values and columns of each group of a partition sorted by groups."""
     at, rows = None, []
     for batch in batches:
-        for key, *row in zip(*(batch.column(c).to_pylist() for c in (group, *columns)), strict=True):
-            if key != at and rows:
+        for row in zip(*(batch.column(c).to_pylist() for c in (*groups, *columns)), strict=True):
+            if row[: len(groups)] != at and rows:
                 yield at, [list(x) for x in zip(*rows, strict=True)]
                 rows = []
-            at = key
-            rows.append(row)
+            at = row[: len(groups)]
+            rows.append(row[len(groups) :])
     if rows:
         yield at, [list(x) for x in zip(*rows, strict=True)]
 
@@ -266,149 +267,176 @@ def log10_of(keys: np.ndarray, n: np.ndarray, top: Top) -> np.ndarray:
     return out
 
 
-ROWS = "kind int, block long, part int, keys binary, n binary, p binary, word binary, c long, doc_id long, held_out boolean, body binary"
-NAMES = [x.split()[0] for x in ROWS.split(", ")]
-KINDS = dict(zip(NAMES, [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.int64(), pa.bool_(), pa.binary()], strict=True))
+#: Kinds of rows: packed keys, packed hashes of words (n: counts, p: chances or counts), and packed documents.
 KEYS, WORDS, DOCS = 0, 1, 2
+TYPES = {"kind": pa.int32(), "block": pa.int64(), "part": pa.int32(), "keys": pa.binary(), "n": pa.binary(), "p": pa.binary(), "total": pa.int64(), "distinct": pa.int64(), "doc_id": pa.list_(pa.int64()), "held_out": pa.list_(pa.bool_()), "body": pa.binary(), "size": pa.int64()}
+_NAMES = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>", pa.list_(pa.bool_()): "array<boolean>"}
+BLOCKS = ["kind", "block", "part", "keys", "n", "doc_id", "held_out", "body", "size"]
+DISTINCT = ["kind", "part", "keys", "n", "total", "distinct"]
+CHANCES = ["kind", "part", "block", "keys", "p"]
+SENT = ["kind", "block", "part", "p", "doc_id", "held_out", "body", "size"]
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+
 
+def schema(names: list[str]) -> str:
+    return ", ".join(f"{c} {_NAMES[TYPES[c]]}" for c in names)
 
-def _batch(kind: int, names: list[str] | None = None, **cols) -> pa.RecordBatch:
+
+def _batch(names: list[str], **cols) -> pa.RecordBatch:
     size = len(next(iter(cols.values())))
-    cols["kind"] = np.full(size, kind, dtype=np.int32)
-    names = names or NAMES
-    return pa.RecordBatch.from_arrays([pa.array(cols[c], KINDS[c]) if c in cols else pa.nulls(size, KINDS[c]) for c in names], names=names)
+    return pa.RecordBatch.from_arrays([pa.array(cols[c], TYPES[c]) if c in cols else pa.nulls(size, TYPES[c]) for c in names], names=names)
+
+
+class Hashes(dict):
+    """Hash of each word by its bytes. Bounded."""
+
+    most = 400_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > self.most:
+            self.clear()
+        self[word] = out = xxh64_intdigest(word)
+        return out
+
+    def of(self, body: bytes) -> np.ndarray:
+        """Of the words of a text, the end last."""
+        words = body.split(b" ") if body else []
+        words.append(b"")
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+class Counts:
+    """Distinct numbers and how often they count, from many pieces."""
+
+    def __init__(self):
+        self.keys: list[np.ndarray] = []
+        self.n: list[np.ndarray] = []
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Numbers in any order; counts: whether each one counts."""
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        self.put(keys[first], np.add.reduceat(counts[order].astype(np.int64), first))
+
+    def put(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.n.append(n)
+        if len(self.keys) > 16:
+            self.keys, self.n = ([x] for x in merged(self.keys, self.n))
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        return merged(self.keys, self.n)
+
+
+def counted(bodies: list[bytes], held: list[bool], keys: Counts, words: Counts, hashes: Hashes) -> None:
+    """Adds the keys and words of texts; those of held texts count for nothing."""
+    train = np.array([not x for x in held], dtype=np.uint64)
+    for key, slot, which in places([stream(b) for b in bodies]):
+        both = key << 1 | train[which][slot]
+        both.sort()
+        key = both >> 1
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        keys.put(key[first], np.add.reduceat((both & 1).astype(np.int64), first))
+    own = [hashes.of(b) for b in bodies]
+    words.add(np.concatenate(own), np.repeat(train, list(map(len, own))))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Rows for documents, and for each block's distinct keys by part (n: counts in training texts) and its distinct words (c: likewise)."""
+    """Rows for documents, and for each block's distinct keys and words by part (n: counts in training texts)."""
     task = TaskContext.get().partitionId()
     seq = size = 0
-    keys: list[np.ndarray] = []
-    counts: list[np.ndarray] = []
-    words: Counter = Counter()
+    keys, words, hashes = Counts(), Counts(), Hashes()
 
     def closed() -> Iterator[pa.RecordBatch]:
-        block = task << 24 | seq
-        key, n = merged(keys, counts)
-        rows = [(p, packed(key[at]), planes(n[at].astype(np.uint32))) for p, at in dealt(key, parts)]
-        for lo in range(0, len(rows), 1000):
-            part, own, n = zip(*rows[lo : lo + 1000], strict=True)
-            yield _batch(KEYS, block=np.full(len(part), block), part=part, keys=own, n=n)
-        names, times = list(words), list(words.values())
-        for lo in range(0, len(names), 50_000):
-            own = names[lo : lo + 50_000]
-            yield _batch(WORDS, block=np.full(len(own), block), word=own, c=times[lo : lo + 50_000])
+        for kind, counts in ((KEYS, keys), (WORDS, words)):
+            key, n = counts.all()
+            rows = [(p, packed(key[at]), planes(n[at].astype(np.uint32))) for p, at in dealt(key, parts)]
+            for lo in range(0, len(rows), 1000):
+                part, own, n = zip(*rows[lo : lo + 1000], strict=True)
+                yield _batch(BLOCKS, kind=[kind] * len(part), block=[task << 24 | seq] * len(part), part=part, keys=own, n=n)
 
     for piece, texts in sliced(batches, "text"):
         held = piece.column("held_out").to_pylist()
-        bodies = []
-        for text, out in zip(texts, held, strict=True):
-            own = text.lower().split()
-            bodies.append(b" ".join(own))
-            own.append(b"")
-            if out:
-                words.update(dict.fromkeys(own, 0))
-            else:
-                words.update(own)
-        train = np.array([not x for x in held], dtype=np.uint64)
-        for key, slot, which in places([stream(b) for b in bodies]):
-            both = key << 1 | train[which][slot]
-            both.sort()
-            key = both >> 1
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            keys.append(key[first])
-            counts.append(np.add.reduceat((both & 1).astype(np.int64), first))
-            if len(keys) > 16:
-                keys, counts = ([x] for x in merged(keys, counts))
-        yield _batch(DOCS, block=np.full(len(bodies), task << 24 | seq), doc_id=piece.column("doc_id"), held_out=held, body=bodies)
+        bodies = [b" ".join(t.lower().split()) for t in texts]
+        counted(bodies, held, keys, words, hashes)
+        joined = b"\n".join(bodies)
+        yield _batch(BLOCKS, kind=[DOCS], block=[task << 24 | seq], doc_id=[piece.column("doc_id").to_pylist()], held_out=[held], body=[pa.compress(joined, "zstd", asbytes=True)], size=[len(joined)])
         size += sum(map(len, texts))
         if size > BLOCK:
             yield from closed()
-            seq, size = seq + 1, 0
-            keys, counts = [], []
-            words.clear()
-    if keys:
+            seq, size, keys, words = seq + 1, 0, Counts(), Counts()
+    if keys.keys:
         yield from closed()
 
 
 def _merge(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """The distinct keys of each part, dealt by their nearest bytes (`part` is now that of the nearest bytes)."""
-    for _, (keys, n) in by_group(batches, "part", "keys", "n"):
+    """The distinct words of each part, with the sum and number of their counts; its distinct keys, dealt by their nearest bytes (`part` is now that of the nearest bytes)."""
+    for (part, kind), (keys, n) in by_group(batches, ("part", "kind"), "keys", "n"):
         key, n = merged([unpacked(x) for x in keys], [from_planes(x, np.uint32).astype(np.int64) for x in n])
-        rows = [(p, packed(key[at]), planes(n[at])) for p, at in dealt(key >> 8 * (DEPTH + 1 - TOP), parts)]
-        part, own, n = zip(*rows, strict=True)
-        yield _batch(KEYS, ["part", "keys", "n"], part=part, keys=own, n=n)
+        if kind == WORDS:
+            yield _batch(DISTINCT, kind=[WORDS], part=[part], keys=[packed(key)], n=[planes(n)], total=[int(n.sum())], distinct=[int((n > 0).sum())])
+            continue
+        part, own, n = zip(*((p, packed(key[at]), planes(n[at])) for p, at in dealt(key >> 8 * (DEPTH + 1 - TOP), parts)), strict=True)
+        yield _batch(DISTINCT, kind=[KEYS] * len(part), part=part, keys=own, n=n)
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for _, (keys, n) in by_group(batches, "part", "keys", "n"):
+    for _, (keys, n) in by_group(batches, ("part",), "keys", "n"):
         yield from runs(*merged([unpacked(x) for x in keys], [from_planes(x, np.int64) for x in n]))
 
 
 def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each block's keys with their chances; of a part, rows with chances come first."""
+    """The chances (or counts) of each block's keys, in their order; of a part and kind, rows with chances come first (their block is null)."""
     at, table = None, None
     for batch in batches:
-        for part, block, keys, p in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "keys", "p")), strict=True):
-            if part != at:
-                at, table, held = part, None, []
-            if p is not None:
-                held.append((unpacked(keys), from_planes(p, np.float32)))
+        for part, kind, block, keys, p in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "block", "keys", "p")), strict=True):
+            if (part, kind) != at:
+                at, table, held, of = (part, kind), None, [], np.float32 if kind == KEYS else np.int64
+            if block is None:
+                held.append((unpacked(keys), from_planes(p, of)))
                 continue
             if table is None:
                 own, chance = (np.concatenate(x) for x in zip(*held, strict=True))
                 order = np.argsort(own)
                 table, held = (own[order], chance[order]), []
-            chance = table[1][np.searchsorted(table[0], unpacked(keys))]
-            yield _batch(KEYS, SENT, block=[block], keys=[keys], p=[planes(chance)])
-
-
-SENT = ["block", "kind", "keys", "p", "word", "c", "doc_id", "held_out", "body"]
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-
-
-def _score(batches: Iterator[pa.RecordBatch], n_train: int, n_kinds: int) -> Iterator[pa.RecordBatch]:
-    """Documents of each block, after its chances and its words."""
-    at = table = None
-    held: list = []
-    counts: dict[bytes, int] = {}
-    for batch in batches:
-        block, kind = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
-        edge = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (kind[1:] != kind[:-1]), [True]])) if len(block) else []
-        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-            if block[lo] != at:
-                at, table, held, counts = block[lo], None, [], {}
-            own = batch.slice(lo, hi - lo)
-            if kind[lo] == KEYS:
-                held += [(unpacked(k), from_planes(p, np.float32)) for k, p in zip(own.column("keys").to_pylist(), own.column("p").to_pylist(), strict=True)]
-                continue
-            if kind[lo] == WORDS:
-                counts.update(zip(own.column("word").to_pylist(), own.column("c").to_pylist(), strict=True))
-                continue
-            if table is None:
-                key, chance = (np.concatenate(x) for x in zip(*held, strict=True))
-                order = np.argsort(key)
-                table, held = (key[order], chance[order].astype(np.float64)), []
-            for piece, bodies in sliced([own], "body"):
-                score, base, tokens, known = np.zeros(len(bodies)), [], [], []
-                streams = [stream(b) for b in bodies]
-                for key, slot, which in places(streams):
-                    both = key << 8 | slot.astype(np.uint64)
-                    both.sort()
-                    first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
-                    times, both = np.diff(np.append(first, len(both))), both[first]
-                    chance = table[1][np.searchsorted(table[0], both >> 8)]
-                    np.add.at(score, which, np.bincount((both & 255).astype(np.int64), weights=times * chance, minlength=len(which)))
-                for b in bodies:
-                    words = b.split(b" ") if b else []
-                    words.append(b"")
-                    c = np.fromiter(map(counts.__getitem__, words), dtype=np.int64, count=len(words))
-                    base.append(float(np.log10((c + 1) / (n_train + n_kinds + 1)).sum()))
-                    tokens.append(len(c))
-                    known.append(int((c > 0).sum()))
-                bits = -score / math.log10(2) / np.array([len(s) for s in streams])
-                cols = [piece.column("doc_id"), piece.column("held_out"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array([n_train] * len(base), pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(bits)]
-                yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SCORED.split(", ")])
+            yield _batch(SENT, kind=[kind], block=[block], part=[part], p=[planes(table[1][np.searchsorted(table[0], unpacked(keys))])])
+
+
+def _score(batches: Iterator[pa.RecordBatch], parts: int, n_train: int, n_kinds: int) -> Iterator[pa.RecordBatch]:
+    """Scores of the documents of each block; what its chances belong to is worked out anew from the documents, in the same order."""
+    for _, (kinds, part, p, ids, held, bodies, sizes) in by_group(batches, ("block",), "kind", "part", "p", "doc_id", "held_out", "body", "size"):
+        own = [i for i, kind in enumerate(kinds) if kind == DOCS]
+        texts = {i: pa.decompress(bodies[i], sizes[i], "zstd", asbytes=True).split(b"\n") for i in own}
+        keys, words, hashes = Counts(), Counts(), Hashes()
+        for i in own:
+            counted(texts[i], held[i], keys, words, hashes)
+        tables = []
+        for kind, counts, of in ((KEYS, keys, np.float32), (WORDS, words, np.int64)):
+            told = {part[i]: p[i] for i, k in enumerate(kinds) if k == kind}
+            key = counts.all()[0]
+            value = np.empty(len(key), dtype=of)
+            for q, at in dealt(key, parts):
+                value[at] = from_planes(told[q], of)
+            tables.append((key, value.astype(np.float64) if kind == KEYS else value))
+        (key, chance), (word, count) = tables
+        for i in own:
+            score, base, tokens, known = np.zeros(len(texts[i])), [], [], []
+            streams = [stream(b) for b in texts[i]]
+            for both, slot, which in places(streams):
+                both = both << 8 | slot.astype(np.uint64)
+                both.sort()
+                first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+                times, both = np.diff(np.append(first, len(both))), both[first]
+                np.add.at(score, which, np.bincount((both & 255).astype(np.int64), weights=times * chance[np.searchsorted(key, both >> 8)], minlength=len(which)))
+            for b in texts[i]:
+                c = count[np.searchsorted(word, hashes.of(b))]
+                base.append(float(np.log10((c + 1) / (n_train + n_kinds + 1)).sum()))
+                tokens.append(len(c))
+                known.append(int((c > 0).sum()))
+            bits = -score / math.log10(2) / np.array([len(s) for s in streams])
+            cols = [pa.array(ids[i], pa.int64()), pa.array(held[i], pa.bool_()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array([n_train] * len(base), pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(bits)]
+            yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SCORED.split(", ")])
 
 
 def scored(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
@@ -416,38 +444,34 @@ def scored(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (id_remainder(F.col("doc_id"), folds) == held).alias("held_out"))
     parts = max(partitions(spark), (own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // PART)
-    rows = materialize(map_arrow(own, lambda batches: _blocks(batches, parts), ROWS), "blocks")
-
-    words = rows.where(F.col("kind") == WORDS).select("block", "word", "c")
-    counts = materialize(words.groupBy("word").agg(F.sum("c").alias("c")), "words")
-    total = counts.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    together = lambda df, *by: df.repartition(parts, by[0]).sortWithinPartitions(*by)
+    rows = materialize(map_arrow(own, lambda batches: _blocks(batches, parts), schema(BLOCKS)), "blocks")
+    keys = rows.where(F.col("kind") != DOCS)
+    distinct = materialize(map_arrow(together(keys.select("part", "kind", "keys", "n"), "part", "kind"), lambda batches: _merge(batches, parts), schema(DISTINCT)), "distinct")
+    total = distinct.agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).first()
     n_train, n_kinds = total["n"] or 0, total["v"] or 0
 
-    keys = rows.where(F.col("kind") == KEYS)
-    together = lambda df, *by: df.repartition(parts, by[0]).sortWithinPartitions(*by)
-    tree = materialize(map_arrow(together(keys.select("part", "keys", "n"), "part"), lambda batches: _merge(batches, parts), "part int, keys binary, n binary"), "contexts")
+    tree = together(distinct.where(F.col("kind") == KEYS).select("part", "keys", "n"), "part")
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, n in _trees(batches):
             for cols in top_rows(key, n):
                 yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["code", "zeros", "ones", "below"])
 
-    weighed = map_arrow(together(tree, "part"), weigh, "code long, zeros double, ones double, below double").groupBy("code").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below")).toArrow()
+    weighed = map_arrow(tree, weigh, "code long, zeros double, ones double, below double").groupBy("code").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below")).toArrow()
     top = spark.sparkContext.broadcast(Top(*(weighed.column(c).to_numpy() for c in ("code", "zeros", "ones", "below"))))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, n in _trees(batches):
             p = log10_of(key, n, top.value).astype(np.float32)
             part, own, chance = zip(*((i, packed(key[at]), planes(p[at])) for i, at in dealt(key, parts)), strict=True)
-            yield _batch(KEYS, ["part", "kind", "block", "keys", "p"], part=part, keys=own, p=chance)
-
-    chances = map_arrow(together(tree, "part"), predict, "part int, kind int, block long, keys binary, p binary")
-    both = chances.union(keys.select("part", F.lit(1).alias("kind"), "block", "keys", F.lit(None).cast("binary").alias("p")))
-    told = map_arrow(together(both, "part", "kind"), _told, ", ".join(next(x for x in ROWS.split(", ") if x.split()[0] == c) for c in SENT))
-    named = words.select("block", "word").join(counts, "word")
-    fill = lambda df: df.select(*(c if c in df.columns else F.lit(None).cast(told.schema[c].dataType).alias(c) for c in SENT))
-    every = told.union(fill(named.withColumn("kind", F.lit(WORDS)))).union(fill(rows.where(F.col("kind") == DOCS).select("block", "kind", "doc_id", "held_out", "body")))
-    out = materialize(map_arrow(together(every, "block", "kind"), lambda batches: _score(batches, n_train, n_kinds), SCORED), "scores")
-    release(rows, counts, tree)
+            yield _batch(CHANCES, kind=[KEYS] * len(part), part=part, keys=own, p=chance)
+
+    known = distinct.where(F.col("kind") == WORDS).select("kind", "part", F.lit(None).cast("long").alias("block"), "keys", F.col("n").alias("p"))
+    asked = keys.select("kind", "part", "block", "keys", F.lit(None).cast("binary").alias("p"))
+    told = map_arrow(together(map_arrow(tree, predict, schema(CHANCES)).union(known).union(asked), "part", "kind", "block"), _told, schema(SENT))
+    texts = rows.where(F.col("kind") == DOCS).select("kind", "block", "part", F.col("n").alias("p"), "doc_id", "held_out", "body", "size")
+    out = materialize(map_arrow(together(told.union(texts), "block"), lambda batches: _score(batches, parts, n_train, n_kinds), SCORED), "scores")
+    release(rows, distinct)
     top.destroy()
     return out
