@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from helpers import ODD, docs
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -78,23 +79,47 @@ def best_fit(lengths, capacity):
 
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 20), max_size=80))
-def test_plan_is_best_fit_decreasing(lengths):
-    counts = np.bincount(np.array(lengths, dtype=int), minlength=21)
-    moves = packing.plan(counts, 20)
-    bins, placed = defaultdict(list), defaultdict(int)
-    for size, lo, hi, first, each, offset in moves.tolist():
-        assert lo == placed[size]
-        placed[size] = hi
-        for k in range(hi - lo):
-            bins[first + k // each].append((offset + k % each * size, size))
-    assert [placed[n] for n in range(21)] == counts.tolist()
-    assert sorted(bins) == list(range(len(bins))) and len(bins) == best_fit(lengths, 20)
-    for own in bins.values():
+def test_a_task_is_best_fit_decreasing(lengths):
+    own = sorted(lengths, reverse=True)
+    bins = defaultdict(list)
+    for k, seq, at in packing.best_fit({}, enumerate(own), 20, iter(range(100))):
+        assert at == sum(own[j] for j in bins[seq])
+        bins[seq].append(k)
+    assert sum(map(len, bins.values())) == len(own) and len(bins) == best_fit(lengths, 20)
+    assert all(sum(own[k] for k in x) <= 20 for x in bins.values())
+
+
+def test_successors_resolve_conflicts_by_rank():
+    """Four documents of at most 4 below gaps of at least 9 and of at least 5: the near range first, two documents to each far gap."""
+    docs_, gaps = packing.successors([(0, 0, 0, 1, 9), (1, 0, 0, 2, 5), (2, 4, 4, 0, 0), (3, 0, 0, 3, 1)])
+    assert docs_ == [(2, 0, 2, 0, 1), (2, 2, 4, 2, 2)] and gaps == [(1, 0, 2, 0), (0, 0, 1, 2)]
+
+
+@pytest.mark.parametrize(("name", "task_rows"), [("mixed", 1 << 20), ("mixed", 300), ("long", 300), ("equal", 100), ("short", 500), ("halves", 200)])
+def test_supersteps_need_no_more_sequences_than_best_fit_decreasing(spark, name, task_rows):
+    rng = np.random.default_rng(5)
+    lengths = {
+        "mixed": np.clip(rng.lognormal(5, 1.3, 3000), 1, 2048),
+        "long": rng.integers(600, 2049, 2000),
+        "equal": np.full(1000, 700),
+        "short": rng.integers(1, 40, 4000),
+        "halves": np.concatenate([rng.integers(900, 1149, 1500), rng.integers(1, 200, 1500)]),
+    }[name].astype(int)
+    own = spark.createDataFrame([(k if k % 9 else None, 0, 0, int(n)) for k, n in enumerate(lengths)], "doc_id long, piece int, start long, length long")
+    rows = packing.pack(own, task_rows=task_rows).collect()
+    places = defaultdict(list)
+    for r in rows:
+        places[r.sequence_id].append((r.offset, r.length))
+    assert sorted(r.length for r in rows) == sorted(lengths.tolist())
+    for x in places.values():
         at = 0
-        for o, n in sorted(own):
+        for o, n in sorted(x):
             assert o == at
             at += n
-        assert at <= 20
+        assert at <= 2048
+    least = best_fit(lengths.tolist(), 2048)
+    # each task may leave one sequence that nothing shorter fills
+    assert len(places) <= (least if task_rows > len(lengths) else least * 1.01 + len(lengths) // task_rows)
 
 
 def test_sequences_hold_the_ids(spark, sf):

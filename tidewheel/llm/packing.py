@@ -2,17 +2,18 @@
 
 Documents become runs of token ids with a closing id 0. Runs longer than a sequence are cut; every other run stays whole.
 
-The bulk-synchronous plan: documents are range-sorted by length over all executors. Lengths and gaps are whole numbers up to
-`capacity`, so all documents of one length are alike, and so are all sequences of one gap. A superstep handles one length, the
-longest first: a successor sweep finds the smallest gap that holds it, documents claim sequences in the order of their rank, and
-the gaps of the sequences taken are updated before the next superstep. The supersteps run on class counts (at most `capacity`
-of them, whatever the number of documents), which makes them exact best-fit decreasing; ranks and placements are distributed.
-
-Size of the plan: a group of sequences that a superstep fills keeps less than half its gap, so it is touched at most
-log2(capacity) times, and each superstep splits at most one group in three: under 2 * capacity * (2 + log2(capacity)) moves.
-That bound (about 53,000 for 2,048) is why the plan may be sent to every task.
-
-Defined results: null text is empty text, one piece of one token. Ties and repeated rows are packed as documents of their own.
+Bulk-synchronous best-fit: documents and the gaps of open sequences are tables of rows. Lengths are taken in bands, each half as long
+as the one before. In a superstep the band's documents and the gaps over its lower end are range-sorted together, by falling value,
+to tasks of about `TASK_ROWS` rows. Each task gives its documents, the longest first, the smallest of its gaps that holds them
+(best fit); what it has left, gaps of its range and documents, is summed up in one row. A scan of these rows finds for the
+documents that are left the successor ranges whose gaps are left; conflicts are resolved by rank: the i-th such document meets the
+i-th gap (or the gap that i falls to, if the gaps hold several), by a join on that number. Gaps are updated, and documents that no
+gap could take are range-sorted once more and open sequences, best-fit within their task. Then the next band follows.
+The last band takes all that is shorter than 1 / `FLOOR` of a sequence. Only counts by length, a row for each task and the scan's
+intervals come to the driver.
+
+Defined results: null text is empty text, one piece of one token. Ties and repeated rows are packed as documents of their own; ranges split them by row number. A very long
+text is cut into pieces of its own.
 An empty table gives no rows. Columns other than the id and the text are not read, so clashing names do no harm.
 """
 
@@ -21,18 +22,20 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from tidewheel.llm.common import map_arrow, partitions, sliced
+from tidewheel.llm.common import map_arrow, sliced
 from tidewheel.plans.scratch import materialize
 
-CAPACITY = 2048
+CAPACITY, TASK_ROWS, FLOOR = 2048, 200_000, 32
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -88,80 +91,132 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, PIECES + (", ids array<int>" if with_ids else ""))
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
-    """Best-fit decreasing over length classes: counts[l] documents of length l. Rows of the result are moves (length, first rank, end rank, first sequence, documents for each sequence, offset in it)."""
-    gaps: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
-    open_gaps, sequences, moves = 0, 0, []  # open_gaps: a bit for each gap that some sequence has
-
-    def put(gap: int, lo: int, hi: int) -> None:
-        nonlocal open_gaps
-        if gap and hi > lo:
-            gaps[gap].append((lo, hi))
-            open_gaps |= 1 << gap
-
-    for length in range(capacity, 0, -1):
-        rank, end = 0, int(counts[length])
-        while rank < end:
-            left = end - rank
-            if above := open_gaps >> length:
-                gap = length + (above & -above).bit_length() - 1
-                lo, hi = gaps[gap].pop()
-                if not gaps[gap]:
-                    open_gaps &= ~(1 << gap)
-            else:
-                gap, lo = capacity, sequences
-                hi = sequences = sequences - (-left // (capacity // length))
-            each = gap // length
-            full = min(hi - lo, left // each)
-            if full:
-                moves.append((length, rank, rank + full * each, lo, each, capacity - gap))
-                put(gap - each * length, lo, lo + full)
-                rank += full * each
-            if full < hi - lo and rank < end:
-                moves.append((length, rank, end, lo + full, end - rank, capacity - gap))
-                put(gap - (end - rank) * length, lo + full, lo + full + 1)
-                rank, full = end, full + 1
-            put(gap, lo + full, hi)
-    return np.array(moves, dtype=np.int64).reshape(-1, 6)
-
-
-def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def best_fit(gaps: dict[int, list[int]], docs: Iterator[tuple[int, int]], capacity: int, fresh: Iterator[int] | None = None) -> Iterator[tuple[int, int | None, int]]:
+    """For each (row, length) of docs: the row, the sequence that takes it and its offset there, or None and the length. gaps: sequences by gap, brought up to date; fresh: numbers of new sequences, which open when no gap holds a document."""
+    open_gaps = sum(1 << g for g, own in gaps.items() if own)  # a bit for each gap that some sequence has
+    for row, length in docs:
+        if above := open_gaps >> length:
+            gap = length + (above & -above).bit_length() - 1
+            seq = gaps[gap].pop()
+            if not gaps[gap]:
+                open_gaps &= ~(1 << gap)
+        elif fresh is not None:
+            gap, seq = capacity, next(fresh)
+        else:
+            yield row, None, length
+            continue
+        if left := gap - length:
+            gaps.setdefault(left, []).append(seq)
+            open_gaps |= 1 << left
+        yield row, seq, capacity - gap
+
+
+PLACED, GAP, DOC = 0, 1, 2
+SWEPT = "part int, what int, row long, seq long, value int, nth long"
+_SWEPT = [x.split()[0] for x in SWEPT.split(", ")]
+
+
+def sweep(batches: Iterator[pa.RecordBatch], capacity: int, step: int | None = None) -> Iterator[pa.RecordBatch]:
+    """One task's share of a superstep over its range of gaps and documents (kind, id, value; the largest first): placements, gaps that are left and documents that found none. nth numbers the documents, and from the smallest the gaps that every lower range may use. With a step (its number), documents that find none open sequences."""
+    part = TaskContext.get().partitionId()
+    kind, own, value = [], [], []
+    for b in batches:
+        kind.append(b.column("kind").to_numpy())
+        own.append(b.column("id").to_numpy())
+        value.append(b.column("value").to_numpy())
+    if not sum(map(len, kind)):
+        return
+    kind, own, value = np.concatenate(kind), np.concatenate(own), np.concatenate(value)
+    gaps: dict[int, list[int]] = {}
+    for g, seq in zip(value[kind == GAP].tolist(), own[kind == GAP].tolist(), strict=True):
+        gaps.setdefault(g, []).append(seq)
+    fresh = None if step is None else count((step << 56) | (part << 32))
+    docs = zip(own[kind == DOC].tolist(), value[kind == DOC].tolist(), strict=True)
+    rows, left, lowest, nth = [], 0, int(value[-1]), 0
+    for row, seq, at in best_fit(gaps, docs, capacity, fresh):
+        if seq is None:
+            rows.append((part, DOC, row, None, at, left))
+            left += 1
+        else:
+            rows.append((part, PLACED, row, seq, at, None))
+    for g in sorted(gaps):
+        for seq in gaps[g]:
+            rows.append((part, GAP, None, seq, g, nth if g >= lowest else None))
+            nth += g >= lowest
+    for lo in range(0, len(rows), 1 << 16):
+        cols = zip(*rows[lo : lo + (1 << 16)], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=_SWEPT)
+
+
+def successors(summary: list[tuple[int, int, int, int, int]]) -> tuple[list[tuple], list[tuple]]:
+    """Which gaps that one range has left go to which documents of lower ranges, the nearest range first. summary: (part, documents left, the longest of them, gaps left, the smallest of them) by falling value. A gap takes as many documents as any of that range's gaps can hold of the longest. Intervals (part, first, end, slot, documents a slot) of documents, and (part, first, end, slot) of gaps; equal slots meet."""
+    stack: list[list[int]] = []  # part, first gap that is left, end, smallest
+    docs, gaps, slot = [], [], 0
+    for part, n, longest, free, smallest in summary:
+        at = 0
+        while at < n and stack:
+            q, first, end, least = stack[-1]
+            each = max(1, least // longest)
+            take = min(end - first, -(-(n - at) // each))
+            to = min(n, at + take * each)
+            docs.append((part, at, to, slot, each))
+            gaps.append((q, first, first + take, slot))
+            slot, at = slot + take, to
+            stack[-1][1] += take
+            if stack[-1][1] == end:
+                stack.pop()
+        if free:
+            stack.append([part, 0, free, smallest])
+    return docs, gaps
+
+
+def pack(parts: DataFrame, capacity: int = CAPACITY, task_rows: int = TASK_ROWS) -> DataFrame:
     """The rows of `parts` (with doc_id, piece, start and a length from 1 to capacity) and the sequence_id and offset of each."""
     spark = parts.sparkSession
-    n = partitions(spark)
-    # a hot length is spread over partitions by the other keys of the range sort
-    # written first: the range sort samples its input, which would cut every text into ids twice
-    parts = materialize(parts, "cut")
-    order = [F.desc("length"), "doc_id", "piece", "start"]
-    ranked = materialize(parts.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "pieces")
-    # a partition holds a run of lengths, so there are at most capacity + partitions of these
-    runs = ranked.groupBy("length", F.shiftright("_at", 33).alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n")).orderBy("length", "_part").collect()
-    counts, first = np.zeros(capacity + 1, dtype=np.int64), {}
-    for r in runs:
-        first[r["length"], r["_part"]] = (r["_first"], int(counts[r["length"]]))
-        counts[r["length"]] += r["_n"]
-    moves = plan(counts, capacity)
-    starts = np.searchsorted(moves[:, 0] * -1, -np.arange(capacity + 2), "left")  # moves are by falling length
-    kept = parts.columns
-    schema = StructType([*parts.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
-    sent = spark.sparkContext.broadcast((moves, starts, first))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        moves, starts, first = sent.value
-        for b in batches:
-            length, at = b.column("length").to_numpy(), b.column("_at").to_numpy()
-            head = np.array([first[x] for x in zip(length.tolist(), (at >> 33).tolist(), strict=True)], dtype=np.int64).reshape(-1, 2)
-            rank = at - head[:, 0] + head[:, 1]
-            row = np.empty(len(rank), dtype=np.int64)
-            for size in np.unique(length):
-                own = length == size
-                lo, hi = starts[size], starts[size - 1]
-                row[own] = lo + np.searchsorted(moves[lo:hi, 1], rank[own], "right") - 1
-            m = moves[row]
-            nth = rank - m[:, 1]
-            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in kept), pa.array(m[:, 3] + nth // m[:, 4]), pa.array(m[:, 5] + nth % m[:, 4] * length)], names=[*kept, "sequence_id", "offset"])
-
-    return map_arrow(ranked, place, schema)
+    parts = materialize(parts.withColumn("_row", F.monotonically_increasing_id()), "cut")
+    counts = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}  # at most `capacity` rows
+    # a third of the lengths and more in each band, down to a fixed floor
+    edges = [capacity]
+    while edges[-1] > max(1, capacity // FLOOR):
+        edges.append(edges[-1] // 2)
+    edges[-1] = 0
+    gaps, placed, written = None, [], []
+    for step, (hi, lo) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        if not (n := sum(c for x, c in counts.items() if lo < x <= hi)):
+            continue
+        docs = parts.where((F.col("length") > lo) & (F.col("length") <= hi)).select(F.lit(DOC).alias("kind"), F.col("_row").alias("id"), F.col("length").cast("int").alias("value"))
+        order = [F.desc("value"), "kind", "id"]
+        sorted_ = lambda df, n: df.repartitionByRange(max(1, -(-n // task_rows)), *order).sortWithinPartitions(*order)
+        if gaps is not None:
+            fit = gaps.where(F.col("value") > lo)
+            swept = materialize(map_arrow(sorted_(docs.union(fit.select(F.lit(GAP).alias("kind"), F.col("seq").alias("id"), "value")), n + fit.count()), lambda b: sweep(b, capacity), SWEPT), "swept")
+            of = {(r["part"], r["what"]): r for r in swept.where("nth is not null").groupBy("part", "what").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).collect()}  # two rows a task
+            get = lambda p, what, c: of[p, what][c] if (p, what) in of else 0
+            to_docs, to_gaps = successors([(p, get(p, DOC, "n"), get(p, DOC, "hi"), get(p, GAP, "n"), get(p, GAP, "lo")) for p in sorted({p for p, _ in of})])
+            found = spark.createDataFrame(to_docs, "part int, a long, b long, slot long, each long"), spark.createDataFrame(to_gaps, "part int, a long, b long, slot long")
+            near = lambda what, x: swept.where(F.col("what") == what).join(F.broadcast(x), [swept["part"] == x["part"], swept["nth"] >= x["a"], swept["nth"] < x["b"]], "left").drop(x["part"])  # two intervals a task
+            asking = near(DOC, found[0]).withColumn("slot", F.col("slot") + F.expr("(nth - a) div each"))
+            giving = near(GAP, found[1]).withColumn("slot", F.col("slot") + F.col("nth") - F.col("a"))
+            pairs = materialize(asking.where("slot is not null").select("row", "nth", "slot", F.col("value").alias("length")).join(giving.where("slot is not null").select("slot", "seq", F.col("value").alias("gap")), "slot"), "pairs") if to_docs else None
+            gap_rows = [giving.where("slot is null").select("seq", "value"), gaps.where(F.col("value") <= lo).select("seq", "value")]
+            placed.append(swept.where(F.col("what") == PLACED).select("row", "seq", F.col("value").alias("offset")))
+            if pairs is not None:
+                before = F.coalesce(F.sum("length").over(W.partitionBy("slot").orderBy("nth").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a slot holds one sequence's documents
+                placed.append(pairs.select("row", "seq", (capacity - F.col("gap") + before).cast("int").alias("offset")))
+                gap_rows.append(pairs.groupBy("seq", "gap").agg(F.sum("length").alias("s")).select("seq", (F.col("gap") - F.col("s")).cast("int").alias("value")).where("value > 0"))
+            docs = asking.where("slot is null").select(F.lit(DOC).alias("kind"), F.col("row").alias("id"), "value")
+            n = docs.count()
+        else:
+            gap_rows = []
+        if n:
+            opened = materialize(map_arrow(sorted_(docs, n), lambda b, step=step: sweep(b, capacity, step), SWEPT), "opened")
+            placed.append(opened.where(F.col("what") == PLACED).select("row", "seq", F.col("value").alias("offset")))
+            gap_rows.append(opened.where(F.col("what") == GAP).select("seq", "value"))
+        gaps = materialize(reduce(DataFrame.union, gap_rows), "gaps")
+    if not placed:
+        return parts.drop("_row").withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
+    at = reduce(DataFrame.union, placed).select(F.col("row").alias("_row"), F.col("seq").alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
+    return parts.join(at, "_row").drop("_row")
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
