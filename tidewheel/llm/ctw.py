@@ -444,7 +444,8 @@ def scored(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (id_remainder(F.col("doc_id"), folds) == held).alias("held_out"))
     parts = max(partitions(spark), (own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // PART)
-    together = lambda df, *by: df.repartition(parts, by[0]).sortWithinPartitions(*by)
+    # parts and blocks are numbers, which tasks take in turn
+    together = lambda df, *by: df.repartitionById(parts, F.expr(f"CAST(({by[0]} >> 24) + ({by[0]} & 16777215) AS int)")).sortWithinPartitions(*by)
     rows = materialize(map_arrow(own, lambda batches: _blocks(batches, parts), schema(BLOCKS)), "blocks")
     keys = rows.where(F.col("kind") != DOCS)
     distinct = materialize(map_arrow(together(keys.select("part", "kind", "keys", "n"), "part", "kind"), lambda batches: _merge(batches, parts), schema(DISTINCT)), "distinct")
