@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from helpers import ODD, docs
@@ -93,6 +94,21 @@ def test_redaction(spark):
     assert out[5].text == "<PHONE> and <IP>" and out[None].text == "<EMAIL>"
 
 
+def test_many_spans(spark):
+    """Thousands of spans in a text: places and redaction are right, and time grows little faster than the text."""
+    def timed(n):
+        text = " é ".join(f"user{k}@site{k}.org and 10.{k % 256}.0.1 or" for k in range(n))
+        began = time.time()
+        held(pii.report(docs(spark, [(1, text)])).collect(), [(1, text)])
+        out = pii.redacted(docs(spark, [(1, text)])).first()["text"]
+        assert out == " é ".join("<EMAIL> and <IP> or" for _ in range(n))
+        return time.time() - began
+
+    timed(100)
+    few, many = timed(2_000), timed(16_000)
+    assert many < 8 * few + 8
+
+
 def test_models():
     sure, poor = 0 * 108 + (2 + 3 * 2 + 9 * 2) * 4, 0 * 108 + (0 + 3 * 0 + 9 * 0) * 4
     counts = {sure: 90, poor: 40}
@@ -102,7 +118,7 @@ def test_models():
     score = {c: sum(weights[f] for f in pii.features(c)) for c in counts}
     assert score[sure] > 0 > score[poor]
     assert pii.decoded(sure) == (0, (1, 1, 1), 0) and pii.decoded(poor) == (0, (-1, -1, -1), 0)
-    assert pii.classifier({}, {}) == [0.0] * (len(pii.KINDS) + 13)
+    assert pii.classifier({}, {}) == [0.0] * (len(pii.KINDS) + 16)
 
 
 @pytest.mark.parametrize("op", ["report", "redacted"])

@@ -3,10 +3,11 @@
 Candidates are spans of loose patterns. Three labelers vote on each (1 for, -1 against, 0 no vote): the strict pattern of its kind, a
 gazetteer (domain endings, reserved address ranges, issuers, calling codes, key prefixes) and the words just before it.
 Expectation-maximisation over the counts of vote patterns estimates, for each kind, how often a candidate is real and how reliable
-each labeler is. Its posteriors are the soft labels from which a logistic span classifier is trained on votes, kind and length.
+each labeler is. Its posteriors are the soft labels from which a logistic span classifier is trained on votes, kind, length and
+look (what stands before the span, few or mixed characters).
 Spans that the strict contract patterns find always stay; the classifier adds others.
 
-Scale: texts are searched once. What is counted has a fixed size (kind x votes x length class, 756 rows at most), so the driver fits both
+Scale: texts are searched once. What is counted has a fixed size (kind x votes x length class x look, 6,048 rows at most), so the driver fits both
 models on counts over all documents, and the verdicts go back as a literal list. No row leaves its partition.
 
 Patterns start only at the start of a run of their first characters, or where the last match ended, and take runs possessively:
@@ -43,23 +44,39 @@ ENDINGS = "com|org|net|edu|gov|info|biz|io|co|uk|de|fr|es|it|nl|eu|us|ca|au|ch|a
 CALLING = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 CONTEXT = {"email": "mail|contact|write|reply", "ip": "host|server|addr|login|ip", "card": "card|visa|master|amex|payment|credit|account", "phone": "phone|call|tel|fax|mobile|cell|contact", "secret": "key|token|secret|password|auth"}
 AGAINST = "version|chapter|section|figure|table|isbn|page|no\\."
-BEFORE = 32
+BEFORE, RUN, CHUNK = 32, 64, 4096
+CODES = len(KINDS) * 108
+
+
+def prefixes(values: Column, zero: int, op) -> Column:
+    """For each of an array's values all earlier ones put together (zero for the first): within runs of RUN, and over whole runs, so that long arrays take little more time than their length."""
+    empty = F.expr("CAST(array() AS array<int>)")
+    fold = lambda xs, n: F.aggregate(F.slice(xs, F.lit(1), n), F.lit(zero), op)
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / RUN).cast("int")), lambda b: F.slice(values, b * RUN + 1, F.lit(RUN)))
+
+    def joined(of: Column) -> Column:
+        totals = F.transform(of, lambda x: F.aggregate(x, F.lit(zero), op))
+        heads = lambda t: F.transform(t, lambda _, b: fold(t, b))
+        return F.flatten(let(heads(totals), lambda h: F.transform(of, lambda x, b: F.transform(x, lambda _, i: op(F.get(h, b), fold(x, i))))))
+
+    return F.when(F.size(values) > 0, let(runs, joined)).otherwise(empty)
 
 
 def spans(text: Column, kind: str) -> Column:
-    """Array of (s, e, v): start, end and characters of each leftmost non-overlapping match."""
+    """Array of (s, e, v, before): start, end and characters of each leftmost non-overlapping match, and up to BEFORE characters before it (back to the end of the match before the last)."""
     pattern = PATTERNS[kind]
-    empty = F.expr("CAST(array() AS array<struct<s:int,e:int,v:string>>)")
+    empty = F.expr("CAST(array() AS array<struct<s:int,e:int,v:string,before:string>>)")
 
-    def placed(parts: Column) -> Column:
-        start = F.struct(F.length(F.get(parts["p"], F.lit(0))).alias("at"), empty.alias("o"))
+    def placed(x: Column) -> Column:
+        p, m = x["p"], x["m"]
+        size = F.transform(m, lambda v, i: F.length(v) + F.length(F.get(p, i)))
 
-        def step(a: Column, v: Column) -> Column:
-            end = a["at"] + F.length(v)
-            one = F.array(F.struct(a["at"].alias("s"), end.alias("e"), v.alias("v")))
-            return F.struct((end + F.length(F.get(parts["p"], F.size(a["o"]) + 1))).alias("at"), F.concat(a["o"], one).alias("o"))
+        def one(v: Column, i: Column, at: Column) -> Column:
+            start = F.get(at, i) + F.length(F.get(p, i))
+            near = F.concat(F.when(i > 0, F.concat(F.get(p, i - 1), F.get(m, i - 1))).otherwise(""), F.get(p, i))
+            return F.struct(start.alias("s"), (start + F.length(v)).alias("e"), v.alias("v"), F.right(near, F.lit(BEFORE)).alias("before"))
 
-        return F.aggregate(parts["m"], start, step, lambda a: a["o"])
+        return let(prefixes(size, 0, lambda a, b: a + b), lambda at: F.transform(m, lambda v, i: one(v, i, at)))
 
     found = let(F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m")), placed)
     if kind == "card":  # shorter numbers are no candidates
@@ -119,16 +136,24 @@ def context(kind: str, before: Column) -> Column:
     return F.when(before.rlike(f"(?i)(?:{CONTEXT[LABEL.get(kind, kind)]})"), 1).when(before.rlike(f"(?i)(?:{AGAINST})"), -1).otherwise(0)
 
 
+def look(x: Column) -> Column:
+    """What no labeler says of a span, as a number from 0 to 7: whether a letter or digit stands just before it, whether it is of few different characters (a dummy), whether it has both letters and digits."""
+    inside = x["before"].rlike("[A-Za-z0-9]$")
+    few = F.length(x["v"]) >= 3 * F.size(F.array_distinct(F.split(x["v"].substr(F.lit(1), F.lit(64)), "")))
+    mixed = x["v"].rlike("[0-9]") & x["v"].rlike("[A-Za-z]")
+    return inside.cast("int") + 2 * few.cast("int") + 4 * mixed.cast("int")
+
+
 def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs and _p_c, an array of the text's candidates: s, k (the kind's number), e, base (the contract's own) and code (kind, votes and length class as one number)."""
+    """The columns `keep` of docs and _p_c, an array of the text's candidates: s, k (the kind's number), e, base (the contract's own) and code (kind, votes, length class and look as one number)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
     def seen(kind: str, x: Column) -> Column:
         k = KINDS.index(kind)
         ok = strict(kind, x["v"])
-        votes = F.when(ok, 2).otherwise(0) + 3 * (gazetteer(kind, x["v"]) + 1) + 9 * (context(kind, text.substr(F.greatest(x["s"] - BEFORE, F.lit(0)) + 1, F.least(x["s"], F.lit(BEFORE)))) + 1)
+        votes = F.when(ok, 2).otherwise(0) + 3 * (gazetteer(kind, x["v"]) + 1) + 9 * (context(kind, x["before"]) + 1)
         size = F.when(F.length(x["v"]) < 12, 0).when(F.length(x["v"]) < 18, 1).when(F.length(x["v"]) < 30, 2).otherwise(3)
-        return F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), (ok if k < 4 else F.lit(False)).alias("base"), (k * 108 + votes * 4 + size).cast("int").alias("code"))
+        return F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), (ok if k < 4 else F.lit(False)).alias("base"), (k * 108 + votes * 4 + size + CODES * look(x)).cast("int").alias("code"))
 
     def found(kind: str) -> Column:
         return F.transform(spans(text, kind), lambda x: seen(kind, x))
@@ -139,7 +164,7 @@ def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 def decoded(code: int) -> tuple[int, tuple[int, int, int], int]:
     """Kind, the three votes and the length class of a code."""
-    k, rest = divmod(code, 108)
+    k, rest = divmod(code % CODES, 108)
     votes, size = divmod(rest, 4)
     return k, (votes % 3 - 1, votes // 3 % 3 - 1, votes // 9 - 1), size
 
@@ -149,7 +174,7 @@ def reliabilities(counts: dict[int, int], rounds: int = 50) -> dict[int, float]:
     belief = {1: {1: 6.0, 0: 2.5, -1: 1.5}, 0: {1: 1.5, 0: 2.5, -1: 6.0}}
     out = {}
     for k in range(len(KINDS)):
-        own = {c: n for c, n in counts.items() if c // 108 == k}
+        own = {c: n for c, n in counts.items() if decoded(c)[0] == k}
         prior, table = 0.5, {y: [{v: b / 10 for v, b in belief[y].items()} for _ in range(3)] for y in (0, 1)}
         table[1][0][-1] = 0.02
         real = {}
@@ -171,15 +196,15 @@ def reliabilities(counts: dict[int, int], rounds: int = 50) -> dict[int, float]:
 
 
 def features(code: int) -> list[int]:
-    """Numbers of the features that are on: the kind, each labeler's vote, and the length class."""
+    """Numbers of the features that are on: the kind, each labeler's vote, the length class, and what the span looks like."""
     k, votes, size = decoded(code)
     at = len(KINDS)
-    return [k, *(at + 3 * j + v + 1 for j, v in enumerate(votes)), at + 9 + size]
+    return [k, *(at + 3 * j + v + 1 for j, v in enumerate(votes)), at + 9 + size, *(at + 13 + j for j in range(3) if code // CODES >> j & 1)]
 
 
 def classifier(counts: dict[int, int], soft: dict[int, float], rounds: int = 400, rate: float = 0.5, ridge: float = 1e-3) -> list[float]:
     """Weights of the logistic span classifier, fitted to the soft labels by gradient descent over the counted codes."""
-    weights, total = [0.0] * (len(KINDS) + 13), sum(counts.values()) or 1
+    weights, total = [0.0] * (len(KINDS) + 16), sum(counts.values()) or 1
     for _ in range(rounds):
         step = [-ridge * w for w in weights]
         for c, n in counts.items():
@@ -227,11 +252,19 @@ def redacted(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     names = F.array(*(F.lit(f"<{LABEL.get(k, k).upper()}>") for k in KINDS))
 
-    def step(a: Column, x: Column) -> Column:
-        out = F.when(x["s"] >= a["at"], F.concat(a["out"], text.substr(a["at"] + 1, F.greatest(x["s"] - a["at"], F.lit(0))), F.get(names, x["k"]))).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], x["e"]).alias("at"), out.alias("out"))
+    def cut(chunks: Column, a: Column, b: Column) -> Column:
+        """The characters from a to b of a text in chunks of CHUNK."""
+        i, j = F.floor(a / CHUNK).cast("int"), F.floor(b / CHUNK).cast("int")
+        part = lambda k, lo, n: F.coalesce(F.get(chunks, k).substr(lo + 1, n), F.lit(""))
+        whole = F.concat(part(i, a % CHUNK, F.lit(CHUNK)), F.array_join(F.slice(chunks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), part(j, F.lit(0), b % CHUNK))
+        return F.when(i == j, part(i, a % CHUNK, F.greatest(b - a, F.lit(0)))).otherwise(whole)
+
+    def told(x: Column) -> Column:
+        piece = lambda y, i: F.when(y["s"] >= F.get(x["before"], i), F.concat(cut(x["chunks"], F.get(x["before"], i), y["s"]), F.get(names, y["k"]))).otherwise("")
+        return F.concat(F.array_join(F.transform("_p_all", piece), ""), cut(x["chunks"], F.array_max(F.transform("_p_all", lambda y: y["e"])), x["n"]))
 
-    new = F.aggregate("_p_all", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], text.substr(a["at"] + 1, F.length(text))))
+    before = prefixes(F.transform("_p_all", lambda y: y["e"]), 0, lambda a, b: F.greatest(a, b))
+    new = let(F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)).alias("chunks"), before.alias("before"), F.length(text).alias("n")), told)
     out = rows.withColumn("text", F.when(F.size("_p_all") > 0, new).otherwise(F.col("text")))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.size("_p_all") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
