@@ -4,7 +4,8 @@ A conversation becomes windows of whole turns. Running sums of turn tokens decid
 the retained system turn and the repeated history fit `budget`. Every window but the first opens with the system turn (if the
 conversation opens with one) and the last earlier turns that fit `history`; these are repeated, so the loss mask leaves them out.
 The mask covers the text of every assistant turn in the one window where it is new. A turn is never cut: one that is over the budget
-has a window of its own, marked `over`.
+has a window of its own, marked `over`. A turn counts with all its template writes for it; turns open with a mark and end with a
+newline, between which no token reaches, so a window has just as many tokens as its turns together.
 
 Template: <|im_start|>ROLE newline TEXT<|im_end|> newline. In texts and roles "<|" gets a backslash between its characters, one more if
 backslashes stand there already, so that no text can end a turn, and every text can be read back; in roles a newline is written \\n.
@@ -32,8 +33,6 @@ from tidewheel.llm.packing import default_vocabulary, encoder
 
 BUDGET, HISTORY = 2048, 256
 START, END = "<|im_start|>", "<|im_end|>"
-#: One token each for the marks, one for each newline.
-FRAME = 4
 WINDOWS = "conv_id long, window int, text string, loss array<struct<start:int,end:int>>, first_turn long, repeated int, n_turns int, n_tokens int, over boolean"
 _KINDS = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
 _TURN = re.compile(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(END) + "\n", re.S)
@@ -79,7 +78,7 @@ class Writer:
         self.tokens = 0
 
     def add(self, role: str, text: str, size: int) -> Iterator[tuple]:
-        turn = (role, text, size + FRAME)
+        turn = (role, text, size)
         if self.open and self.tokens + turn[2] > self.budget:
             yield self.close()
             self.repeat = ([self.system] if self.system else []) + list(self.recent)
@@ -139,7 +138,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
                     if writer:
                         yield writer.close()
                     writer = Writer(conv, budget, history)
-                yield from writer.add(role, text, len(count.encode(escaped(text), allowed_special="all")))
+                yield from writer.add(role, text, len(count.encode(framed(role, text)[0], allowed_special="all")))
         if writer:
             yield writer.close()
 
@@ -147,11 +146,13 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     return map_arrow(dealt, lambda batches: _batches(rows(batches), _KINDS, names), WINDOWS)
 
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """What windows() wrote, read back: for each conversation its turns' digest, the digest and length of all text under the loss mask, and the characters of its windows."""
+def digests(formatted: DataFrame, in_order: bool = False) -> DataFrame:
+    """What windows() wrote, read back: for each conversation its turns' digest, the digest and length of all text under the loss mask, and the characters of its windows. in_order: formatted comes straight from windows(), whose tasks hold whole conversations in order; nothing is shuffled again."""
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    dealt = formatted.select("conv_id", "window", "text", "loss", "repeated").repartition(partitions(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "window")
+    dealt = formatted.select("conv_id", "window", "text", "loss", "repeated")
+    if not in_order:
+        dealt = dealt.repartition(partitions(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "window")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         state = None
