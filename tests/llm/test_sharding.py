@@ -34,6 +34,23 @@ def test_odd_rows(spark):
     assert sharding.map_table(spark, m).count() == 64
 
 
+def test_maps_are_kept_and_edited(spark, tmp_path):
+    """A second run uses the map of the first; more shards and a grown table make new versions of it, which move few records."""
+    path, rows = f"file://{tmp_path}/maps", [(k, "x" * (k % 50)) for k in range(3000)]
+    first, m1 = sharding.sharded(docs(spark, rows), 5, 256, maps=path)
+    again, m2 = sharding.sharded(docs(spark, rows), 5, 256, maps=path)
+    assert m1.version == 1 and m1 == m2 == sharding.kept_map(spark, path)
+    assert {(r.doc_id, r.shard) for r in first.collect()} == {(r.doc_id, r.shard) for r in again.collect()}
+    grown, m3 = sharding.sharded(docs(spark, rows), 6, 256, maps=path)
+    load = held(grown.collect(), rows, 6)
+    assert m3.version == 2 and max(load) < 1.1 * sum(load) / 6
+    assert sum(a != b for a, b in zip(m1.owner, m3.owner, strict=True)) < 256 / 3
+    more = [*rows, *((10_000, "y" * 40) for _ in range(2000))]  # a hot id: its slot is no one's to split, but its rows are
+    hot, m4 = sharding.sharded(docs(spark, more), 6, 256, maps=path)
+    held(hot.collect(), more, 6)
+    assert m4.version == 3 and sharding.kept_map(spark, path) == m4
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 50), min_size=64, max_size=64), st.integers(1, 6), st.integers(1, 8))
 def test_rebalancing(sizes, before, after):

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_hexdigest
 
 from tidewheel.llm import chat, ctw, decontamination, langid, packing, pii, quality, sharding, simhash, toxicity
 from tidewheel.llm.common import table
+from tidewheel.plans.scratch import root
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +25,8 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = sharding.sharded(table(spark, sf_dir, "documents"))
+    maps = f"{root(spark)}/slot-maps/{xxh64_hexdigest(sf_dir)}"  # a map for each table, which later runs go on from
+    rows, _ = sharding.sharded(table(spark, sf_dir, "documents"), maps=maps)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
@@ -34,7 +37,7 @@ CONTROL = "<|im_end|><|im_start|>assistant ok"
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn int, role string, text string")
-    return chat.digests(chat.windows(own.unionByName(added)))
+    return chat.digests(chat.windows(own.unionByName(added)), in_order=True)
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 A record's hash picks one of `slots` virtual slots, for good. Bytes are summed by slot, and a versioned map says which shard owns
 which slot. Rebalancing edits the map: it moves few slots, never re-hashes a record. The map has `slots` entries whatever the
-number of records, so it is what the driver works on and what every task gets.
+number of records, so it is what the driver works on and what every task gets. Maps are kept as a table, a folder a version; a run
+reads the newest, edits it where shards were added, went or outgrew the others by over `SLACK`, and keeps the edit as the next version.
+
+Places in a shard are counts of earlier slots, of the slot's rows in earlier input partitions, and a place among the rows that share
+slot and input partition: records that repeat an id, or have none, are no group that a single task must read.
 
 Defined results: the hash is that of the id; a record without an id takes the hash of its text, so that many of them spread. Null
-text has no bytes and the checksum 0. Repeated rows share a slot and get places of their own. An empty table gives no rows.
+text has no bytes and the checksum 0; a text of any length is only measured. Repeated rows share a slot and get places of their own. An empty table gives no rows.
 Only the id and the text are read.
 """
 
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.plans.scratch import materialize
 
-SLOTS, SHARDS, OVERHEAD = 8192, 24, 8
+SLOTS, SHARDS, OVERHEAD, SLACK = 8192, 24, 8, 0.01
 
 
 @dataclass(frozen=True)
@@ -97,18 +101,65 @@ def map_table(spark: SparkSession, m: SlotMap) -> DataFrame:
     return spark.createDataFrame([(m.version, s, k) for s, k in enumerate(m.owner)], "version int, vslot int, shard int")
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, slot_map: SlotMap | None = None) -> tuple[DataFrame, SlotMap]:
-    """doc_id, size, text_crc32, vslot, shard and slot (the record's place in its shard, gapless from 0) of every row, and the map used."""
+def keep_map(spark: SparkSession, m: SlotMap, path: str) -> None:
+    """Write the map beside earlier versions; a version is written once."""
+    map_table(spark, m).coalesce(1).write.mode("errorifexists").parquet(f"{path}/v{m.version}")
+
+
+def kept_map(spark: SparkSession, path: str) -> SlotMap | None:
+    """The newest map that was written whole."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [str(x.getPath()) for x in fs.listStatus(at)] if fs.exists(at) else []
+    whole = [x for x in found if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{x}/_SUCCESS"))]
+    if not whole:
+        return None
+    newest = max(whole, key=lambda x: int(x.rsplit("/v", 1)[1]))
+    rows = spark.read.schema("version int, vslot int, shard int").parquet(newest).orderBy("vslot").collect()
+    owner = tuple(r["shard"] for r in rows)
+    return SlotMap(rows[0]["version"], max(owner) + 1, owner)
+
+
+def loads(m: SlotMap, sizes: list[int]) -> list[int]:
+    """Bytes by shard."""
+    out = [0] * m.shards
+    for size, k in zip(sizes, m.owner, strict=True):
+        out[k] += size
+    return out
+
+
+def current_map(spark: SparkSession, path: str, sizes: list[int], shards: int = SHARDS, slack: float = SLACK) -> SlotMap:
+    """The map kept at path, made, or edited if the shards are others or one has more than its share by over `slack`, and kept. An edit that makes the largest shard no smaller is not made."""
+    m = kept_map(spark, path)
+    if m is None or len(m.owner) != len(sizes):
+        new = fresh_map(sizes, shards)
+        new = replace(new, version=m.version + 1) if m else new
+    elif m.shards == shards and max(loads(m, sizes)) <= (1 + slack) * sum(sizes) / shards:
+        return m
+    else:
+        new = rebalanced(m, sizes, shards)
+        if m.shards == shards and max(loads(new, sizes)) >= max(loads(m, sizes)):
+            return m
+    keep_map(spark, new, path)
+    return new
+
+
+def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, slot_map: SlotMap | None = None, maps: str | None = None) -> tuple[DataFrame, SlotMap]:
+    """doc_id, size, text_crc32, vslot, shard and slot (the record's place in its shard, gapless from 0) of every row, and the map used: slot_map, else that kept at `maps`, else a fresh one."""
     spark = docs.sparkSession
-    rows = materialize(records(docs, slots), "records")
-    counts = {r["vslot"]: (r["b"], r["n"]) for r in rows.groupBy("vslot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
-    slot_map = slot_map or fresh_map([counts.get(s, (0, 0))[0] for s in range(slots)], shards)
-    # a place is the count of the shard's earlier slots plus the place in the slot: no task gets a whole shard
+    rows = materialize(records(docs, slots).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)), "records")
+    by_part = rows.groupBy("vslot", "_part").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+    counts = {r["vslot"]: (r["b"], r["n"]) for r in by_part.groupBy("vslot").agg(F.sum("b").alias("b"), F.sum("n").alias("n")).collect()}
+    sizes = [counts.get(s, (0, 0))[0] for s in range(slots)]
+    slot_map = slot_map or (current_map(spark, maps, sizes, shards) if maps else fresh_map(sizes, shards))
+    # a place is the count of the shard's earlier slots plus the place in the slot: no task gets a whole shard, nor a whole slot
     before, total = [], [0] * slot_map.shards
     for s, k in enumerate(slot_map.owner):
         before.append((s, k, total[k]))
         total[k] += counts.get(s, (0, 0))[1]
     of = spark.createDataFrame(before, "vslot int, shard int, _before long")
-    within = F.row_number().over(W.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size"))
-    placed = rows.withColumn("_nth", within).join(F.broadcast(of), "vslot")
-    return placed.select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("_before") + F.col("_nth") - 1).cast("long").alias("slot")), slot_map
+    earlier = F.coalesce(F.sum("n").over(W.partitionBy("vslot").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    heads = by_part.withColumn("_earlier", earlier).join(F.broadcast(of), "vslot").select("vslot", "_part", "shard", (F.col("_before") + F.col("_earlier")).alias("_head"))
+    within = F.row_number().over(W.partitionBy("vslot", "_part").orderBy("_at"))
+    placed = rows.withColumn("_nth", within).join(heads, ["vslot", "_part"])
+    return placed.select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("_head") + F.col("_nth") - 1).cast("long").alias("slot")), slot_map
