@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 from helpers import ODD, crc, docs
+from pyspark.sql import functions as F
 
 from tidewheel.llm import queries, toxicity
 
@@ -72,3 +73,58 @@ def test_thresholds():
     assert toxicity.best_threshold(score, np.zeros(101)) == toxicity.CUT
     a, b = toxicity.platt(np.array([-3.0, -2, -1, 1, 2, 3] * 50), np.array([0, 0, 1, 0, 1, 1] * 50))
     assert a > 0 and abs(b) < 0.5
+
+
+def test_a_score_depends_on_its_own_text_only():
+    rows = corpus(400)
+    net = toxicity.trained([r[1].encode() for r in rows], np.array([r[2] for r in rows]), ["en"] * len(rows))
+    texts, own = [b"bara", b"", b"grumpfool snarkpig", b"doti x " * 30, b"grumpass"], toxicity.Hashes()
+
+    def score(some):
+        hashes, sizes = own.of(some)
+        return net.score(net.rows(hashes), sizes)
+
+    assert np.allclose(score(texts), [score([t])[0] for t in texts], rtol=1e-5)
+    assert np.allclose(score(texts)[::-1], score(texts[::-1]), rtol=1e-5)
+
+
+def test_gradients_are_those_of_the_loss():
+    """Against differences of the loss, in double precision, for every parameter of a small net."""
+    rng = np.random.default_rng(2)
+    net = toxicity.Net(np.arange(1, 10, dtype=np.uint32), rng.normal(size=(10, 3)), [rng.normal(size=(w, 3, 2)) for w in (1, 2, 3)], [rng.normal(size=2) for _ in range(3)], rng.normal(size=6), 0.0)
+    net.embed[0] = 0
+    n, y, bias = np.array([5, 4, 7]), np.array([1.0, 0.0, 1.0]), 0.3
+    r = rng.integers(1, 10, (int(n.sum()), 3))
+    for end in np.cumsum(n):
+        r[end - 3 : end] = 0  # what follows every text
+
+    def loss(shift=0.0):
+        z = net.maxima(r, n, net.tabulated()) @ net.out + bias + shift
+        p = 1 / (1 + np.exp(-z))
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    g_conv, g_bias, g_out, g_shift, touched, moved = toxicity.gradients(net, bias, r, n, y)
+    g_embed = np.zeros_like(net.embed)
+    np.add.at(g_embed, touched.ravel(), np.repeat(moved, 3, axis=0))
+    h = 1e-6
+    assert abs((loss(h) - loss(-h)) / (2 * h) - g_shift) < 1e-6
+    for values, g in [*zip(net.conv, g_conv, strict=True), *zip(net.bias, g_bias, strict=True), (net.out, g_out), (net.embed[1:], g_embed[1:])]:
+        for i in np.ndindex(values.shape):
+            at = values[i]
+            values[i] = at + h
+            up = loss()
+            values[i] = at - h
+            down = loss()
+            values[i] = at
+            assert abs((up - down) / (2 * h) - g[i]) < 1e-6
+
+
+def test_the_sample_is_bounded_however_often_an_id_stands(spark):
+    rows = [(1, f"text {k % 7}") for k in range(500)] + [(2, "other"), (3, "x" * 5000)]
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    every = F.lit(True)
+    got = toxicity.labelled(docs(spark, rows), labels, every, sample=20)
+    assert 0 < len(got) < 100
+    key = lambda x: sorted((r.text, r.toxic) for r in x)
+    assert key(got) == key(toxicity.labelled(docs(spark, rows), labels, every, sample=20))
+    assert sum(len(r.text) for r in toxicity.labelled(docs(spark, rows), labels, every, sample_bytes=2000)) < 5000 + 2000

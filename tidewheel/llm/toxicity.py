@@ -7,7 +7,9 @@ reads the maxima. Training is by Adam on the driver; the epoch with the lowest l
 calibrated on them (Platt). Thresholds by language are chosen on the same texts; they turn scores into `toxic_by_language`, and
 never enter a score.
 
-Bounded sample (parameter `sample`): about that many labelled texts, drawn by the hash of the id, whole, come to the driver.
+Bounded sample (parameters `sample`, `sample_bytes`): about that many labelled texts, and about so many bytes of them at most, drawn by
+hashes of id and text, whole, come to the driver. Rows that repeat an id count as often as they stand, but when they would make the
+sample over twice as large, fewer of them are drawn. `VOCABULARY` bounds the embeddings.
 Scoring: the filters' products with every embedding are tabulated once, so a word costs one look-up, whatever the text's length.
 
 Defined results: an empty or null text has the score of no word at all; with fewer than two labels of either kind to learn from, every score is the share
@@ -27,8 +29,9 @@ from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
 from tidewheel.llm.common import id_remainder, map_arrow, sliced
+from tidewheel.plans.scratch import materialize, release
 
-SAMPLE, SEEN, VOCABULARY, DIM, WIDTHS, FILTERS = 10_000, 3, 1 << 17, 12, (1, 2, 3), 8
+SAMPLE, SAMPLE_BYTES, SEEN, VOCABULARY, DIM, WIDTHS, FILTERS = 10_000, 64 << 20, 3, 1 << 17, 12, (1, 2, 3), 8
 EPOCHS, BATCH, RATE, CUT = 8, 64, 0.01, 0.7
 
 
@@ -45,8 +48,8 @@ class Hashes(dict):
         return out
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes of all texts' words one after another (words x 3), and how many each text has. Two zeros follow every text, so that no filter reaches into the next."""
-        end = [(0, 0, 0)] * 2
+        """The hashes of all texts' words one after another (words x 3), and how many each text has. Zeros follow every text, as many as the widest filter has places; its maxima are taken without the last of them, so that no filter reaches into the next."""
+        end = [(0, 0, 0)] * WIDTHS[-1]
         each = [[*(self[w] for w in t.split()), *end] for t in texts]
         sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
         flat = chain.from_iterable(chain.from_iterable(each))
@@ -89,6 +92,7 @@ class Net:
             for k in range(1, len(parts)):
                 for j in range(3):
                     z[:-k] += parts[k][rows[k:, j]]
+            z[past(sizes)] = -np.inf
             best.append(np.maximum(np.maximum.reduceat(z, firsts, axis=0) + self.bias[w], 0))
         return np.concatenate(best, axis=1)
 
@@ -107,6 +111,41 @@ class Net:
         return 1 / (1 + np.exp(-np.clip(self.logit(rows, sizes, tables), -40, 40).astype(np.float64)))
 
 
+def past(sizes: np.ndarray) -> np.ndarray:
+    """Places from which the widest filter reaches into the next text."""
+    return (np.cumsum(sizes)[:, None] - np.arange(1, WIDTHS[-1])).ravel()
+
+
+def gradients(net: Net, bias: float, r: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple:
+    """Of the mean logistic loss of texts (r: rows of the embedding for each place, n: places of each text): by filters, their biases, the output's weights and its bias; then rows of the embedding that take part (three a place) and the gradient of each place."""
+    x = net.embed[r].sum(axis=1)
+    tops, at, z0 = [], [], np.cumsum(n) - n
+    for w, filters in enumerate(net.conv):
+        z = x @ filters[0]
+        for k in range(1, len(filters)):
+            z[:-k] += x[k:] @ filters[k]
+        z[past(n)] = -np.inf
+        place = np.stack([z[a : a + c].argmax(axis=0) + a for a, c in zip(z0, n, strict=True)])
+        at.append(place)
+        tops.append(np.take_along_axis(z, place, axis=0) + net.bias[w])
+    pooled = np.maximum(np.concatenate(tops, axis=1), 0)
+    p = 1 / (1 + np.exp(-np.clip(pooled @ net.out + bias, -30, 30)))
+    d = ((p - y) / len(n)).astype(net.embed.dtype)
+    back = (d[:, None] * net.out) * (pooled > 0)
+    g_conv, g_bias, touched, moved = [], [], [], []
+    for w, filters in enumerate(net.conv):
+        own = back[:, w * filters.shape[2] : (w + 1) * filters.shape[2]]
+        g = np.zeros_like(filters)
+        for k in range(len(filters)):
+            place, some = at[w] + k, own != 0
+            g[k] = np.einsum("bf,bfd->df", own, x[place])
+            touched.append(r[place[some]])
+            moved.append((own[:, :, None] * filters[k].T[None])[some])
+        g_conv.append(g)
+        g_bias.append(own.sum(axis=0))
+    return g_conv, g_bias, pooled.T @ d, d.sum(), np.concatenate(touched), np.concatenate(moved)
+
+
 def _adam(parameters: list[np.ndarray], rate: float):
     first, second, t = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters], 0
 
@@ -187,35 +226,12 @@ def trained(texts: list[bytes], y: np.ndarray, langs: list[str | None], seed: in
             which = turn[lo : lo + BATCH]
             r, n = gather(which)
             r = np.where(rng.random(r.shape) < 0.15, 0, r)  # hashes left out at random
-            x = net.embed[r].sum(axis=1)
-            tops, at, z0 = [], [], np.cumsum(n) - n
-            for w, filters in enumerate(net.conv):
-                z = x @ filters[0]
-                for k in range(1, len(filters)):
-                    z[:-k] += x[k:] @ filters[k]
-                place = np.stack([z[a : a + c].argmax(axis=0) + a for a, c in zip(z0, n, strict=True)])
-                at.append(place)
-                tops.append(np.take_along_axis(z, place, axis=0) + net.bias[w])
-            pooled = np.maximum(np.concatenate(tops, axis=1), 0)
-            p = 1 / (1 + np.exp(-np.clip(pooled @ net.out + bias[0], -30, 30)))
-            d = ((p - y[which]) / len(which)).astype(np.float32)
-            back = (d[:, None] * net.out) * (pooled > 0)
-            g_conv, g_bias, touched, moved = [], [], [], []
-            for w, filters in enumerate(net.conv):
-                own = back[:, w * FILTERS : (w + 1) * FILTERS]
-                g = np.zeros_like(filters)
-                for k in range(len(filters)):
-                    place = np.minimum(at[w] + k, len(r) - 1)
-                    g[k] = np.einsum("bf,bfd->df", own, x[place])
-                    some = own != 0
-                    touched.append(r[place[some]])
-                    moved.append((own[:, :, None] * filters[k].T[None])[some])
-                g_conv.append(g + 1e-4 * filters)
-                g_bias.append(own.sum(axis=0))
-            step([*g_conv, *g_bias, pooled.T @ d + 1e-4 * net.out, np.array([d.sum()], dtype=np.float32)])
-            hit, place = np.unique(np.concatenate(touched), return_inverse=True)
+            g_conv, g_bias, g_out, g_shift, touched, moved = gradients(net, float(bias[0]), r, n, y[which])
+            g_conv = [g + 1e-4 * filters for g, filters in zip(g_conv, net.conv, strict=True)]
+            step([*g_conv, *g_bias, g_out + 1e-4 * net.out, np.array([g_shift], dtype=np.float32)])
+            hit, place = np.unique(touched, return_inverse=True)
             gx = np.zeros((len(hit), DIM), dtype=np.float32)
-            np.add.at(gx, place.ravel(), np.repeat(np.concatenate(moved), 3, axis=0))
+            np.add.at(gx, place.ravel(), np.repeat(moved, 3, axis=0))
             squares[hit] += (gx * gx).sum(axis=1)
             net.embed[hit] -= 0.05 * gx / np.sqrt(squares[hit] + 1e-8)[:, None]
             net.embed[0] = 0
@@ -233,7 +249,7 @@ def trained(texts: list[bytes], y: np.ndarray, langs: list[str | None], seed: in
     return net
 
 
-def labelled(docs: DataFrame, labels: DataFrame, where: Column, sample: int = SAMPLE) -> list:
+def labelled(docs: DataFrame, labels: DataFrame, where: Column, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> list:
     """About `sample` rows (text, lang, toxic) of documents with a label where `where` holds of doc_id. Labels are drawn first, so the documents are only read, not moved."""
     own = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(where & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     total = own.count()
@@ -241,7 +257,15 @@ def labelled(docs: DataFrame, labels: DataFrame, where: Column, sample: int = SA
         return []
     few = own.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / total))).dropDuplicates()
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    return texts.join(F.broadcast(few), "doc_id").limit(2 * sample).select("text", "lang", "toxic").collect()
+    drawn = materialize(texts.join(F.broadcast(few), "doc_id"), "labelled")  # few: about `sample` narrow rows
+    got = drawn.agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("b")).first()
+    rate = min(1.0, 2 * sample / max(1, got["n"]), sample_bytes / max(1, got["b"] or 0))
+    # of rows that are alike their share is drawn, rounded up or down by a hash
+    alike = drawn.groupBy("doc_id", "text", "lang", "toxic").count()
+    share = F.floor(F.col("count") * rate + F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1_000_000).cast("int")
+    out = alike.where(share > 0).select("text", "lang", "toxic", F.explode(F.sequence(F.lit(1), share))).select("text", "lang", "toxic").collect()
+    release(drawn)
+    return out
 
 
 def fitted(docs: DataFrame, labels: DataFrame, where: Column, sample: int = SAMPLE) -> Net:
