@@ -63,19 +63,6 @@ def test_odd_rows(spark):
     assert near_copies.near_copies(docs(spark, [])).collect() == [] and ODD
 
 
-def test_fingerprints_by_hand():
-    assert near_copies.fingerprints(b"", 3).tolist() == [0, 0, 0]
-    text = b" ".join(f"w{i % 97}".encode() for i in range(700))
-    many = near_copies.fingerprints(text, 4)
-    assert len(set(many.tolist())) == 4 and near_copies.fingerprints(text, 2).tolist() == many[:2].tolist()
-
-
-def test_nearest_before():
-    fps = np.array([0b0000, 0b0011, 0b0111, 0b1111 << 20], dtype=np.uint64)
-    a, b = near_copies.nearest_before(np.zeros(4, dtype=np.int64), fps)
-    assert dict(zip(b.tolist(), a.tolist(), strict=True)) == {1: 0, 2: 1}
-
-
 def test_the_stage_keeps_one_of_each_group(spark, sf):
     rows = planted(9)
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(spark, rows), sf).collect()}

@@ -28,33 +28,15 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from tidewheel.llm.common import counted_side, map_arrow, partitions, ranges, sliced
-from tidewheel.llm.simhash import BITS, components, digests, near_duplicates, near_pairs, whole_buckets, without
+from tidewheel.llm.simhash import components, digests, near_duplicates, whole_buckets, without
 from tidewheel.plans.scratch import materialize
 
-FINE, TABLES, WIDE, SIMILARITY = 2, 16, 5, 0.8
+WIDE, SIMILARITY = 5, 0.8
 WORDS = 32  # of a bitmap
 WHOLE = 4096
 SAMPLE, COMMON = 20_000, 65_536  # texts that tell which shingles are common, and how many of those are sent to the executors
 
 
-# fingerprints() and nearest_before() are not part of the search any more; only their tests use them
-def fingerprints(text: bytes, tables: int = TABLES, k: int = FINE) -> np.ndarray:
-    """A fingerprint for each table, as signed longs: each table mixes the shingles' hashes in its own way."""
-    own = np.frombuffer(b"".join(digests(text, k)), dtype=">u8").astype(np.uint64)
-    if not len(own):
-        return np.zeros(tables, dtype=np.int64)
-    salt = np.arange(tables, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    count = np.zeros(64 * tables, dtype=np.int64)
-    for lo in range(0, len(own), 255):  # sums of 255 bits fit a byte, and memory stays small however long the text
-        h = own[lo : lo + 255, None] ^ salt
-        h = (h * np.uint64(0xD6E8FEB86659FD93)) ^ (h >> np.uint64(32))
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(29)
-        bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(len(h), -1), axis=1)
-        count += np.add.reduce(bits, axis=0, dtype=np.uint8)
-    return np.packbits(2 * count > len(own)).view(">u8").astype(np.uint64).view(np.int64)
-
-
 def shingles(text: bytes, k: int = WIDE) -> np.ndarray:
     """The distinct hashes of a text's k-word shingles, sorted."""
     return np.unique(np.frombuffer(b"".join(digests(text, k)), dtype=np.uint64))
@@ -66,16 +48,6 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
-def nearest_before(bucket: np.ndarray, fps: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """For each row that has a near row before it in its bucket: the nearest of those (the first of several), and the row."""
-    n = len(fps)
-    best = np.full(n, np.iinfo(np.int64).max)
-    for a, b in near_pairs(bucket, fps, bits):
-        np.minimum.at(best, b, np.bitwise_count(fps[a] ^ fps[b]).astype(np.int64) * n + a)
-    row = np.flatnonzero(best < np.iinfo(np.int64).max)
-    return best[row] % n, row
-
-
 def common(docs: DataFrame, texts: int = SAMPLE, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several of about `texts` texts have, sorted, and the place of each by how many have it (from 1, the commonest last)."""
     rate = min(1.0, texts / max(1, docs.count()))
