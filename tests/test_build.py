@@ -3,6 +3,7 @@ import hashlib
 import io
 import json
 import math
+import urllib.error
 import zipfile
 
 import pytest
@@ -31,7 +32,8 @@ def payload(lat, lon, warm):
 def inputs(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("raw")
     (path / "raw").mkdir()
-    (path / "raw" / "a.json").write_text("\n".join(json.dumps(payload(*x)) for x in ((14.5, 121.0, 0), (10.0, 124.0, 3))))
+    for city, x in (("North", (14.5, 121.0, 0)), ("South", (10.0, 124.0, 3))):
+        archive.keep_raw(spark, archive.piece_path(f"file://{path}/raw", "k1", city, FIRST, FIRST + dt.timedelta(days=DAYS - 1)), payload(*x))
     (path / "cities.csv").write_text("city,latitude,longitude,elevation\nNorth,14.52,121.01,20\nSouth,10.1,124.0,5\n")
     return path
 
@@ -151,3 +153,90 @@ def test_report():
     assert report.table([("a|b", 1.234, None)], ["x", "y", "z"]) == "| x | y | z |\n| --- | --- | --- |\n| a\\|b | 1.23 | - |"
     assert len(report.recommendations({"random_siblings": 0.9, "effective_series": 1.1, "entities": 16, "rare_levels": 2, "persistence_macro_f1": 0.5, "useful_lags": 0, "slope_per_100": -0.65})) == 6
     assert report.recommendations({}) == []
+
+
+def test_neighbours_keep_their_own_payloads(spark, tmp_path):
+    """Two cities in one grid cell: each has the weather its own file tells, and a payload that is broken or no one's stops the build."""
+    last = FIRST + dt.timedelta(days=DAYS - 1)
+    put = lambda city, x: archive.keep_raw(spark, archive.piece_path(f"file://{tmp_path}/raw", "k1", city, FIRST, last), x)
+    cool, warm = payload(14.5, 121.0, 0), payload(14.5, 121.0, 4)
+    put("San Juan", cool)
+    put("Pasig", warm)
+    (tmp_path / "cities.csv").write_text("city,latitude,longitude,elevation\nSan Juan,14.50,121.00,20\nPasig,14.60,121.10,5\n")
+    args = ["--log", str(tmp_path / "log"), "build", "--raw", str(tmp_path / "raw"), "--cities", str(tmp_path / "cities.csv"), "--panel", str(tmp_path / "panel"), "--first", "2024-01-01", "--last", "2024-02-08", "--document", str(tmp_path / "about.md")]
+    assert cli.main(args) == 0
+    rows = {r.City: r for r in spark.read.parquet(str(tmp_path / "panel")).where("Date = '2024-01-01'").collect()}
+    for city, p in (("San Juan", cool), ("Pasig", warm)):
+        day = p["hourly"]["temperature_2m"][:24]
+        assert (rows[city].Temp_Min, rows[city].Temp_Max, rows[city].RainHours, rows[city].Rainfall_Total) == (min(day), max(day), 2, 0.8)
+    text = (tmp_path / "about.md").read_text()
+    assert "| Temp_Max | feature | deg C |" in text and "0 to 50" in text
+    put("Nowhere", cool)
+    assert cli.main(args) == 1
+    put("Nowhere", {**cool, "timezone": "UTC"})
+    assert cli.main(args) == 1 and "timezone" in (tmp_path / "log").read_text()
+
+
+def test_hours_that_come_twice_make_a_day_incomplete(spark):
+    cols = "city string, day date, hour int, " + ", ".join(f"{v} double" for v in archive.VARIABLES)
+    rows = [("a", FIRST, h, *[20.0] * 10) for h in range(24)]
+    assert build.daily(spark.createDataFrame(rows, cols)).first().Temp_Max == 20.0
+    assert build.daily(spark.createDataFrame([*rows, rows[3]], cols)).first().Temp_Max is None
+    assert build.daily(spark.createDataFrame([*rows[1:], rows[3]], cols)).first().Temp_Max is None
+
+
+def test_named_features():
+    lags = ("HeatIndex_Max_Today_lag1", "DewPoint_Mean_lag1", "Temp_Min_mean3")
+    assert build.feature_columns(static="none", weather="lr_pruned") == [*build.PRUNED, "DayOfYear"]
+    assert build.feature_columns("all_lags", "coords", "lr_pruned", True, lags)[7:] == ["HeatIndex_Max_Today_lag1", "Temp_Min_mean3", "HeatLevelToday_Code", "DayOfYear", "Latitude", "Longitude", "Elevation"]
+    for how in ({"feature_set": "x"}, {"static": "x"}, {"weather": "x"}):
+        with pytest.raises(ValueError, match="unknown"):
+            build.feature_columns(**how)
+
+
+def test_warnings_leave_impossible_values_to_errors(own):
+    def got(x):
+        return {r.rule: r.n_bad for r in build.validated(own.withColumn("Temp_Max", F.when((F.col("City") == "South") & (F.col("Date") == F.lit(FIRST)), x).otherwise(F.col("Temp_Max"))), FIRST, dt.date(2024, 2, 8)).collect()}
+
+    assert (got(45.0)["Temp_Max_range_warning"], got(45.0)["Temp_Max_range_error"]) == (1, 0)
+    assert (got(60.0)["Temp_Max_range_warning"], got(60.0)["Temp_Max_range_error"]) == (0, 1)
+    assert got(45.0)["rows_without_following"] == 0 and got(45.0)["unsorted"] == 0
+
+
+def test_prepared_facts(own):
+    ready, start, folds = build.prepared(own, ("HeatIndex_Max_Today",), share=0.8, gap=2, min_train=10)
+    facts = build.prepared_facts(own, ready).first()
+    assert facts.rows_in == own.count() and facts.train + facts.test + facts.gap_rows + facts.dropped == facts.rows_in and facts.gap_rows == 4
+    assert "| fold |" in build.preparation_report(own, ready, start, 2, folds)
+    with pytest.raises(ValueError, match="no test"):
+        splits.require_sides(ready.where("split = 'train'"))
+    assert splits.default_start(ready, dt.date(2024, 1, 20), before=10, after=5) == dt.date(2024, 1, 20)
+    assert splits.default_start(ready, dt.date(2024, 1, 20)) == splits.nth_day(ready, 0.75)
+
+
+def test_requests_and_raw_files(spark, tmp_path):
+    q = archive.parameters(14.5, 121, FIRST, FIRST, key="k")
+    assert (q["latitude"], q["start_date"], q["timezone"], q["apikey"]) == ("14.5000", "2024-01-01", "Asia/Manila", "k") and q["hourly"].startswith("temperature_2m,")
+
+    class Answer(io.BytesIO):
+        status = 200
+
+    assert archive.http("http://x", q, opened=lambda url, timeout: Answer(b'{"a": 1}')) == (200, "", {"a": 1})
+    with pytest.raises(archive.Retryable):
+        archive.http("http://x", q, opened=lambda url, timeout: Answer(b"<html>"))
+
+    def refused(url, timeout):
+        raise urllib.error.HTTPError(url, 429, "no", {}, io.BytesIO(b'{"error": true, "reason": "Hourly limit"}'))
+
+    assert archive.http("http://x", q, opened=refused)[:2] == (429, "Hourly limit")
+    raw = tmp_path / "raw" / "k"
+    raw.mkdir(parents=True)
+    (raw / "A_2024-01-01_2024-01-02.json.gz").write_bytes(b"no gzip")
+    archive.keep_raw(spark, f"file://{raw}/B c_2024-01-01_2024-01-02.json.gz", payload(1, 2, 0))
+    assert [x.rsplit("/", 1)[1] for x in archive.unreadable(spark, f"file://{tmp_path}/raw")] == ["A_2024-01-01_2024-01-02.json.gz"]
+    (r,) = archive.pieces(spark, f"file://{tmp_path}/raw").collect()
+    assert (r.city, str(r["first"]), str(r["last"])) == ("B c", "2024-01-01", "2024-01-02")
+    states = list(archive.collect([1, 2, 3], lambda p: p == 1, lambda p: {}, lambda p, x: None, rebuild=lambda p: p == 2))
+    assert [s for _, s in states] == ["cached", "rebuilt", "fetched"]
+    assert archive.first_cities(spark.createDataFrame([("b",), ("a",), ("c",)], "city string"), 2).count() == 2
+    assert (report.duration(3725), report.duration(65.9), report.duration(-1)) == ("1h02m", "1m05s", "0m00s")

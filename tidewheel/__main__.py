@@ -6,6 +6,7 @@ import argparse
 import datetime as dt
 import logging
 import sys
+import time
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ log = logging.getLogger("tidewheel")
 
 def options(argv: list[str] | None = None) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="tidewheel", description=__doc__)
+    p.add_argument("--log", help="a file to which log lines are added")
     sub = p.add_subparsers(dest="command", required=True)
     day = dt.date.fromisoformat
     b = sub.add_parser("build", help="raw payloads to a checked panel")
@@ -27,6 +29,8 @@ def options(argv: list[str] | None = None) -> argparse.Namespace:
     b.add_argument("--cities", required=True, help="CSV with city, latitude, longitude, elevation")
     b.add_argument("--hours", type=int, default=24)
     b.add_argument("--most-missing", type=float, default=0.005)
+    b.add_argument("--max-cities", type=int, default=0, help="the first so many by name")
+    b.add_argument("--document", help="a Markdown file about the panel")
     for name in ("build", "validate"):
         q = b if name == "build" else sub.add_parser(name, help="checks of a panel")
         q.add_argument("--panel", required=True)
@@ -61,15 +65,34 @@ def analysis(own) -> str:
 
 def main(argv: list[str] | None = None) -> int:
     o = options(argv)
+    if o.log:
+        to = logging.FileHandler(o.log)
+        to.setFormatter(logging.Formatter("%(asctime)sZ %(message)s"))
+        to.formatter.converter = time.gmtime
+        log.addHandler(to)
+        log.setLevel(logging.INFO)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
         if o.command == "build":
             cities = spark.read.option("header", "true").schema("city string, latitude double, longitude double, elevation double").csv(o.cities)
-            raw = archive.read_raw(spark, o.raw).where("_corrupt is null")
-            near = (F.abs(raw["latitude"] - cities["latitude"]) <= 0.5) & (F.abs(raw["longitude"] - cities["longitude"]) <= 0.5)
-            named = raw.join(F.broadcast(cities.select("city", "latitude", "longitude").limit(100_000)), near).drop(cities["latitude"], cities["longitude"])  # the city list is bounded
-            own = build.panel(build.daily(archive.hours(named), o.hours), cities, o.most_missing)
-            wrong = archive.publish(own, o.panel, lambda df: build.faults(df, o.first, o.last))
+            if o.max_cities:
+                cities = archive.first_cities(cities, o.max_cities)
+            # a payload belongs to the city its file is named after; neighbours share grid cells, so its coordinates do not tell
+            raw = archive.pieces(spark, o.raw).where("_corrupt is null")
+            known = raw.join(cities.select("city", F.lit(True).alias("_known")), "city", "left")
+            tested = archive.payload_faults(known, F.col("first"), F.col("last"))
+            bad = tested.where((F.size("faults") > 0) | F.col("city").isNull() | (F.col("_known").isNull() & F.lit(not o.max_cities)))
+            wrong = [f"cannot be read: {f}" for f in archive.unreadable(spark, o.raw)]
+            wrong += [f"{r['file']}: {', '.join(r['faults']) or 'no city of the list'}" for r in bad.select("file", "faults").limit(50).collect()]
+            if not wrong:
+                days = build.daily(archive.hours(known.where("_known")), o.hours)
+                rain = build.rain_gap(days).first()
+                if rain["n_over"]:
+                    log.warning("%d days have over 0.5 mm between precipitation and rain (at most %.3f)", rain["n_over"], rain["max_gap"])
+                wrong = archive.publish(build.panel(days, cities, o.most_missing), o.panel, lambda df: build.faults(df, o.first, o.last))
+                if not wrong and o.document:
+                    with open(o.document, "w") as f:
+                        f.write(build.documentation(spark.read.parquet(o.panel), o.first, o.last))
         else:
             own = spark.read.parquet(o.panel)
             wrong = []
@@ -82,7 +105,9 @@ def main(argv: list[str] | None = None) -> int:
                 ready, start, folds = build.prepared(own, ("HeatIndex_Max_Today", "Temp_Max"), ("Temp_Max",), min_train=o.min_train)
                 archive.write_csv(ready, f"{o.out}/rows")
                 text = build.split_definition(ready, start, 4, folds)
-                spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{o.out}/split")
+                about = build.preparation_report(own, ready, start, 4, folds)
+                for name, value in (("split", text), ("report", about)):
+                    spark.createDataFrame([(value,)], "value string").coalesce(1).write.mode("overwrite").text(f"{o.out}/{name}")
     except (AnalysisException, FileNotFoundError) as e:
         log.error("%s", str(e)[:300])
         return 2

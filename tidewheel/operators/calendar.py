@@ -99,3 +99,14 @@ def complete_days(panel: DataFrame) -> DataFrame:
     span = panel.groupBy("city").agg(F.min("day").alias("a"), F.max("day").alias("b"))
     every = span.select("city", F.explode(F.sequence("a", "b")).alias("day"))
     return every.join(panel.select("city", "day"), ["city", "day"], "left_anti")
+
+
+def without_following(panel: DataFrame) -> DataFrame:
+    """city and n: its rows that no row of the next day follows."""
+    after = panel.select("city", F.date_sub("day", 1).alias("day"), F.lit(1).alias("_next")).distinct()
+    return panel.select("city", "day").join(after, ["city", "day"], "left").groupBy("city").agg(F.count_if(F.col("_next").isNull()).alias("n"))
+
+
+def constant_of(panel: DataFrame, value: str) -> DataFrame:
+    """For each city of a value that should not change: its median, how many values it takes, and the first by day."""
+    return panel.groupBy("city").agg(F.median(value).alias("median"), F.count_distinct(value).alias("n_values"), F.min_by(value, "day").alias("first"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from itertools import product
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -86,17 +88,55 @@ def cross_validate(panel: DataFrame, folds: Sequence[Fold], preparer, label: str
     """A row of scores for each fold; preparer() gives a fresh Preparer, fitted to the fold's training rows."""
     out = None
     for f in folds:
-        train = panel.where(F.col("day") < F.lit(f.train_before)).cache()
+        train = panel.where(F.col("day") < F.lit(f.train_before)).persist()
         test = panel.where(F.col("day").between(F.lit(f.test_from), F.lit(f.test_to)))
         prep = preparer().fit(train)
         predict, _ = logistic(prep.transform(train), prep.outputs(), label, c, power)
+        train.unpersist()  # scores read the test rows and the fitted model only
         cells = evaluate.confusion(predict(prep.transform(test)), label, "guess", labels)
         one = evaluate.scores(cells, focus).crossJoin(evaluate.quadratic_kappa(cells)).withColumn("fold", F.lit(f.number))  # one row each
         out = one if out is None else out.unionByName(one)
+    return out
+
+
+def out_of_fold(panel: DataFrame, folds: Sequence[Fold], preparer, label: str, c: float = 1.0, power: float = 0.0) -> DataFrame:
+    """Each fold's test rows with `guess`, `probabilities` and `fold`, predicted by a model of that fold's training rows."""
+    out = None
+    for f in folds:
+        train = panel.where(F.col("day") < F.lit(f.train_before)).persist()
+        prep = preparer().fit(train)
+        predict, _ = logistic(prep.transform(train), prep.outputs(), label, c, power)
         train.unpersist()
+        one = predict(prep.transform(panel.where(F.col("day").between(F.lit(f.test_from), F.lit(f.test_to))))).withColumn("fold", F.lit(f.number))
+        out = one if out is None else out.unionByName(one)
     return out
 
 
+def search(run, first: Sequence[dict], second) -> list[dict]:
+    """Grid search in two stages: run(configuration) gives a dict of scores with macro_f1; second(best of the first stage) gives the configurations of the next. No configuration runs twice. The best first."""
+    done: dict[str, dict] = {}
+
+    def each(grid: Sequence[dict]) -> list[dict]:
+        for own in grid:
+            key = repr(sorted(own.items()))
+            if key not in done:
+                done[key] = own | run(own)
+        return sorted(done.values(), key=lambda g: -g["macro_f1"])
+
+    return each(second(each(first)[0]))
+
+
+def grid(**choices: Sequence) -> list[dict]:
+    """Every combination of the choices."""
+    return [dict(zip(choices, own, strict=True)) for own in product(*choices.values())]
+
+
+def save(model, config: dict, path: str, spark) -> None:
+    """A fitted model and, beside it, what it was fitted with."""
+    model.write().overwrite().save(f"{path}/model")
+    spark.createDataFrame([(json.dumps(config, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
+
+
 def choose(grid: Sequence[dict], least_recall: float) -> dict:
     """Of configurations (dicts with macro_f1, sd, focus_recall, uses_entity) the best macro-F1 among those with enough recall; one without the entity if that is within one standard deviation."""
     fit = [g for g in grid if g["focus_recall"] >= least_recall] or list(grid)

@@ -21,6 +21,12 @@ def sections(title: str, parts: dict[str, DataFrame | str]) -> str:
     return "\n\n".join([f"# {title}", *(f"## {n}\n\n{p if isinstance(p, str) else table(p)}" for n, p in parts.items())]) + "\n"
 
 
+def duration(seconds: float) -> str:
+    """Hours and minutes, or minutes and seconds under an hour."""
+    minutes, s = divmod(int(max(0, seconds)), 60)
+    return f"{minutes // 60}h{minutes % 60:02d}m" if minutes >= 60 else f"{minutes}m{s:02d}s"
+
+
 def recommendations(facts: dict[str, float]) -> list[str]:
     """What the figures of an analysis advise; facts that are missing advise nothing."""
     f = facts.get
@@ -37,4 +43,16 @@ def recommendations(facts: dict[str, float]) -> list[str]:
         out.append("Lags add nothing beyond today's value and the season; start without them.")
     if f("slope_per_100") is not None and abs(f("slope_per_100")) > 0.2:
         out.append("Elevation matters within cells; keep it as a feature.")
+    if f("missing", 0) or f("gaps", 0):
+        out.append("Mend missing values and gaps first; lags and targets skip over them.")
+    if f("shared_vectors", 0) > 0.5:
+        out.append("Many rows of a day are alike; weight days, or keep one city a cell.")
+    if f("city_share") is not None and f("city_share") < 0.05:
+        out.append("The city explains little; leave it out unless a model without it scores lower.")
+    if f("lag1_adjusted", 0) > 0.3:
+        out.append("Yesterday tells much beyond the season; leave days between training and test out.")
+    if f("focus_days_in_test") is not None and f("focus_days_in_test") < 30:
+        out.append("Too few days of the level that matters lie in the test span; start it earlier.")
+    if f("skewed", 0):
+        out.append("Some measures are skewed; take logarithms before scaling.")
     return out

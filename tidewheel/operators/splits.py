@@ -27,6 +27,22 @@ def chronological(panel: DataFrame, test_start: dt.date, embargo: int = 1) -> Da
     return panel.withColumn("split", side(F.lit(test_start), embargo))
 
 
+def require_sides(rows: DataFrame) -> DataFrame:
+    """The rows; raises if either side of their split is empty."""
+    there = {r["split"] for r in rows.select("split").distinct().collect()}
+    if missing := {"train", "test"} - there:
+        raise ValueError(f"no {' and no '.join(sorted(missing))} rows in the split")
+    return rows
+
+
+def default_start(panel: DataFrame, fixed: dt.date, share: float = 0.75, before: int = 730, after: int = 90) -> dt.date:
+    """The day on which testing starts: `fixed` if at least so many days lie before and after it, else the distinct day at `share`."""
+    ends = panel.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
+    if ends["a"] is not None and ends["a"] + dt.timedelta(days=before) <= fixed <= ends["b"] - dt.timedelta(days=after):
+        return fixed
+    return nth_day(panel, share)
+
+
 @dataclass(frozen=True)
 class Fold:
     number: int

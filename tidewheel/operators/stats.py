@@ -141,6 +141,14 @@ def pairs(panel: DataFrame, value: str, level: str) -> DataFrame:
     )
 
 
+def elevation_verdict(pair_rows: DataFrame, material: tuple[float, float] = (0.5, 0.02), modest: tuple[float, float] = (0.2, 0.005)) -> DataFrame:
+    """verdict on what elevation does inside a cell, from pairs() rows of cities that share one, with their rise (b less a): the mean absolute difference, or the share of days whose levels differ, over its bound; untestable without pairs, or without a rise."""
+    size, differs = F.avg("mean_abs_d"), F.avg("level_differs")
+    over = lambda b: (size >= b[0]) | (differs >= b[1])
+    verdict = F.when(F.count("*") == 0, "no shared cell").when(F.count_if(F.col("rise") != 0) == 0, "no rise").when(over(material), "material").when(over(modest), "modest").otherwise("negligible")
+    return pair_rows.agg(verdict.alias("verdict"), size.alias("mean_abs_d"), differs.alias("level_differs"))
+
+
 def effective_series(pair_corr: DataFrame, names: int) -> DataFrame:
     """Participation ratio of the correlation matrix: n^2 over the sum of squared entries, from correlations of distinct pairs (city_a < city_b)."""
     return pair_corr.agg((F.lit(float(names * names)) / (F.lit(float(names)) + 2 * F.sum(F.col("corr") * F.col("corr")))).alias("effective_series"), F.avg("corr").alias("mean_corr"), F.min("corr").alias("min_corr"))
@@ -160,13 +168,14 @@ def spectrum(pair_corr: DataFrame) -> tuple[float, int]:
 
 
 def groups(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and the smallest node it is connected to: labels spread along edges (a, b) until none falls."""
+    """node and the smallest node it is connected to: labels spread along edges (a, b), and each takes its own label's label, so that rounds grow with the logarithm of the longest path."""
     label = nodes.select("node", F.col("node").alias("root"))
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
     while True:
         near = both.join(label, both["a"] == label["node"]).groupBy("b").agg(F.min("root").alias("near"))
         new = label.join(near, label["node"] == near["b"], "left").select("node", F.least("root", F.coalesce("near", "root")).alias("root"), F.col("root").alias("old"))
         new = materialize(new, "groups")
-        label = new.select("node", "root")
+        up = new.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+        label = materialize(new.join(up, new["root"] == up["_n"], "left").select("node", F.least("root", F.coalesce("_r", "root")).alias("root")), "groups")
         if not new.where("root <> old").limit(1).count():
             return label

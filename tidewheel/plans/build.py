@@ -42,14 +42,16 @@ ORDERS = (("Temp_Min", "Temp_Mean"), ("Temp_Mean", "Temp_Max"), ("Humidity_Min",
 
 
 def daily(hours: DataFrame, need: int = 24, rain_from: float = 0.1) -> DataFrame:
-    """Days of archive.hours() rows: each aggregate null unless `need` hours of its own variable are there, rounded before anything is derived; helper columns start with _."""
+    """Days of archive.hours() rows: each aggregate null unless `need` hours of its own variable are there, each once, rounded before anything is derived; helper columns start with _."""
     rows = hours.withColumn("_hi", S.heat_index(F.col("temperature_2m"), F.col("relative_humidity_2m")))
     by = {"min": F.min, "mean": F.avg, "max": F.max, "sum": F.sum}
-    gate = lambda v, of: F.when(F.count(of) >= need, v)
+    seen = lambda of: F.bit_count(F.bit_or(F.when(F.col(of).isNotNull(), F.expr("shiftleft(1, hour)"))))
+    # an hour that comes twice makes the day incomplete: its sums would count it twice
+    gate = lambda v, of: F.when((seen(of) >= need) & (F.count(of) == seen(of)), v)
     cells = [gate(S.half_even(by[f](v), 1 if c == "SolarRadiation_Total" else 2), v).alias(c) for c, f, v in AGGREGATES]
     return rows.groupBy("city", "day").agg(
         *cells, gate(F.count_if(F.col("rain") >= rain_from), "rain").alias("RainHours"), gate(S.half_even(F.max("_hi")), "_hi").alias("HeatIndex_Max_Today"),
-        F.least(*(F.count(v) for v in archive.VARIABLES)).alias("_HoursMin"), gate(S.half_even(F.sum("precipitation")), "precipitation").alias("_PrecipTotal"),
+        F.least(*(F.coalesce(seen(v), F.lit(0)) for v in archive.VARIABLES)).alias("_HoursMin"), gate(S.half_even(F.sum("precipitation")), "precipitation").alias("_PrecipTotal"),
     )
 
 
@@ -69,11 +71,16 @@ def panel(days: DataFrame, cities: DataFrame, most_missing: float = 0.005) -> Da
     return own.select(*COLUMNS).orderBy("City", "Date")
 
 
+def rain_gap(days: DataFrame, most: float = 0.5) -> DataFrame:
+    """How far daily() days' precipitation is from their rain: the largest difference, and days over `most`."""
+    return rules.gap(days, "_PrecipTotal", "Rainfall_Total", most)
+
+
 def rule_set() -> list[rules.Rule]:
     """The published panel's rules: ranges, orders and calendar, each with its severity and what null means to it."""
     slack = lambda a, b, by, **how: rules.ordered(a, b, by, **how)
     out = [rules.present(c) for c in COLUMNS]
-    out += [rules.in_range(c, lo, hi) for c, (lo, hi) in POSSIBLE.items()] + [rules.in_range(c, lo, hi, "warning") for c, (lo, hi) in USUAL.items()]
+    out += [rules.in_range(c, lo, hi) for c, (lo, hi) in POSSIBLE.items()] + [rules.unusual(c, *USUAL[c], *POSSIBLE[c]) for c in USUAL]
     out += [rules.ordered(a, b, null_is_bad=True) for a, b in ORDERS[:4]]
     out += [rules.ordered("WindSpeed_Mean", "WindSpeed_Max"), slack("DewPoint_Mean", "Temp_Mean", 0.1), rules.ordered("WindSpeed_Max", "WindGust_Max", 0.01, "warning")]
     out += [rules.Rule("Month_of_Date", F.col("Month") != F.month("Date")), rules.Rule("DayOfYear_of_Date", F.col("DayOfYear") != F.dayofyear("Date"))]
@@ -99,9 +106,12 @@ def validated(own: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
     span = (last - first).days + 1
     extent = rows.groupBy("city").agg(F.count("*").alias("n"), F.min("day").alias("a"), F.max("day").alias("b"))
     ends = extent.agg(F.array(one("rows_by_city", F.col("n") != span), one("first_day", F.col("a") != F.lit(first)), one("last_day", F.col("b") != F.lit(last))).alias("x")).select(F.inline("x"))
+    # each city's last day is the one row that no row follows
+    alone = calendar.without_following(rows).agg(F.array(one("rows_without_following", F.col("n") != 1, "warning")).alias("x")).select(F.inline("x"))
+    order = rules.unsorted(own, ["City", "Date"]).select(F.lit("unsorted").alias("rule"), F.lit("error").alias("severity"), F.col("n_unsorted").alias("n_bad"))
     copies = rules.duplicates(own, ["City", "Date"])
     keys = copies.select(F.inline(F.array(*(F.struct(F.lit(n).alias("rule"), F.lit("error").alias("severity"), F.col(c).cast("long").alias("n_bad")) for n, c in (("duplicate_keys", "extra_keys"), ("duplicate_rows", "extra_rows"))))))
-    return rules.check(own, rule_set()).unionByName(pairs).unionByName(ends).unionByName(keys)
+    return rules.check(own, rule_set()).unionByName(pairs).unionByName(ends).unionByName(keys).unionByName(alone).unionByName(order)
 
 
 def faults(own: DataFrame, first: dt.date, last: dt.date) -> list[str]:
@@ -126,5 +136,58 @@ def prepared(own: DataFrame, lags: tuple[str, ...], deltas: tuple[str, ...] = ()
     rows = own.withColumnsRenamed({"City": "city", "Date": "day"})
     start = splits.nth_day(rows, share, rounded=True)
     names = calendar.lag_names(lags, deltas=deltas)
-    ready = splits.chronological(calendar.with_lags(rows, lags, deltas=deltas).dropna(subset=names), start, gap)
+    ready = splits.require_sides(splits.chronological(calendar.with_lags(rows, lags, deltas=deltas).dropna(subset=names), start, gap))
     return ready, start, splits.expanding(ready.where("split = 'train'"), gap=gap, min_train=min_train)
+
+
+#: The weather columns that stay when collinear ones go.
+PRUNED = ("HeatIndex_Max_Today", "Temp_Min", "SolarRadiation_Total", "WindSpeed_Mean", "Pressure_Mean", "CloudCover_Mean", "Rainfall_Total")
+WEATHER = {"full": tuple(c for c, role, *_ in DICTIONARY if role == "feature" and c != "HeatLevelToday"), "lr_pruned": PRUNED}
+STATIC = {"city": ("City",), "coords": ("Latitude", "Longitude", "Elevation"), "none": ()}
+
+
+def feature_columns(feature_set: str = "today", static: str = "city", weather: str = "full", level_today: bool = False, lags: tuple[str, ...] = ()) -> list[str]:
+    """Columns that a model reads: a named weather set; no lags (`today`), those of the heat index (`hi_lags`) or all of `lags` whose source is in the set (`all_lags`); today's level as a code; the season; and how a place is told (`city`, `coords` or `none`). Raises on an unknown name."""
+    sets = {"today": (), "hi_lags": tuple(f"HeatIndex_Max_Today_lag{k}" for k in (1, 2, 3)), "all_lags": lags}
+    for name, given, known in (("feature set", feature_set, sets), ("static option", static, STATIC), ("weather set", weather, WEATHER)):
+        if given not in known:
+            raise ValueError(f"unknown {name} {given!r}: one of {sorted(known)}")
+    own = WEATHER[weather]
+    history = [c for c in sets[feature_set] if any(c.startswith(f"{w}_") for w in own)]
+    out = [*own, *history, *(["HeatLevelToday_Code"] if level_today else []), "DayOfYear", *STATIC[static]]
+    rules.guard_features(out)
+    return out
+
+
+def prepared_facts(before: DataFrame, ready: DataFrame, level: str = "Not Hazardous") -> DataFrame:
+    """One row about prepared(): rows in, dropped for want of history, in the gap, training and test rows; days before a day of `level`, and the last such day (the day after its row)."""
+    side = lambda s: F.count_if(F.col("split").eqNullSafe(s))
+    hit = F.col("HeatLevelTomorrow") == level
+    own = ready.agg(F.count("*").alias("n"), side(None).alias("gap_rows"), side("train").alias("train"), side("test").alias("test"), F.count_distinct(F.when(hit, F.col("day"))).alias("level_days"), F.date_add(F.max(F.when(hit, F.col("day"))), 1).alias("last_level_day"))
+    return before.agg(F.count("*").alias("rows_in")).crossJoin(own).select("rows_in", (F.col("rows_in") - F.col("n")).alias("dropped"), "gap_rows", "train", "test", "level_days", "last_level_day")  # one row each
+
+
+def documentation(own: DataFrame, first: dt.date, last: dt.date) -> str:
+    """The published panel in Markdown: its size and span, the columns with role, unit, origin and allowed values, levels, and every check with its result."""
+    from tidewheel.operators import report
+
+    allowed = lambda c: f"{POSSIBLE[c][0]} to {POSSIBLE[c][1]}" if c in POSSIBLE else ", ".join(S.LEVELS) if c.startswith("HeatLevel") else ""
+    size = own.agg(F.count("*").alias("rows"), F.count_distinct("City").alias("cities"), F.min("Date").alias("first"), F.max("Date").alias("last"))
+    return report.sections("Panel", {
+        "Size": size,
+        "Columns": report.table([(*d, allowed(d[0])) for d in DICTIONARY], ["column", "role", "unit", "origin", "allowed"]),
+        "Levels": own.groupBy(F.col("HeatLevelTomorrow").alias("level")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows")),
+        "Checks": validated(own, first, last).orderBy("severity", "rule"),
+    })
+
+
+def preparation_report(before: DataFrame, ready: DataFrame, start: dt.date, gap: int, folds: list[splits.Fold]) -> str:
+    """prepared() in Markdown: facts, split, folds and the levels of each side."""
+    from tidewheel.operators import report
+
+    return report.sections("Preparation", {
+        "Facts": prepared_facts(before, ready),
+        "Split": f"Test from {start}, {gap} days before it on neither side.",
+        "Folds": report.table([(f.number, f.train_before, f.test_from, f.test_to) for f in folds], ["fold", "train before", "test from", "test to"]),
+        "Levels": ready.where("split is not null").groupBy("split", "HeatLevelTomorrow").count().orderBy("split", "HeatLevelTomorrow"),
+    })

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import weakref
@@ -14,10 +15,12 @@ _paths: dict[int, str] = {}
 
 
 def root(spark: SparkSession) -> str:
-    """The shared folder: what the session names in spark.checkpoint.dir, or (only where that is unset, as in tests) a folder of our own."""
+    """The shared folder: what the session names in spark.checkpoint.dir, or (only where that is unset and all runs in one process, as in tests) a folder of our own."""
     named = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError(f"{KEY} must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="tidewheel-")

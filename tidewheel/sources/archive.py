@@ -6,10 +6,14 @@ Requests go out from the driver, which holds the global budget; from raw payload
 from __future__ import annotations
 
 import datetime as dt
+import gzip
 import hashlib
 import json
 import random
 import time
+import urllib.error
+import urllib.parse
+import urllib.request
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
@@ -17,9 +21,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The archive's variables, its payload, and the request.
 VARIABLES = ("temperature_2m", "relative_humidity_2m", "dew_point_2m", "pressure_msl", "cloud_cover", "precipitation", "rain", "shortwave_radiation", "wind_speed_10m", "wind_gusts_10m")
 PAYLOAD = "latitude double, longitude double, elevation double, timezone string, utc_offset_seconds int, hourly struct<time:array<string>," + ",".join(f"{v}:array<double>" for v in VARIABLES) + ">"
 
+REQUEST = {"timezone": "Asia/Manila", "models": "era5", "cell_selection": "land", "temperature_unit": "celsius", "wind_speed_unit": "kmh", "precipitation_unit": "mm", "timeformat": "iso8601"}
+
 
 class DailyLimit(RuntimeError):
     """The day's requests are used up; come back tomorrow."""
@@ -145,9 +152,75 @@ def fetch(request: Callable[[], tuple[int, str, dict]], weight: float, budget: B
     raise AssertionError
 
 
+def parameters(latitude: float, longitude: float, first: dt.date, last: dt.date, key: str | None = None, **other: str) -> dict[str, str]:
+    """What a request for one piece says; `other` overrides units, model and time zone."""
+    place = {"latitude": f"{latitude:.4f}", "longitude": f"{longitude:.4f}"}
+    span = {"start_date": first.isoformat(), "end_date": last.isoformat()}
+    return place | span | {"hourly": ",".join(VARIABLES)} | REQUEST | other | ({"apikey": key} if key else {})
+
+
+def http(url: str, query: dict[str, str], timeout: float = 120.0, opened: Callable = urllib.request.urlopen) -> tuple[int, str, dict]:
+    """(status, message, payload) of one GET, as fetch() wants its request. A refused request is a status, a lost connection an OSError; a body that is no JSON can be tried again."""
+    try:
+        with opened(f"{url}?{urllib.parse.urlencode(query)}", timeout=timeout) as answer:
+            body, status = answer.read(), answer.status
+    except urllib.error.HTTPError as e:
+        body, status = e.read(), e.code
+    try:
+        payload = json.loads(body)
+    except ValueError as e:
+        if status == 200:
+            raise Retryable("the answer is no JSON") from e
+        return status, body[:200].decode("utf-8", "replace"), {}
+    return status, str(payload.get("reason", "")), payload
+
+
+def piece_path(root: str, key: str, city: str, first: dt.date, last: dt.date) -> str:
+    """Where the raw payload of a piece lies: a folder for each specification, a file for each city and span."""
+    return f"{root}/{key}/{city}_{first}_{last}.json.gz"
+
+
+def _at(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def keep_raw(spark: SparkSession, path: str, payload: dict) -> None:
+    """Write a payload as one gzipped line beside `path`, then move it there, so that a file at `path` is whole."""
+    (to, fs), (tmp, _) = _at(spark, path), _at(spark, f"{path}.tmp")
+    out = fs.create(tmp, True)
+    try:
+        out.write(bytearray(gzip.compress(json.dumps(payload, separators=(",", ":")).encode(), 5)))
+    finally:
+        out.close()
+    fs.delete(to, False)
+    if not fs.rename(tmp, to):
+        raise OSError(f"cannot move {tmp} to {to}")
+
+
+def pieces(spark: SparkSession, path: str) -> DataFrame:
+    """Raw payloads with the city, first and last day that their file names give; a file name that does not is a null city."""
+    name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    part = lambda k: F.nullif(F.regexp_extract(name, r"([^/]+)_(\d{4}-\d\d-\d\d)_(\d{4}-\d\d-\d\d)\.json(?:\.gz)?$", k), F.lit(""))
+    return read_raw(spark, path).select("*", part(1).alias("city"), part(2).cast("date").alias("first"), part(3).cast("date").alias("last"), name.alias("file"))
+
+
+def unreadable(spark: SparkSession, path: str) -> list[str]:
+    """Files under `path` from which no payload can be read: to be deleted and fetched again."""
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"))
+    read = read_raw(spark, path).where("_corrupt is null and hourly is not null").select(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("file")).distinct()
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    return [r["file"] for r in there.where(~F.col("file").endswith(".tmp")).select(plain("file").alias("file")).join(read.select(plain("file").alias("file")), "file", "left_anti").collect()]
+
+
+def first_cities(cities: DataFrame, n: int) -> DataFrame:
+    """The first n cities by name."""
+    return cities.orderBy("city").limit(n)
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Raw payloads; a line that is no JSON has everything null but `_corrupt`, and a file that cannot be read is passed over."""
-    return spark.read.schema(f"{PAYLOAD}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("ignoreCorruptFiles", "true").json(path)
+    """Raw payloads; a line that is no JSON has everything null but `_corrupt`. A file that cannot be read is passed over here and named by unreadable()."""
+    return spark.read.schema(f"{PAYLOAD}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").json(path)
 
 
 def payload_faults(payloads: DataFrame, first: str, last: str, timezone: str = "Asia/Manila") -> DataFrame:
@@ -202,12 +275,14 @@ def publish(panel: DataFrame, path: str, faults: Callable[[DataFrame], list[str]
     return wrong
 
 
-def collect(pieces: Sequence, have: Callable, get: Callable, keep: Callable) -> Iterator[tuple]:
-    """(piece, status) of each: 'cached' if have(piece), else 'fetched' after keep(piece, get(piece)); 'stopped' for the rest once the day's budget is gone, 'failed' where no retry helps."""
+def collect(pieces: Sequence, have: Callable, get: Callable, keep: Callable, rebuild: Callable = lambda p: False) -> Iterator[tuple]:
+    """(piece, status) of each: 'cached' if have(piece), 'rebuilt' if rebuild(piece) could make it from a raw payload that is kept, else 'fetched' after keep(piece, get(piece)); 'stopped' for the rest once the day's budget is gone, 'failed' where no retry helps."""
     stopped = False
     for p in pieces:
         if have(p):
             yield p, "cached"
+        elif rebuild(p):
+            yield p, "rebuilt"
         elif stopped:
             yield p, "stopped"
         else:
