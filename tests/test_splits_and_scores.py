@@ -150,3 +150,29 @@ def test_skewness_is_bias_adjusted(spark):
     df = spark.createDataFrame([(v,) for v in x.tolist()], "x double")
     got = stats.outliers(df, ["x"]).first()
     assert got.skewness == pytest.approx(want) and got.median == 2 and got.n_far == 1
+
+
+def test_elevation_verdicts(spark):
+    def verdict(*rows):
+        return stats.elevation_verdict(spark.createDataFrame([(float(d), float(x), float(r)) for d, x, r in rows], "mean_abs_d double, level_differs double, rise double")).first().verdict
+
+    assert [verdict(), verdict((9, 1, 0)), verdict((0.6, 0, 5)), verdict((0.1, 0.03, 5)), verdict((0.3, 0, 5)), verdict((0.1, 0.01, 5)), verdict((0.1, 0, 5), (0.1, 0, 0))] == [
+        "no shared cell", "no rise", "material", "material", "modest", "modest", "negligible"]
+
+
+def test_groups_of_long_paths(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(1, 60)] + [(100, 101)], "a long, b long")
+    nodes = spark.createDataFrame([(k,) for k in [*range(1, 61), 100, 101, 200]], "node long")
+    got = {r.node: r.root for r in stats.groups(edges, nodes).collect()}
+    assert got == {k: 1 for k in range(1, 61)} | {100: 100, 101: 100, 200: 200}
+
+
+def test_grid_search_runs_nothing_twice():
+    ran = []
+
+    def run(own):
+        ran.append(own)
+        return {"macro_f1": own["c"] + own.get("power", 0.0)}
+
+    best = prepare.search(run, prepare.grid(fs=["a", "b"], c=[0.1, 1.0]), lambda g: [{"fs": g["fs"], "c": g["c"]}, *prepare.grid(fs=[g["fs"]], c=[0.1, 1.0], power=[0.5])])
+    assert len(ran) == 6 and best[0] == {"fs": "a", "c": 1.0, "power": 0.5, "macro_f1": 1.5}

@@ -377,14 +377,34 @@ def participation_ratio(spark, sf):
     return r6(stats.effective_series(corr, own.select("city").distinct().count()), "effective_series", "mean_corr", "min_corr")
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT least(o_custkey, (o_custkey * 7 + 3) % 97) % 97 AS a, greatest(o_custkey % 97, (o_custkey * 7 + 3) % 97) AS b FROM orders WHERE o_custkey % 97 < 40), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT a AS node FROM u UNION SELECT b FROM u), r(node, x) AS (SELECT node, node FROM n UNION SELECT u.b, r.x FROM r JOIN u ON u.a = r.node) SELECT node, min(x) AS root FROM r GROUP BY node")
+@query("WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 500 AS a, (o_custkey % 500 + 10) % 500 AS b FROM orders), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT a AS node FROM u UNION SELECT b FROM u), r(node, x) AS (SELECT node, node FROM n UNION SELECT u.b, r.x FROM r JOIN u ON u.a = r.node) SELECT node, min(x) AS root FROM r GROUP BY node")
 def components(spark, sf):
-    o = P.table(spark, sf, "orders").where("o_custkey % 97 < 40")
-    edges = o.select(F.expr("least(o_custkey, (o_custkey * 7 + 3) % 97) % 97 AS a"), F.expr("greatest(o_custkey % 97, (o_custkey * 7 + 3) % 97) AS b")).distinct()
+    """Customers of all orders in chains of every tenth."""
+    k = F.col("o_custkey") % 500
+    edges = P.table(spark, sf, "orders").select(k.alias("a"), ((k + 10) % 500).alias("b")).distinct()
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     return stats.groups(edges, nodes)
 
 
+SPECTRUM = "an AS (SELECT city, day, hi - avg(hi) OVER (PARTITION BY city, month(day)) AS x FROM se), co AS (SELECT corr(a.x, b.x) AS r FROM an a JOIN an b ON a.day = b.day AND a.city < b.city GROUP BY a.city, b.city), pq AS (SELECT sqrt(sum(r * r) / 3.0::DOUBLE) AS p, product(r) AS q FROM co), ev AS (SELECT 1 + 2 * p * cos((acos(greatest(-1.0, least(1.0, q / (p * p * p)))) - 2 * pi() * k.range) / 3) AS l FROM pq, range(3) k), sh AS (SELECT l / sum(l) OVER () AS s, sum(l) OVER (ORDER BY l DESC) / sum(l) OVER () AS c FROM ev)"
+
+
+@query(f"{SER}, {SPECTRUM} SELECT {q6('max(s)', 'first_share')}, (count(*) FILTER (c < 0.95) + 1)::BIGINT AS n_for_95 FROM sh")
+def spectrum(spark, sf):
+    """First component of the three entities' correlations, and how many explain 95 %; in SQL by the formula for three."""
+    anom = P.series(spark, sf).withColumn("x", F.col("hi") - F.avg("hi").over(W.partitionBy("city", F.month("day"))))
+    a, b = (anom.select("day", F.col("city").alias(f"city_{k}"), F.col("x").alias(f"x{k}")) for k in "ab")
+    share, n = stats.spectrum(a.join(b, "day").where("city_a < city_b").groupBy("city_a", "city_b").agg(F.corr("xa", "xb").alias("corr")))
+    return r6(spark.createDataFrame([(share, n)], "first_share double, n_for_95 long"), "first_share")
+
+
+@query(f"{SER}, pr AS (SELECT avg(abs(b.hi - a.hi)) AS d, avg((a.level <> b.level)::INT) AS l FROM se a JOIN se b ON a.day = b.day AND a.city < b.city GROUP BY a.city, b.city), v AS (SELECT avg(d) AS d, avg(l) AS l FROM pr) SELECT CASE WHEN d >= 0.5 OR l >= 0.02 THEN 'material' WHEN d >= 0.2 OR l >= 0.005 THEN 'modest' ELSE 'negligible' END AS verdict, {q6('d', 'mean_abs_d')}, {q6('l', 'level_differs')} FROM v")
+def elevation_verdict(spark, sf):
+    """All entities as one cell, each a step higher than the last."""
+    pairs = stats.pairs(P.series(spark, sf), "hi", "level").withColumn("rise", F.ascii("city_b") - F.ascii("city_a"))
+    return r6(stats.elevation_verdict(pairs), "mean_abs_d", "level_differs")
+
+
 # ---- leakage
 
 CELL = "CASE WHEN city IN ('A', 'N') THEN 'left' ELSE 'right' END"
@@ -557,11 +577,11 @@ def correlation_pairs(spark, sf):
 ANOM = "ds AS (SELECT day, avg(hi) AS v FROM se GROUP BY day), an AS (SELECT day, v, v - avg(v) OVER (PARTITION BY month(day)) AS x FROM ds), lg AS (SELECT a.day, a.x, a.v, b.x AS x1, b.v AS v1, c.x AS x2 FROM an a LEFT JOIN an b ON b.day = a.day - 1 LEFT JOIN an c ON c.day = a.day - 2)"
 
 
-def mean_series(spark: SparkSession, sf: str) -> DataFrame:
+def mean_series(spark: SparkSession, sf: str, lags: int = 3) -> DataFrame:
     """The entities' mean by day with its anomaly, and both some days before."""
     own = stats.anomalies(P.series(spark, sf).groupBy("day").agg(F.avg("hi").alias("v")), "v")
     out = own
-    for k in (1, 2, 3):
+    for k in range(1, lags + 1):
         out = out.join(own.select(F.date_add("day", k).alias("day"), F.col("anom").alias(f"x{k}"), F.col("v").alias(f"v{k}")), "day", "left")
     return out
 
@@ -571,19 +591,53 @@ def autocorrelation(spark, sf):
     return r6(mean_series(spark, sf).agg(F.corr("v", "v1").alias("raw"), F.corr("anom", "x1").alias("adjusted")), "raw", "adjusted")
 
 
-@query(f"{SER}, {ANOM}, r AS (SELECT corr(x, x1) AS a, corr(x, x2) AS b, corr(x1, x2) AS c FROM lg WHERE x1 IS NOT NULL AND x2 IS NOT NULL) SELECT {q6('(b - a * c) / sqrt((1 - a * a) * (1 - c * c))', 'r')} FROM r")
+def sql_partial(x: str, y: str, controls: list[str], rows: str) -> str:
+    """SQL for r (partial correlation), b (the coefficient of y in x on y and the controls) and n, controls taken out one at a time."""
+    v = [x, y, *controls]
+    k = len(v)
+    cells = [f"corr({v[i]}, {v[j]}) AS r{i}_{j}" for i in range(k) for j in range(i + 1, k)] + [f"stddev_pop({v[i]}) AS s{i}" for i in range(2)] + ["count(*)::BIGINT AS n"]
+    out = f"SELECT {', '.join(cells)} FROM {rows} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in v)}"
+    for z in range(k - 1, 1, -1):
+        cells = [f"(r{i}_{j} - r{i}_{z} * r{j}_{z}) / sqrt((1 - r{i}_{z} * r{i}_{z}) * (1 - r{j}_{z} * r{j}_{z})) AS r{i}_{j}" for i in range(z) for j in range(i + 1, z)]
+        out = f"SELECT {', '.join(cells + [f's{i} * sqrt(1 - r{i}_{z} * r{i}_{z}) AS s{i}' for i in range(2)])}, n FROM ({out})"
+    return f"SELECT r0_1 AS r, r0_1 * s0 / s1 AS b, n FROM ({out})"
+
+
+LAGGED = "lg AS (SELECT a.day, a.x, a.v, b1.v AS v1, " + ", ".join(f"b{k}.x AS x{k}" for k in range(1, 8)) + " FROM an a " + " ".join(f"LEFT JOIN an b{k} ON b{k}.day = a.day - {k}" for k in range(1, 8)) + ")"
+ANOM7 = ANOM[: ANOM.index(", lg AS")] + f", {LAGGED}"
+
+
+@query(f"{SER}, {ANOM7} SELECT {q6('r', 'r')} FROM ({sql_partial('x', 'x4', ['x1', 'x2', 'x3'], 'lg')})")
 def partial_correlation(spark, sf):
-    rows = mean_series(spark, sf)
-    return r6(spark.createDataFrame([(stats.partial_correlation(rows.where("x1 is not null and x2 is not null"), "anom", "x2", ["x1"]),)], "r double"), "r")
+    """Of a day and the fourth before it, the three between held."""
+    return r6(spark.createDataFrame([(stats.partial_correlation(mean_series(spark, sf, 4), "anom", "x4", ["x1", "x2", "x3"]),)], "r double"), "r")
 
 
-@query(f"{SER}, {ANOM}, one AS (SELECT regr_slope(x, x1) AS b FROM lg WHERE x1 IS NOT NULL), r AS (SELECT corr(x, x1) AS a, corr(x, x2) AS b, corr(x1, x2) AS c, stddev_pop(x) AS sx, stddev_pop(x2) AS s2 FROM lg WHERE x1 IS NOT NULL AND x2 IS NOT NULL) SELECT 1::BIGINT AS lag, {q6('b', 'pacf')} FROM one UNION ALL SELECT 2, {q6('(b - a * c) / (1 - c * c) * sx / s2', 'pacf')} FROM r")
+@query(f"{SER}, {ANOM7} " + " UNION ALL ".join(f"SELECT {p}::BIGINT AS lag, {q6('b', 'pacf')} FROM ({sql_partial('x', f'x{p}', [f'x{k}' for k in range(1, p)], 'lg')})" for p in range(1, 8)))
 def pacf(spark, sf):
-    got = stats.pacf(mean_series(spark, sf), "anom", ["x1", "x2"])
+    got = stats.pacf(mean_series(spark, sf, 7), "anom", [f"x{k}" for k in range(1, 8)])
     return r6(spark.createDataFrame([(k + 1, v) for k, v in enumerate(got)], "lag long, pacf double"), "pacf")
 
 
-@query()
+def sql_screening() -> str:
+    at = lambda c, k: f"max({c}) OVER (PARTITION BY city ORDER BY day RANGE BETWEEN INTERVAL {k} DAY PRECEDING AND INTERVAL {k} DAY PRECEDING)"
+    names, cells = calendar.lag_names(["hi", "price"], deltas=["price"]), []
+    for name in names:
+        c, how = name.rsplit("_", 1)
+        if how.startswith("lag"):
+            cells.append(f"{at(c, how[3:])} AS {name}")
+        elif how.startswith("mean"):
+            n = int(how[4:-1])
+            three = [c, *(at(c, k) for k in range(1, n))]
+            cells.append(f"({' + '.join(three)}) / {n}.0::DOUBLE AS {name}")
+        else:
+            cells.append(f"{c} - {at(c, 1)} AS {name}")
+    rows = f"{SER}, ft AS (SELECT *, sin(2 * pi() * dayofyear(day) / 365.25) AS s, cos(2 * pi() * dayofyear(day) / 365.25) AS c, {', '.join(cells)} FROM se)"
+    each = [f"SELECT '{f}' AS feature, n, (SELECT {q6(f'corr({f}, hi_next)', 'corr')} FROM ft WHERE hi IS NOT NULL AND {f} IS NOT NULL) AS corr, {q6('r', 'partial')}, abs(r) >= 0.05 AS useful FROM ({sql_partial(f, 'hi_next', ['hi', 's', 'c'], 'ft')})" for f in names]
+    return f"{rows} " + " UNION ALL ".join(each)
+
+
+@query(sql_screening())
 def lag_screening(spark, sf):
     """Lag features by their partial correlation with the next day, today and season held."""
     own = calendar.with_lags(P.series(spark, sf), ["hi", "price"], deltas=["price"])
@@ -695,6 +749,27 @@ def scaled_features(spark, sf):
     return r6(prep.transform(own.where("split = 'test'")).select("city", "day", "z_price", "z_n"), "z_price", "z_n")
 
 
+@query(f"{ORD} SELECT max(abs(total - n)) AS max_gap, count(*) FILTER (abs(total - n) > 100)::BIGINT AS n_over FROM od".replace("max(abs(total - n))", "round(max(abs(total - n)), 6)"))
+def column_gap(spark, sf):
+    """The check of precipitation against rain, on two columns of orders."""
+    return r6(rules.gap(P.orders(spark, sf), "total", "n", 100), "max_gap")
+
+
+@query(f"{ORD} SELECT city, count(*)::BIGINT AS n FROM od a WHERE NOT EXISTS (SELECT 1 FROM od b WHERE b.city = a.city AND b.day = a.day + 1) GROUP BY city")
+def without_following(spark, sf):
+    return calendar.without_following(P.orders(spark, sf))
+
+
+@query("SELECT count(*) FILTER (o_orderdate < before)::BIGINT AS n_unsorted FROM (SELECT o_orderdate, lag(o_orderdate) OVER () AS before FROM orders)")
+def unsorted_rows(spark, sf):
+    return rules.unsorted(P.table(spark, sf, "orders"), ["o_orderdate"])
+
+
+@query(f"{ORD} SELECT city, {q6('median(n)', 'median')}, count(DISTINCT n)::BIGINT AS n_values, arg_min(n, day)::BIGINT AS first FROM od GROUP BY city")
+def constant_per_city(spark, sf):
+    return r6(calendar.constant_of(P.orders(spark, sf), "n"), "median")
+
+
 @query(f"{SER} SELECT city, day, {q6('sin(2 * pi() * dayofyear(day) / 365.25)', 'season_sin')}, {q6('cos(2 * pi() * dayofyear(day) / 365.25)', 'season_cos')}, month(day)::INT AS month, dayofyear(day)::INT AS doy FROM se")
 def cyclic_season(spark, sf):
     s, c = S.season(F.col("day"))
@@ -716,11 +791,11 @@ def target_encode(spark, sf):
 
 @query()
 def model_cross_validation(spark, sf):
-    """Multinomial logistic regression over expanding folds (2 of 5 here, lags and season as inputs)."""
+    """Multinomial logistic regression over five expanding folds, lags and season as inputs."""
     own = calendar.with_lags(P.series(spark, sf), ["hi"], means=())
     s, c = S.season(F.col("day"))
     rows = own.withColumn("s", s).withColumn("c", c).where("level_next is not null").withColumn("y", S.level_code(F.col("level_next")))
-    folds = splits.expanding(rows, splits=2)
+    folds = splits.expanding(rows)
     out = prepare.cross_validate(rows, folds, lambda: prepare.Preparer(["hi", "hi_lag1", "hi_lag2", "hi_lag3", "s", "c"], entity="city"), "y", c=0.1, power=0.25)
     return out.select("fold", "macro_f1", "accuracy", "focus_recall", "kappa")
 
