@@ -7,7 +7,7 @@ Equal sets are one from the start. For the others shingles have an order, those
 sample is drawn alters the work, never the result. Two sets of n shingles or less that are near share one of the first
 n - ceil(0.8 n) + 1 of each, so all near copies meet at a shingle of both their prefixes. The texts at a shingle are a list, cut
 where sizes are too far apart and where parity bitmaps of the sets (`WORDS` longs) differ in more bits than near sets differ in
-shingles; equal lists are one, and so are all lists that members in common lead to, up to `WHOLE` members. All pairs of a list are compared exactly in its task, but for those that earlier
+shingles; equal lists are one, and so are all lists that members in common lead to, up to `WHOLE` members and `WHOLE_SHINGLES` shingles. All pairs of a list are compared exactly in its task, but for those that earlier
 pairs of it have linked; a list returns stars and not pairs, so a group of n copies costs n rows a list.
 
 A list is read by one task; its pairs that are not near take time with the square of the list's length.
@@ -29,12 +29,12 @@ from xxhash import xxh3_64_intdigest
 
 from tidewheel.llm.common import counted_side, map_arrow, partitions, ranges, sliced
 from tidewheel.llm.simhash import components, digests, near_duplicates, whole_buckets, without
-from tidewheel.plans.scratch import materialize
+from tidewheel.plans.scratch import materialize, release
 
 WIDE, SIMILARITY = 5, 0.8
 WORDS = 32  # of a bitmap
-WHOLE = 4096
-SAMPLE, COMMON = 20_000, 65_536  # texts that tell which shingles are common, and how many of those are sent to the executors
+WHOLE, WHOLE_SHINGLES = 8192, 8_000_000
+SAMPLE, COMMON = 20_000, 500_000  # texts that tell which shingles are common, and how many of those are sent to the executors
 
 
 def shingles(text: bytes, k: int = WIDE) -> np.ndarray:
@@ -57,8 +57,8 @@ def common(docs: DataFrame, texts: int = SAMPLE, most: int = COMMON) -> tuple[np
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t) for t in texts]).view(np.int64))], names=["h"])
 
     drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate * 1_000_000)
-    found = map_arrow(drawn.select("text"), run, "h long").groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(most).toPandas()
-    keys = found["h"].to_numpy(dtype=np.int64).view(np.uint64)
+    found = map_arrow(drawn.select("text"), run, "h long").groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(most).toArrow()
+    keys = found.column("h").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
     return keys[order], (len(keys) - np.arange(len(keys)))[order]
 
@@ -123,9 +123,16 @@ def stars(sets: list[np.ndarray], least: float = SIMILARITY) -> np.ndarray:
     if m == 2:
         return np.array([0, int(similarity(*sets) < least)])
     n = np.array([len(s) for s in sets])
-    kinds, local = np.unique(np.concatenate(sets), return_inverse=True)
-    count = np.bincount(local, minlength=len(kinds))
-    rows, ends = np.repeat(np.arange(m), n)[np.argsort(local, kind="stable")], np.cumsum(count)
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    number = np.cumsum(np.concatenate([[False], flat[1:] != flat[:-1]]), dtype=np.int32)
+    del flat
+    local = np.empty(len(order), dtype=np.int32)
+    local[order] = number
+    count = np.bincount(number)
+    rows, ends = np.repeat(np.arange(m, dtype=np.int32), n)[order], np.cumsum(count)
+    del order, number
     at = np.cumsum(n) - n
 
     def near(i: int, later: np.ndarray) -> np.ndarray:
@@ -168,7 +175,7 @@ def near_edges(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     # equal sets meet here: each names the smallest id that has it
     least_id = materialize(own.groupBy("own").agg(F.min("doc_id").alias("id")), "sets")
     named = own.select("doc_id", "own").join(least_id, "own")
-    equal = named.where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    equal = materialize(named.where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")), "equal")
     each = own.join(least_id.select("own", F.col("id").alias("doc_id")), ["own", "doc_id"]).dropDuplicates(["own"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,8 +201,10 @@ def near_edges(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     parts = materialize(map_arrow(drawn.select("list", "own", "id", "n", "bits"), part, "list long, own long, id long").distinct(), "lists")
     # a set in many lists would be sent to each
     root = materialize(components(parts.join(parts.groupBy("list").agg(F.min("own").alias("a")), "list").select("a", F.col("own").alias("b"))), "whole")
-    whole = root.join(root.groupBy("root").count().where(F.col("count") <= WHOLE), "root").select(F.col("node").alias("own"), "root")
+    sized = root.join(each.select("own", "n"), root["node"] == each["own"]).groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    whole = root.join(sized.where((F.col("m") <= WHOLE) & (F.col("n") <= WHOLE_SHINGLES)), "root").select(F.col("node").alias("own"), "root")
     members = materialize(parts.join(whole, "own", "left").select(F.coalesce("root", "list").alias("list"), "own", "id").distinct(), "members")
+    release(own, least_id, parts, root)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in sliced(batches, "text", 1 << 20):
