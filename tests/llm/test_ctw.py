@@ -132,5 +132,6 @@ def test_odd_rows(spark):
 
 
 def test_held_out_texts_beat_unigrams(spark, sf):
-    rows = [r for r in queries.op6_lm_scoring(spark, sf.replace("0.001", "0.01")).collect() if r.held_out]
-    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+    """On 10,000 documents. On 1,000 the tree has seen too little and is level with them (-234,584 to -234,375)."""
+    rows = [r for r in queries.op6_lm_scoring(spark, sf.replace("0.001", "0.1")).collect() if r.held_out]
+    assert sum(r.score for r in rows) > 0.95 * sum(r.base_score for r in rows)
