@@ -142,3 +142,18 @@ def test_bitmaps_part_no_near_sets():
             assert near_copies.possible(np.array([len(a), len(b)]), bits).tolist() == [0, 0]
     far = [np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64)) for _ in range(2)]
     assert near_copies.possible(np.array([300, 300]), np.stack([near_copies.bitmap(x) for x in far])).tolist() == [0, 1]
+
+
+def test_bitmaps_of_long_sets():
+    rng = np.random.default_rng(4)
+    new = lambda size: np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+    long = new(20_000)
+    # unlike ones that share a passage, a near one, and near pairs on both sides of a size at which bitmaps double
+    a, b = new(1020), new(16_300)
+    sets = [long, np.append(long[:500], new(19_500)), new(5000), new(40), np.append(long[1500:], new(1500)), a, np.append(a, new(100)), b, np.append(b, new(2000)), new(5100)]
+    bits = [near_copies.bitmap(x) for x in sets]
+    assert len(bits[5]) * 2 == len(bits[6]) and len(bits[7]) * 2 == len(bits[8])
+    assert near_copies.possible(np.array([len(x) for x in sets]), bits).tolist() == [0, 1, 2, 3, 0, 5, 5, 7, 7, 9]
+    for size in (1023, 1024, 1025, 3000):
+        x = new(size)
+        assert (near_copies.folded(near_copies.bitmap(x, 256), len(near_copies.bitmap(x))) == near_copies.bitmap(x)).all()

@@ -6,9 +6,10 @@ components of near copies.
 Equal sets are one from the start. For the others shingles have an order, those that are common in a sample of texts last; which
 sample is drawn alters the work, never the result. Two sets of n shingles or less that are near share one of the first
 n - ceil(0.8 n) + 1 of each, so all near copies meet at a shingle of both their prefixes. The texts at a shingle are a list, cut
-where sizes are too far apart and where parity bitmaps of the sets (`WORDS` longs) differ in more bits than near sets differ in
-shingles; equal lists are one, and so are all lists that members in common lead to, up to `WHOLE` members and `WHOLE_SHINGLES` shingles. All pairs of a list are compared exactly in its task, but for those that earlier
-pairs of it have linked; a list returns stars and not pairs, so a group of n copies costs n rows a list.
+where sizes are too far apart and where parity bitmaps of the sets (twice as many bits as shingles, `WORDS` longs at least) differ in
+more bits than near sets differ in shingles; equal lists are one, and so are all lists that members in common lead to, up to `WHOLE`
+members and `WHOLE_SHINGLES` shingles. All pairs of a list are compared exactly in its task, but for those that earlier pairs of it
+have linked; a list returns stars and not pairs, so a group of n copies costs n rows a list.
 
 A list is read by one task; its pairs that are not near take time with the square of the list's length.
 
@@ -32,7 +33,7 @@ from tidewheel.llm.simhash import components, digests, near_duplicates, whole_bu
 from tidewheel.plans.scratch import materialize, release
 
 WIDE, SIMILARITY = 5, 0.8
-WORDS = 32  # of a bitmap
+WORDS = 32  # of a bitmap, at least
 WHOLE, WHOLE_SHINGLES = 8192, 8_000_000
 SAMPLE, COMMON = 20_000, 500_000  # texts that tell which shingles are common, and how many of those are sent to the executors
 
@@ -81,10 +82,17 @@ def mixed(own: np.ndarray) -> np.ndarray:
 
 
 def bitmap(own: np.ndarray, words: int = WORDS) -> np.ndarray:
-    """For each bit whether an odd number of the set's shingles fall on it. Bitmaps of two sets differ in no more bits than the sets in shingles."""
+    """For each bit whether an odd number of the set's shingles fall on it: two bits a shingle or more, a power of two of `words` or more. Bitmaps of two sets differ in no more bits than the sets in shingles."""
+    while 32 * words < len(own):
+        words *= 2
     return np.packbits(np.bincount((own >> np.uint64(7)).astype(np.int64) % (64 * words), minlength=64 * words) & 1).view(np.uint64)
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap of fewer words that a longer one's set has."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, words), axis=0)
+
+
 def lists(bucket: np.ndarray, n: np.ndarray, own: np.ndarray, least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
     """Rows in lists of two or more, and each one's list by a hash of its members: rows of one bucket whose sizes n lead from one to the next within `least`. own: the set's number. Of equal lists the first is returned."""
     order = np.lexsort((own, n, bucket))
@@ -112,9 +120,28 @@ def grouped(m: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray
     return root
 
 
-def possible(n: np.ndarray, bits: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
-    """Components of the sets of n shingles that their bitmaps (a row each) do not show to be too far apart."""
-    return grouped(len(n), lambda i, j: np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64) <= (n[j] + n[i]) * (1 - least) / (1 + least) + 1e-6)
+def possible(n: np.ndarray, bits: list[np.ndarray], least: float = SIMILARITY) -> np.ndarray:
+    """Components of the sets of n shingles that sizes and bitmaps do not show to be too far apart. Of two bitmaps the longer one is folded."""
+    order = np.argsort(n, kind="stable")
+    n, words = n[order], np.array([len(bits[i]) for i in order])
+    levels = {}
+    for w in np.unique(words):
+        # what the sets with bitmaps of w words can be near to, of those after them
+        first, end = np.searchsorted(words, w), np.searchsorted(n, n[np.searchsorted(words, w, "right") - 1] / least + 1e-5, "right")
+        levels[w] = first, np.stack([folded(bits[i], w) for i in order[first:end]])
+
+    def near(i: int, j: np.ndarray) -> np.ndarray:
+        first, own = levels[words[i]]
+        out = n[j] * least <= n[i] + 1e-6
+        j = j[out]
+        out[out] = np.bitwise_count(own[j - first] ^ own[i - first]).sum(axis=1, dtype=np.int64) <= (n[j] + n[i]) * (1 - least) / (1 + least) + 1e-6
+        return out
+
+    root = np.empty_like(order)
+    root[order] = grouped(len(n), near)
+    least_row = np.full(len(n), len(n))
+    np.minimum.at(least_row, root, np.arange(len(n)))
+    return least_row[root]
 
 
 def stars(sets: list[np.ndarray], least: float = SIMILARITY) -> np.ndarray:
@@ -189,7 +216,7 @@ def near_edges(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_lists(batches, "own", "id", "n", "bits"):
             own, doc, n = (np.array(x, dtype=np.int64) for x in list(zip(*rows, strict=True))[:3])
-            root = possible(n, np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint64).reshape(len(rows), -1), least)
+            root = possible(n, [np.frombuffer(r[3], dtype=np.uint64) for r in rows], least)
             size = np.bincount(root, minlength=len(root))
             key = np.zeros(len(root), dtype=np.uint64)
             np.add.at(key, root, mixed(own))
