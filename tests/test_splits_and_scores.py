@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -176,3 +177,18 @@ def test_grid_search_runs_nothing_twice():
 
     best = prepare.search(run, prepare.grid(fs=["a", "b"], c=[0.1, 1.0]), lambda g: [{"fs": g["fs"], "c": g["c"]}, *prepare.grid(fs=[g["fs"]], c=[0.1, 1.0], power=[0.5])])
     assert len(ran) == 6 and best[0] == {"fs": "a", "c": 1.0, "power": 0.5, "macro_f1": 1.5}
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_quantiles_are_those_of_percentile(spark, parts):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, -1.0, 0.0, rng.random()]), rng.randrange(5), None, rng.gauss(0, 1) if i % 3 else 2.5) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a double, `b c` int, d double, v double").repartition(parts)
+    at = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
+    shares = ", ".join(map(str, at))
+    want = df.agg(*(F.expr(f"percentile(`{c}`, array({shares}))").alias(c) for c in df.columns)).first()
+    got = stats.quantiles(df, df.columns, at)
+    for c in df.columns:
+        assert got[c] == ([None] * len(at) if want[c] is None else pytest.approx(want[c], abs=1e-12)), c
+    assert stats.quantiles(df.limit(0), ["a"], [0.5]) == {"a": [None]} and stats.quantiles(df, [], [0.5]) == {}
+    assert stats.outliers(df.limit(0), ["a"]).first()["median"] is None

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.functions import scalars as S
-from tidewheel.operators import evaluate
+from tidewheel.operators import evaluate, stats
 from tidewheel.operators.rules import guard_features
 from tidewheel.operators.splits import Fold
 
@@ -45,8 +45,7 @@ class Preparer:
 
     def fit(self, train: DataFrame) -> Preparer:
         guard_features([*self.numeric])
-        row = train.agg(*(F.expr(f"percentile(`{c}`, 0.5)").alias(c) for c in self.numeric)).first()
-        self.medians = {c: float(row[c] or 0.0) for c in self.numeric}
+        self.medians = {c: float(own[0] or 0.0) for c, own in stats.quantiles(train, self.numeric, [0.5]).items()}
         cells = [x for c in self.numeric for x in (F.avg(self._filled(c)).alias(f"m_{c}"), F.stddev_pop(self._filled(c)).alias(f"s_{c}"))]
         row = train.agg(*cells).first()
         self.scales = {c: (float(row[f"m_{c}"] or 0.0), float(row[f"s_{c}"] or 0.0) or 1.0) for c in self.numeric}

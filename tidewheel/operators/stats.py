@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewheel.plans.scratch import materialize
+from tidewheel.plans.scratch import materialize, release
 
 
 def skewness(x: str) -> Column:
@@ -18,25 +19,74 @@ def skewness(x: str) -> Column:
     return F.when(n > 2, F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
+def quantiles(panel: DataFrame, columns: Sequence[str], at: Sequence[float]) -> dict[str, list[float | None]]:
+    """For each column its exact quantiles at the shares `at`, interpolated as `percentile` does; None where a column has no value.
+
+    Equal values are counted where they lie, and the distinct ones dealt by range. Counts by part tell which parts hold the wanted places, and only those are put in order, so that no buffer holds all the values of a column; the driver sees a row a part and a column."""
+    cells = [F.struct(F.lit(i).alias("c"), F.col(f"`{c}`").cast("double").alias("v")) for i, c in enumerate(columns)]
+    if not cells:
+        return {}
+    counted = panel.select(F.inline(F.array(*cells))).where("v is not null").groupBy("c", "v").agg(F.count("*").alias("n"))
+    dealt = materialize(counted.repartitionByRange("c", "v").withColumn("part", F.spark_partition_id()), "quantiles")
+    parts: dict[int, list[tuple[int, int]]] = {}
+    for r in dealt.groupBy("c", "part").agg(F.sum("n").alias("n")).orderBy("c", "part").collect():
+        parts.setdefault(r["c"], []).append((r["part"], r["n"]))
+
+    def place(c: int, k: int) -> tuple[int, int, int]:
+        """Column, part and place within the part of a column's k-th value."""
+        for part, n in parts[c]:
+            if k < n:
+                return c, part, k
+            k -= n
+        raise IndexError(k)
+
+    ends = {(c, p): (x := p * (sum(n for _, n in own) - 1), place(c, math.floor(x)), place(c, math.ceil(x))) for c, own in parts.items() for p in at}
+    wanted = sorted({w for _, *both in ends.values() for w in both})
+    found: dict[tuple[int, int, int], float] = {}
+    if wanted:
+        places = F.broadcast(panel.sparkSession.createDataFrame(wanted, "c int, part int, k long"))  # two a column and share
+        run = F.sum("n").over(W.partitionBy("c", "part").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+        own = dealt.join(F.broadcast(places.select("c", "part").distinct()), ["c", "part"]).withColumn("upto", run)
+        hits = own.join(places, ["c", "part"]).where("k < upto and k >= upto - n")
+        found = {(r["c"], r["part"], r["k"]): r["v"] for r in hits.select("c", "part", "k", "v").collect()}
+    release(dealt)
+
+    def value(c: int, p: float) -> float | None:
+        if c not in parts:
+            return None
+        x, lo, hi = ends[c, p]
+        return found[lo] if lo == hi or found[lo] == found[hi] else (math.ceil(x) - x) * found[lo] + (x - math.floor(x)) * found[hi]
+
+    return {name: [value(i, p) for p in at] for i, name in enumerate(columns)}
+
+
+def known(x: float | None) -> Column:
+    return F.lit(x).cast("double")
+
+
 def outliers(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
     """column, min, median, p99, max, skewness and rows beyond three interquartile ranges."""
-    q = panel.agg(*(F.expr(f"percentile({c}, array(0.25, 0.75))").alias(c) for c in columns))
-    fences = q.select(*(F.struct((4 * F.col(c)[0] - 3 * F.col(c)[1]).alias("lo"), (4 * F.col(c)[1] - 3 * F.col(c)[0]).alias("hi")).alias(f"_{c}") for c in columns))
-    own = panel.crossJoin(F.broadcast(fences))  # one row
+    q = quantiles(panel, columns, (0.25, 0.5, 0.75, 0.99))
+
+    def far(c: str) -> Column:
+        q1, _, q3, _ = (known(x) for x in q[c])
+        return (F.col(c) < 4 * q1 - 3 * q3) | (F.col(c) > 4 * q3 - 3 * q1)
+
     parts = [
         F.struct(
-            F.lit(c).alias("column"), F.min(c).alias("min"), F.expr(f"percentile({c}, 0.5)").alias("median"), F.expr(f"percentile({c}, 0.99)").alias("p99"), F.max(c).alias("max"),
-            skewness(c).alias("skewness"), F.sum(F.when((F.col(c) < F.col(f"_{c}.lo")) | (F.col(c) > F.col(f"_{c}.hi")), 1).otherwise(0)).alias("n_far"),
+            F.lit(c).alias("column"), F.min(c).alias("min"), known(q[c][1]).alias("median"), known(q[c][3]).alias("p99"), F.max(c).alias("max"),
+            skewness(c).alias("skewness"), F.sum(F.when(far(c), 1).otherwise(0)).alias("n_far"),
         )
         for c in columns
     ]
-    return own.agg(*(p.alias(f"c{i}") for i, p in enumerate(parts))).select(F.inline(F.array(*(F.col(f"c{i}") for i in range(len(parts))))))
+    return panel.agg(*(p.alias(f"c{i}") for i, p in enumerate(parts))).select(F.inline(F.array(*(F.col(f"c{i}") for i in range(len(parts))))))
 
 
 def describe(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
     """column, count, mean, sd, min, quartiles and max, exact."""
+    q = quantiles(panel, columns, (0.25, 0.5, 0.75))
     parts = [
-        F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).alias("min"), *(F.expr(f"percentile({c}, {q})").alias(n) for q, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))), F.max(c).alias("max"))
+        F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).alias("min"), *(known(x).alias(n) for x, n in zip(q[c], ("q1", "median", "q3"), strict=True)), F.max(c).alias("max"))
         for c in columns
     ]
     return panel.agg(*(p.alias(f"c{i}") for i, p in enumerate(parts))).select(F.inline(F.array(*(F.col(f"c{i}") for i in range(len(parts))))))
@@ -156,12 +206,12 @@ def effective_series(pair_corr: DataFrame, names: int) -> DataFrame:
 
 def spectrum(pair_corr: DataFrame) -> tuple[float, int]:
     """Share of the first component, and how many explain 95 %; the matrix is as large as the list of entities."""
-    rows = pair_corr.select("city_a", "city_b", "corr").collect()
-    names = sorted({r["city_a"] for r in rows} | {r["city_b"] for r in rows})
+    rows = pair_corr.select("city_a", "city_b", "corr").toArrow()
+    a, b = (np.asarray(rows[c].to_pylist(), dtype=object) for c in ("city_a", "city_b"))
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     m = np.eye(len(names))
-    for r in rows:
-        i, j = names.index(r["city_a"]), names.index(r["city_b"])
-        m[i, j] = m[j, i] = r["corr"]
+    i, j = at[: len(a)], at[len(a) :]
+    m[i, j] = m[j, i] = rows["corr"].to_numpy()
     lam = np.clip(np.sort(np.linalg.eigvalsh(m))[::-1], 0, None)
     share = lam / lam.sum()
     return float(share[0]), int(np.searchsorted(np.cumsum(share), 0.95) + 1)
