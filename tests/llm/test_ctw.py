@@ -2,6 +2,7 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import ODD, crc, docs
 
@@ -135,3 +136,59 @@ def test_held_out_texts_beat_unigrams(spark, sf):
     """On 10,000 documents. On 1,000 the tree has seen too little and is level with them (-234,584 to -234,375)."""
     rows = [r for r in queries.op6_lm_scoring(spark, sf.replace("0.001", "0.1")).collect() if r.held_out]
     assert sum(r.score for r in rows) > 0.95 * sum(r.base_score for r in rows)
+
+
+def test_hashes_of_words():
+    """Equal for equal words alone, of any length and wherever pieces are cut."""
+    words = [b"", b"a", b"a\0", b"a\0\0", *(b"x" * n for n in range(1, 80)), *(b"y" * n + b"z" for n in range(80)), "über".encode(), "漢字".encode()]
+    of = {w: next(ctw.word_hashes([w + b" "]))[0][0] for w in words}
+    assert len(set(of.values())) == len(words)
+    bodies = [b"", b" ".join(words[1:]), b" ".join(words[:0:-1] * 3), b"a"]
+    streams = [ctw.stream(b) for b in bodies]
+    for step in (1, 50, 1 << 22):
+        hashes, which = (np.concatenate(x) for x in zip(*ctw.word_hashes(streams, step=step), strict=True))
+        for i, b in enumerate(bodies):
+            assert hashes[which == i].tolist() == [of[w] for w in [*(b.split(b" ") if b else []), b""]]
+
+
+def test_entries_keep_large_counts():
+    key, n = np.arange(6, dtype=np.uint64) << np.uint64(40), np.array([0, 1, 255, 256, 510, 100_001])
+    folded = ctw.Pieces(lambda x: ctw.as_entries(*ctw.summed(x)), most=4)
+    for _ in range(3):
+        folded.add(ctw.as_entries(key, n))
+    found, sums = ctw.summed(folded.all())
+    assert np.array_equal(found, key) and np.array_equal(sums, 3 * n)
+
+
+@pytest.fixture
+def block(monkeypatch):
+    """Counts and scores texts as one block, with made-up chances; returns the rows of scores."""
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(ctw, "TaskContext", Task)
+
+    def run(texts):
+        table = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts, "held_out": [i % 7 == 2 for i in range(len(texts))]})
+        rows = []
+        for r in (r for batch in ctw._blocks(iter([table]), 5) for r in batch.to_pylist()):
+            size = len(r.pop("keys") or b"") // 8
+            r["p"] = None if r["kind"] == ctw.DOCS else ctw.planes(np.full(size, -0.25, np.float32)) if r["kind"] == ctw.KEYS else ctw.planes(np.full(size, 2, np.int64))
+            rows.append(r)
+        sent = ctw._batch(ctw.SENT, **{c: [r.get(c) for r in rows] for c in ctw.SENT})
+        return [r for batch in ctw._score(iter([sent]), 5, 1000, 100) for r in batch.to_pylist()]
+
+    return run
+
+
+def test_words_are_hashed_together(block, monkeypatch):
+    """No Python call for a word of 32 bytes or less (one for each distinct word, twice or more, before)."""
+    calls = []
+    monkeypatch.setattr(ctw, "xxh64_intdigest", lambda w: calls.append(w) or 7)
+    texts = ["", "a b " + "c" * 33, " ".join(f"word{i}" for i in range(500))]
+    rows = block(texts)
+    assert set(calls) == {b"c" * 33}
+    assert [r["n_tokens"] for r in rows] == [len(t.split()) + 1 for t in texts]
+    assert [r["score"] for r in rows] == [-0.25 * len(ctw.stream(t.encode())) for t in texts]

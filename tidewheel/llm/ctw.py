@@ -7,8 +7,9 @@ counted the training texts' decisions, and a node's weighted probability is half
 children's. A text is scored by the trained tree: at each decision the depths are mixed by their weights after training.
 
 Distribution: a context and the byte after it are a key of seven bytes. Each task turns its documents into blocks of about `BLOCK`
-bytes and counts a block's distinct keys and words; what stands in every document is one entry a block. Keys, and hashes of words,
-travel packed, some thousands a row, dealt by their hash to parts whose number follows the bytes of the texts, so that none is hot.
+bytes and counts a block's distinct keys and words by sorting arrays, without a Python call a place or word; what stands in every
+document is one entry a block. Keys, and hashes of words, travel packed, some thousands a row, dealt by their hash to parts whose
+number follows the bytes of the texts, so that none is hot.
 Distinct keys are then dealt by their nearest `TOP` bytes: subtrees below these are weighted where their keys are, and only the nodes
 of the levels above come to the driver (they depend on the alphabet: 255 a pair of bytes that occurs at most). Chances go back to the
 parts, from there to the blocks, which score their documents place by place. All counts cover all training texts. Words are told
@@ -22,7 +23,7 @@ has probability one half. Columns other than id and text are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidewheel.llm.common import id_remainder, map_arrow, partitions, ranges, sliced
+from tidewheel.llm.common import id_remainder, map_arrow, partitions, sliced
 from tidewheel.plans.scratch import materialize, release
 
 DEPTH, TOP = 6, 3
@@ -80,9 +81,13 @@ def places(streams: list[bytes], step: int = 1 << 21, most: int = 256) -> Iterat
     def close() -> tuple[np.ndarray, np.ndarray, list[int]]:
         flat, n = b"".join(held) + b"\0" * 8, np.array(sizes)
         windows = np.ndarray(len(flat) - 7, dtype="<u8", buffer=flat, strides=(1,))
+        key, byte = windows << 8 * (8 - DEPTH), windows >> 8 * DEPTH
+        key >>= 8 * (7 - DEPTH)
+        byte &= 255
+        key |= byte
         ends = np.cumsum(n + DEPTH)
-        w = windows[np.repeat(ends - n - DEPTH, n) + ranges(n)]
-        return (w & np.uint64((1 << 8 * DEPTH) - 1)) << 8 | w >> 8 * DEPTH & 255, np.repeat(np.arange(len(n)), n), list(which)
+        own = np.concatenate([key[to - size : to] for to, size in zip((ends - DEPTH).tolist(), sizes, strict=True)])
+        return own, np.repeat(np.arange(len(n), dtype=np.uint64), n), list(which)
 
     total = 0
     for i, s in enumerate(streams):
@@ -287,70 +292,148 @@ def _batch(names: list[str], **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[c], TYPES[c]) if c in cols else pa.nulls(size, TYPES[c]) for c in names], names=names)
 
 
-class Hashes(dict):
-    """Hash of each word by its bytes. Bounded."""
+#: Masks of a number's first 0 to 8 bytes.
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
-    most = 400_000
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > self.most:
-            self.clear()
-        self[word] = out = xxh64_intdigest(word)
-        return out
+def mixed_bits(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits whose every bit depends on all bits (the end of MurmurHash3)."""
+    x = (x ^ x >> 33) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ x >> 33) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ x >> 33
 
-    def of(self, body: bytes) -> np.ndarray:
-        """Of the words of a text, the end last."""
-        words = body.split(b" ") if body else []
-        words.append(b"")
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
+def word_hashes(streams: list[bytes], step: int = 1 << 22, longest: int = 32) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The hash of every word, the ends too, and the number of its stream, some `step` bytes at a time. Words of up to `longest` bytes are mixed eight bytes a time, all together; longer ones have their XXH64."""
+    held: list[bytes] = []
+    which: list[int] = []
+
+    def close() -> tuple[np.ndarray, np.ndarray]:
+        flat = b"".join(held)
+        ends = np.flatnonzero(np.frombuffer(flat, dtype=np.uint8) == 32)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        size = ends - starts
+        windows = np.ndarray(len(flat) + 1, dtype="<u8", buffer=flat + b"\0" * 8, strides=(1,))
+        out = mixed_bits(windows[starts] & FIRST[np.minimum(size, 8)] ^ size.astype(np.uint64) * _MULT)
+        for at in range(8, longest, 8):
+            more = np.flatnonzero(size > at)
+            out[more] = mixed_bits(out[more] ^ windows[starts[more] + at] & FIRST[np.minimum(size[more] - at, 8)])
+        for i in np.flatnonzero(size > longest).tolist():
+            out[i] = xxh64_intdigest(flat[starts[i] : ends[i]])
+        return out, np.array(which)[np.searchsorted(np.cumsum(list(map(len, held))), ends, "right")]
+
+    total = 0
+    for i, s in enumerate(streams):
+        lo = 0
+        while lo < len(s):
+            hi = s.find(b" ", lo + step - 1) + 1 or len(s)  # a stream ends with a space
+            held.append(s[lo:hi])
+            which.append(i)
+            total, lo = total + hi - lo, hi
+            if total >= step:
+                yield close()
+                held, which, total = [], [], 0
+    if held:
+        yield close()
+
+
+def firsts(x: np.ndarray) -> np.ndarray:
+    """Where each distinct number of a sorted array begins."""
+    new = np.empty(len(x), dtype=bool)
+    new[:1] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
+def summed(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of entries (a key, then a byte that counts), and the sums of their counts. Sorts them in place."""
+    entries.sort()
+    key = entries >> 8
+    first = firsts(key)
+    return key[first], np.add.reduceat(entries & 255, first).astype(np.int64) if len(first) else first
 
-class Counts:
-    """Distinct numbers and how often they count, from many pieces."""
+
+def as_entries(key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Keys and counts as entries; a count over 255 takes several."""
+    out = key << 8
+    out |= np.minimum(n, 255).astype(np.uint64)
+    large = np.flatnonzero(n > 255)
+    left = n[large] - 255
+    times = -(-left // 255)
+    more = np.repeat(key[large] << 8 | 255, times)
+    more[np.cumsum(times) - 1] -= (255 * times - left).astype(np.uint64)
+    return np.concatenate([out, more]) if len(more) else out
+
+
+def distinct_of(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers. Sorts x in place."""
+    x.sort()
+    return x[firsts(x)]
+
+
+class Pieces:
+    """One array from many pieces, folded together whenever they have doubled; fold takes an array that it may change."""
+
+    def __init__(self, fold: Callable[[np.ndarray], np.ndarray], most: int = 4 << 20):
+        self.fold, self.most, self.limit, self.size = fold, most, most, 0
+        self.held: list[np.ndarray] = []
+
+    def add(self, x: np.ndarray) -> None:
+        self.held.append(self.fold(x))
+        self.size += len(self.held[-1])
+        if self.size > self.limit:
+            self.all()
+            self.limit = max(self.most, 2 * self.size)
+
+    def all(self) -> np.ndarray:
+        if len(self.held) > 1:
+            self.held = [self.fold(np.concatenate(self.held))]
+            self.size = len(self.held[0])
+        return self.held[0] if self.held else np.zeros(0, dtype=np.uint64)
+
+
+class Words:
+    """Distinct hashes of words and how often they count, from many pieces."""
 
     def __init__(self):
         self.keys: list[np.ndarray] = []
         self.n: list[np.ndarray] = []
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """Numbers in any order; counts: whether each one counts."""
-        order = np.argsort(keys)
-        keys = keys[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        self.put(keys[first], np.add.reduceat(counts[order].astype(np.int64), first))
-
-    def put(self, keys: np.ndarray, n: np.ndarray) -> None:
-        self.keys.append(keys)
-        self.n.append(n)
+    def add(self, hashes: np.ndarray, counts: np.ndarray) -> None:
+        """Hashes in any order; counts: whether each one counts."""
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        first = firsts(hashes)
+        self.keys.append(hashes[first])
+        self.n.append(np.add.reduceat(counts[order].astype(np.int64), first))
         if len(self.keys) > 16:
-            self.keys, self.n = ([x] for x in merged(self.keys, self.n))
+            self.keys, self.n = ([x] for x in self.all())
 
     def all(self) -> tuple[np.ndarray, np.ndarray]:
         return merged(self.keys, self.n)
 
 
-def counted(bodies: list[bytes], held: list[bool], keys: Counts, words: Counts, hashes: Hashes) -> None:
+def counted(bodies: list[bytes], held: list[bool], keys: Pieces, words: Words) -> None:
     """Adds the keys and words of texts; those of held texts count for nothing."""
     train = np.array([not x for x in held], dtype=np.uint64)
-    for key, slot, which in places([stream(b) for b in bodies]):
-        both = key << 1 | train[which][slot]
-        both.sort()
-        key = both >> 1
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        keys.put(key[first], np.add.reduceat((both & 1).astype(np.int64), first))
-    own = [hashes.of(b) for b in bodies]
-    words.add(np.concatenate(own), np.repeat(train, list(map(len, own))))
+    streams = [stream(b) for b in bodies]
+    for key, slot, which in places(streams, most=len(streams)):
+        key <<= 8
+        key |= train[which][slot.view(np.int64)]
+        keys.add(key)
+    for own, which in word_hashes(streams):
+        words.add(own, train[which])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Rows for documents, and for each block's distinct keys and words by part (n: counts in training texts)."""
     task = TaskContext.get().partitionId()
     seq = size = 0
-    keys, words, hashes = Counts(), Counts(), Hashes()
+    fold = lambda x: as_entries(*summed(x))
+    keys, words = Pieces(fold), Words()
 
     def closed() -> Iterator[pa.RecordBatch]:
-        for kind, counts in ((KEYS, keys), (WORDS, words)):
-            key, n = counts.all()
+        for kind, (key, n) in ((KEYS, summed(keys.all())), (WORDS, words.all())):
             rows = [(p, packed(key[at]), planes(n[at].astype(np.uint32))) for p, at in dealt(key, parts)]
             for lo in range(0, len(rows), 1000):
                 part, own, n = zip(*rows[lo : lo + 1000], strict=True)
@@ -359,14 +442,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
     for piece, texts in sliced(batches, "text"):
         held = piece.column("held_out").to_pylist()
         bodies = [b" ".join(t.lower().split()) for t in texts]
-        counted(bodies, held, keys, words, hashes)
+        counted(bodies, held, keys, words)
         joined = b"\n".join(bodies)
         yield _batch(BLOCKS, kind=[DOCS], block=[task << 24 | seq], doc_id=[piece.column("doc_id").to_pylist()], held_out=[held], body=[pa.compress(joined, "zstd", asbytes=True)], size=[len(joined)])
         size += sum(map(len, texts))
         if size > BLOCK:
             yield from closed()
-            seq, size, keys, words = seq + 1, 0, Counts(), Counts()
-    if keys.keys:
+            seq, size, keys, words = seq + 1, 0, Pieces(fold), Words()
+    if keys.held:
         yield from closed()
 
 
@@ -408,34 +491,43 @@ def _score(batches: Iterator[pa.RecordBatch], parts: int, n_train: int, n_kinds:
     for _, (kinds, part, p, ids, held, bodies, sizes) in by_group(batches, ("block",), "kind", "part", "p", "doc_id", "held_out", "body", "size"):
         own = [i for i, kind in enumerate(kinds) if kind == DOCS]
         texts = {i: pa.decompress(bodies[i], sizes[i], "zstd", asbytes=True).split(b"\n") for i in own}
-        keys, words, hashes = Counts(), Counts(), Hashes()
+        keys, words = Pieces(distinct_of), Pieces(distinct_of)
         for i in own:
-            counted(texts[i], held[i], keys, words, hashes)
+            streams = [stream(b) for b in texts[i]]
+            for key, _, _ in places(streams, most=len(streams)):
+                keys.add(key)
+            for word, _ in word_hashes(streams):
+                words.add(word)
         tables = []
-        for kind, counts, of in ((KEYS, keys, np.float32), (WORDS, words, np.int64)):
+        for kind, numbers, of in ((KEYS, keys, np.float32), (WORDS, words, np.int64)):
             told = {part[i]: p[i] for i, k in enumerate(kinds) if k == kind}
-            key = counts.all()[0]
+            key = numbers.all()
             value = np.empty(len(key), dtype=of)
             for q, at in dealt(key, parts):
                 value[at] = from_planes(told[q], of)
-            tables.append((key, value.astype(np.float64) if kind == KEYS else value))
+            tables.append((key, value))
         (key, chance), (word, count) = tables
+        chance, base_of = chance.astype(np.float64), np.log10((count + 1) / (n_train + n_kinds + 1))
         for i in own:
-            score, base, tokens, known = np.zeros(len(texts[i])), [], [], []
+            score, base, tokens, known = (np.zeros(len(texts[i])) for _ in range(4))
             streams = [stream(b) for b in texts[i]]
             for both, slot, which in places(streams):
-                both = both << 8 | slot.astype(np.uint64)
+                both <<= 8
+                both |= slot
                 both.sort()
-                first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
-                times, both = np.diff(np.append(first, len(both))), both[first]
-                np.add.at(score, which, np.bincount((both & 255).astype(np.int64), weights=times * chance[np.searchsorted(key, both >> 8)], minlength=len(which)))
-            for b in texts[i]:
-                c = count[np.searchsorted(word, hashes.of(b))]
-                base.append(float(np.log10((c + 1) / (n_train + n_kinds + 1)).sum()))
-                tokens.append(len(c))
-                known.append(int((c > 0).sum()))
+                at = both >> 8
+                first = firsts(at)
+                each = np.repeat(chance[np.searchsorted(key, at[first])], np.diff(first, append=len(at)))
+                np.add.at(score, which, np.bincount((both & 255).view(np.int64), weights=each, minlength=len(which)))
+            for own_words, which in word_hashes(streams):
+                order = np.argsort(own_words)
+                at, which = own_words[order], which[order]
+                first = firsts(at)
+                place = np.repeat(np.searchsorted(word, at[first]), np.diff(first, append=len(at)))
+                for sums, weights in ((base, base_of[place]), (tokens, None), (known, count[place] > 0)):
+                    sums += np.bincount(which, weights=weights, minlength=len(sums))
             bits = -score / math.log10(2) / np.array([len(s) for s in streams])
-            cols = [pa.array(ids[i], pa.int64()), pa.array(held[i], pa.bool_()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array([n_train] * len(base), pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(bits)]
+            cols = [pa.array(ids[i], pa.int64()), pa.array(held[i], pa.bool_()), pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array([n_train] * len(base), pa.int64()), pa.array(base), pa.array(score), pa.array(bits)]
             yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SCORED.split(", ")])
 
 
